@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from cohortlens.functions.expr import as_col
 
@@ -103,7 +104,7 @@ def two_sided_t(r: float, n: float) -> float:
     return 1.0 - front * _beta_continued_fraction(b, a, 1.0 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def pearson_p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     """p-values for a result with one row per feature (never for fact rows)."""
     return pd.Series([two_sided_t(float(a) if a is not None else np.nan, float(b))

@@ -117,8 +117,8 @@ def edition_map(releases: DataFrame, year: str, release: str, edition: str,
         edition, F.lag(edition).over(w).alias(f"previous_{edition}"),
         (F.col(release) + 1).alias("_from"),
         F.coalesce(F.lead(release).over(w), F.col(release) + horizon).alias("_to"))
-    return spans.select(F.explode(F.sequence("_from", "_to")).cast("int").alias(year),
-                        edition, f"previous_{edition}")
+    return spans.select(F.explode(F.sequence(F.col("_from").cast("int"), F.col("_to").cast("int")))
+                        .alias(year), edition, f"previous_{edition}")
 
 
 def asof_release_join(left: DataFrame, editions: DataFrame, mapping: DataFrame,
