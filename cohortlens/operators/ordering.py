@@ -73,8 +73,8 @@ def with_bucket(df: DataFrame, col: str, edges: Sequence[float], out: str = "_bu
     if not edges:
         return df.withColumn(out, F.lit(0.0))
     splits = [-math.inf, *edges, math.inf]
-    typed = df.withColumn("_v", F.col(col).cast("double"))
-    return Bucketizer(splits=splits, inputCol="_v", outputCol=out).transform(typed).drop("_v")
+    typed = df.withColumn("_cut_value", F.col(col).cast("double"))
+    return Bucketizer(splits=splits, inputCol="_cut_value", outputCol=out).transform(typed).drop("_cut_value")
 
 
 def distributed_cumsum(df: DataFrame, by: Sequence[str], order: str,

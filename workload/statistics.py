@@ -359,7 +359,7 @@ def _(s: Star):
 def _decile(c: str) -> str:
     inner = ", ".join(f"quantile_cont({c}, {i / 10})" for i in range(11))
     return f"""SELECT '{c}' AS feature, bin, n, rate, max(rate) OVER () - min(rate) OVER () AS amplitude FROM (
-        SELECT CAST(len(list_filter(cuts, e -> e < {c})) AS INTEGER) AS bin, count(*) AS n, avg({Y}) AS rate FROM evaluated,
+        SELECT CAST(len(list_filter(cuts, lambda e: e < {c})) AS INTEGER) AS bin, count(*) AS n, avg({Y}) AS rate FROM evaluated,
           (SELECT list_sort(list_distinct([{inner}]))[2:-2] AS cuts FROM evaluated) WHERE {c} IS NOT NULL GROUP BY 1)"""
 
 
