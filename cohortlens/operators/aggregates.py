@@ -101,9 +101,9 @@ def weighted_mean(df: DataFrame, keys: Sequence[str], value: str, weight: str,
         safe_div(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias(out))
 
 
-def ratio_of_means(df: DataFrame, keys: Sequence[str],
-                   pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
-    return df.groupBy(*keys).agg(*[
+def ratio_of_means(df: DataFrame, keys: Sequence[str], pairs: Mapping[str, tuple[str, str]],
+                   extra: Sequence[Column] = ()) -> DataFrame:
+    return df.groupBy(*keys).agg(*extra, *[
         safe_div(F.avg(a), F.avg(b)).alias(out) for out, (a, b) in pairs.items()])
 
 

@@ -367,9 +367,9 @@ def vulnerability_context(store: Store) -> DataFrame:
     registered = slice_filter(store.source("mc_indicadores.transferencias_municipio"), eq={"ano": cfg.registry_year})
     transfers = ratio_of_means(registered, [MUN], {
         "ses_razao_pbf_cadunico": ("pessoas_beneficiarias_pbf", "pessoas_cadastradas_cu"),
-        "ses_valor_medio_familia_pbf": ("valor_pago_pbf", "familias_beneficiarias_pbf")}).join(
-        registered.groupBy(MUN).agg(F.avg("pessoas_cadastradas_cu").alias("registered"),
-                                    F.avg("pessoas_beneficiarias_pbf").alias("assisted")), MUN)
+        "ses_valor_medio_familia_pbf": ("valor_pago_pbf", "familias_beneficiarias_pbf")},
+        extra=[F.avg("pessoas_cadastradas_cu").alias("registered"),
+               F.avg("pessoas_beneficiarias_pbf").alias("assisted")])
     paid = count_sum_by(
         slice_filter(store.source("cgu_beneficios.novo_bolsa_familia"),
                      eq={"mes_competencia": cfg.reference_month}, in_={"ano_competencia": cfg.target_years})
