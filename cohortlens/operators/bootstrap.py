@@ -8,13 +8,15 @@ rows x replicates. Draws depend on hashes of their cell alone, so a lost task re
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import poisson1_from_uniform, safe_div, uniform_from_hash
-from cohortlens.operators.ordering import quantile_edges, with_bucket
+from cohortlens.operators import metrics
+from cohortlens.operators.ordering import distributed_cumsum, quantile_edges, with_bucket
 from cohortlens.operators.splits import cap_sample
 
 # Up to this many equal rows the draw is a true sum of Poisson(1) draws; beyond it the normal
@@ -29,7 +31,7 @@ def poisson_draw(n: Column, *keys: Column) -> Column:
         lambda acc, i: acc + poisson1_from_uniform(uniform_from_hash(*keys, i)))
     u1 = F.greatest(uniform_from_hash(*keys, F.lit(-1)), F.lit(2.0 ** -53))
     u2 = uniform_from_hash(*keys, F.lit(-2))
-    z = F.sqrt(-2.0 * F.ln(u1)) * F.cos(2.0 * 3.141592653589793 * u2)
+    z = F.sqrt(-2.0 * F.ln(u1)) * F.cos(2.0 * math.pi * u2)
     large = F.greatest(F.round(n + F.sqrt(n) * z), F.lit(0.0))
     return F.when(n <= EXACT_UP_TO, small.cast("double")).otherwise(large)
 
@@ -54,38 +56,47 @@ def _metric(name: str) -> Column:
 METRICS = ("roc_auc", "pr_auc", "ks", "brier")
 
 
-def replicate_metric(weighted: DataFrame, by: Sequence[str], metric: str,
-                     out: str = "value") -> DataFrame:
+def replicate_metric(weighted: DataFrame, by: Sequence[str], metric: str, out: str = "value",
+                     edges: Sequence[float] = ()) -> DataFrame:
     """Weighted metric per replicate from cells (bucket, w, wp, sq).
 
-    A replicate has at most as many cells as there are score buckets, so its window is bounded.
+    With bucketed scores a replicate has a bounded number of cells and one window holds them.
+    With exact scores the running totals are cut at ``edges`` like any other.
     """
     by = list(by)
-    order = Window.partitionBy(*by).orderBy(F.desc("bucket"))
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    cells = weighted.select(
-        *by, "w", "wp", "sq", F.sum("w").over(run).alias("cw"), F.sum("wp").over(run).alias("cp"),
-        F.sum("w").over(whole).alias("tw"), F.sum("wp").over(whole).alias("tp"))
+    run = distributed_cumsum(weighted, by, "bucket", {"cw": "w", "cp": "wp"}, edges, descending=True)
+    totals = weighted.groupBy(*by).agg(F.sum("w").alias("tw"), F.sum("wp").alias("tp"))
     # A resample with a single class has no metric and is skipped.
-    both = cells.where((F.col("tp") > 0) & (F.col("tw") > F.col("tp")))
-    return both.groupBy(*by).agg(_metric(metric).alias(out))
+    both = totals.where((F.col("tp") > 0) & (F.col("tw") > F.col("tp")))
+    return run.join(both, by).groupBy(*by).agg(_metric(metric).alias(out))
 
 
-def _bucketed(scores: DataFrame, p: str, buckets: int, out: str) -> DataFrame:
-    edges = quantile_edges(scores, p, rows_per_bucket=1)
-    step = max(1, len(edges) // buckets)
-    return with_bucket(scores, p, edges[::step], out)
+def _observed(scores: DataFrame, by: Sequence[str], metric: str, y: str, p: str) -> DataFrame:
+    """The metric of the sample itself, from distinct scores and without buckets."""
+    if metric not in METRICS:
+        raise KeyError(f"unknown metric {metric}; choose {', '.join(METRICS)}")
+    return getattr(metrics, metric)(scores, by=list(by), y=y, p=p).withColumnRenamed(metric, "_exact")
+
+
+def _thin(edges: Sequence[float], buckets: int) -> list[float]:
+    return list(edges[::max(1, math.ceil(len(edges) / buckets))])
 
 
 def bootstrap_values(scores: DataFrame, metric: str = "roc_auc", reps: int = 200,
                      by: Sequence[str] = ("model",), y: str = "y", p: str = "p",
-                     buckets: int = 1024, seed: int = 42) -> DataFrame:
-    """Metric per replicate. Replicate 0 is the sample itself (every weight is the count)."""
-    cells = (_bucketed(scores, p, buckets, "bucket")
-             .groupBy(*by, "bucket", F.col(y).cast("int").alias("_y"))
-             .agg(F.count(F.lit(1)).alias("_n"),
-                  F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("_sq")))
+                     buckets: int | None = 4096, seed: int = 42) -> DataFrame:
+    """Metric per replicate. Replicate 0 is the sample itself (every weight is the count).
+
+    ``buckets=None`` keeps every distinct score as a cell of its own.
+    """
+    if buckets is None:
+        cut = scores.withColumn("bucket", F.col(p).cast("double"))
+        edges = quantile_edges(scores, p)
+    else:
+        cut = with_bucket(scores, p, _thin(quantile_edges(scores, p, rows_per_bucket=1), buckets), "bucket")
+        edges = []
+    cells = cut.groupBy(*by, "bucket", F.col(y).cast("int").alias("_y")).agg(
+        F.count(F.lit(1)).alias("_n"), F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("_sq"))
     cells = cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
     w = F.when(F.col("rep") == 0, F.col("_n").cast("double")).otherwise(
         poisson_draw(F.col("_n"), F.lit(seed), F.col("rep"), F.col("bucket"), F.col("_y")))
@@ -93,24 +104,32 @@ def bootstrap_values(scores: DataFrame, metric: str = "roc_auc", reps: int = 200
                 .groupBy(*by, "rep", "bucket")
                 .agg(F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_y")).alias("wp"),
                      F.sum(F.col("_w") * F.col("_sq")).alias("sq")))
-    return replicate_metric(weighted, [*by, "rep"], metric)
+    return replicate_metric(weighted, [*by, "rep"], metric, edges=edges)
 
 
 def bootstrap_ci(scores: DataFrame, metric: str = "roc_auc", reps: int = 200, alpha: float = 0.05,
-                 by: Sequence[str] = ("model",), y: str = "y", p: str = "p", buckets: int = 1024,
-                 seed: int = 42, max_n: int | None = None, row_id: str = "row_id") -> DataFrame:
+                 by: Sequence[str] = ("model",), y: str = "y", p: str = "p",
+                 buckets: int | None = 4096, seed: int = 42, max_n: int | None = None,
+                 row_id: str = "row_id") -> DataFrame:
     """Percentile interval of a metric per model: value, lower, upper, width.
 
-    ``max_n`` optionally caps the rows as a conservative choice; by default none is left out.
+    The value is exact. Replicates work on buckets; their constant bucket error, known from
+    replicate 0, is taken out of the bounds. ``max_n`` optionally caps the rows as a
+    conservative choice; by default none is left out.
     """
     src = cap_sample(scores, max_n, row_id, seed) if max_n else scores
+    exact = _observed(src, by, metric, y, p)
     values = bootstrap_values(src, metric, reps, by, y, p, buckets, seed)
     again = F.when(F.col("rep") > 0, F.col("value"))
-    lo, hi = F.percentile(again, alpha / 2), F.percentile(again, 1 - alpha / 2)
-    return values.groupBy(*by).agg(
-        F.max(F.when(F.col("rep") == 0, F.col("value"))).alias(metric),
-        lo.alias("ci_lower"), hi.alias("ci_upper"), (hi - lo).alias("ci_width"),
+    bounds = values.groupBy(*by).agg(
+        F.max(F.when(F.col("rep") == 0, F.col("value"))).alias("_zero"),
+        F.percentile(again, alpha / 2).alias("_lo"), F.percentile(again, 1 - alpha / 2).alias("_hi"),
         F.count(again).alias("replicates"))
+    shift = F.col("_exact") - F.col("_zero")
+    return exact.join(bounds, list(by)).select(
+        *by, F.col("_exact").alias(metric), (F.col("_lo") + shift).alias("ci_lower"),
+        (F.col("_hi") + shift).alias("ci_upper"), (F.col("_hi") - F.col("_lo")).alias("ci_width"),
+        "replicates")
 
 
 def paired_bootstrap(pairs: DataFrame, p_a: str = "p_a", p_b: str = "p_b", y: str = "y",
@@ -119,20 +138,31 @@ def paired_bootstrap(pairs: DataFrame, p_a: str = "p_a", p_b: str = "p_b", y: st
     """Difference metric(B) - metric(A) with both models under the same resamples.
 
     Rows are merged by (bucket of A, bucket of B, class); one draw per merged cell weights
-    both models. The two-sided p-value is twice the smaller share of sign changes.
+    both models. The difference itself is exact. The two-sided p-value is twice the smaller
+    share of sign changes.
     """
-    by = list(by)
-    cut = _bucketed(_bucketed(pairs, p_a, buckets, "_ba"), p_b, buckets, "_bb")
+    wanted, by = list(by), list(by) or ["_all"]
+    if not wanted:
+        pairs = pairs.withColumn("_all", F.lit(0))
+    sides = F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col(p_a).alias("p")),
+                              F.struct(F.lit("b").alias("side"), F.col(p_b).alias("p"))))
+    long = pairs.select(*by, y, sides.alias("s")).select(*by, y, "s.side", "s.p")
+    edges = _thin(quantile_edges(long, "p", rows_per_bucket=1), buckets)
+    exact = _observed(long, [*by, "side"], metric, y, "p").groupBy(*by).agg(
+        (F.max(F.when(F.col("side") == "b", F.col("_exact")))
+         - F.max(F.when(F.col("side") == "a", F.col("_exact")))).alias("difference"))
+
+    cut = with_bucket(with_bucket(pairs, p_a, edges, "_ba"), p_b, edges, "_bb")
     err = [F.avg(F.pow(F.col(c) - F.col(y), 2)) for c in (p_a, p_b)]
     cells = cut.groupBy(*by, "_ba", "_bb", F.col(y).cast("int").alias("_y")).agg(
         F.count(F.lit(1)).alias("_n"), err[0].alias("_sa"), err[1].alias("_sb"))
     cells = cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
     w = F.when(F.col("rep") == 0, F.col("_n").cast("double")).otherwise(poisson_draw(
         F.col("_n"), F.lit(seed), F.col("rep"), F.col("_ba"), F.col("_bb"), F.col("_y")))
-    sides = F.explode(F.array(
+    cell_sides = F.explode(F.array(
         F.struct(F.lit("a").alias("side"), F.col("_ba").alias("bucket"), F.col("_sa").alias("e")),
         F.struct(F.lit("b").alias("side"), F.col("_bb").alias("bucket"), F.col("_sb").alias("e"))))
-    weighted = (cells.withColumn("_w", w).select(*by, "rep", "_y", "_w", sides.alias("s"))
+    weighted = (cells.withColumn("_w", w).select(*by, "rep", "_y", "_w", cell_sides.alias("s"))
                 .groupBy(*by, "rep", F.col("s.side").alias("side"), F.col("s.bucket").alias("bucket"))
                 .agg(F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_y")).alias("wp"),
                      F.sum(F.col("_w") * F.col("s.e")).alias("sq")))
@@ -140,14 +170,15 @@ def paired_bootstrap(pairs: DataFrame, p_a: str = "p_a", p_b: str = "p_b", y: st
     diff = per_side.groupBy(*by, "rep").agg(
         (F.max(F.when(F.col("side") == "b", F.col("value")))
          - F.max(F.when(F.col("side") == "a", F.col("value")))).alias("d"))
-    again = F.when(F.col("rep") > 0, F.col("d"))
-    share_lo = F.avg((again <= 0).cast("double"))
-    share_hi = F.avg((again >= 0).cast("double"))
-    grouped = diff.groupBy(*by) if by else diff.groupBy()
-    return grouped.agg(
-        F.max(F.when(F.col("rep") == 0, F.col("d"))).alias("difference"),
-        F.percentile(again, 0.025).alias("ci_lower"), F.percentile(again, 0.975).alias("ci_upper"),
-        F.least(2 * F.least(share_lo, share_hi), F.lit(1.0)).alias("p_value"))
+    zero = diff.where(F.col("rep") == 0).select(*by, F.col("d").alias("_zero"))
+    moved = (diff.where(F.col("rep") > 0).join(zero, by).join(exact, by)
+             .withColumn("d", F.col("d") + (F.col("difference") - F.col("_zero"))))
+    share_lo, share_hi = F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double"))
+    return moved.groupBy(*by).agg(
+        F.max("difference").alias("difference"), F.percentile("d", 0.025).alias("ci_lower"),
+        F.percentile("d", 0.975).alias("ci_upper"),
+        F.least(2 * F.least(share_lo, share_hi), F.lit(1.0)).alias("p_value"),
+    ).select(*wanted, "difference", "ci_lower", "ci_upper", "p_value")
 
 
 def model_comparison(scores: DataFrame, winner: str, row_id: str = "row_id", y: str = "y",
