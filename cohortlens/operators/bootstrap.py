@@ -20,8 +20,8 @@ from cohortlens.operators.ordering import distributed_cumsum, quantile_edges, wi
 from cohortlens.operators.splits import cap_sample
 
 # Up to this many equal rows the draw is a true sum of Poisson(1) draws; beyond it the normal
-# limit is used (skewness below 1/8).
-EXACT_UP_TO = 64
+# quantile corrected for skewness and kurtosis (Cornish-Fisher) is rounded.
+EXACT_UP_TO = 16
 
 
 def poisson_draw(n: Column, *keys: Column) -> Column:
@@ -32,7 +32,9 @@ def poisson_draw(n: Column, *keys: Column) -> Column:
     u1 = F.greatest(uniform_from_hash(*keys, F.lit(-1)), F.lit(2.0 ** -53))
     u2 = uniform_from_hash(*keys, F.lit(-2))
     z = F.sqrt(-2.0 * F.ln(u1)) * F.cos(2.0 * math.pi * u2)
-    large = F.greatest(F.round(n + F.sqrt(n) * z), F.lit(0.0))
+    root = F.sqrt(n)
+    corrected = n + root * z + (z * z - 1) / 6 + (z - z * z * z) / (72 * root)
+    large = F.greatest(F.round(corrected), F.lit(0.0))
     return F.when(n <= EXACT_UP_TO, small.cast("double")).otherwise(large)
 
 

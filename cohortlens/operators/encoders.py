@@ -78,14 +78,18 @@ class MedianImputer(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWri
         cols = self.get_columns()
         if not cols:
             return MedianImputerModel({"medians": {}, "indicators": []})
-        counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in cols]).first()
         typed = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
         if self.getOrDefault(self.exact):
-            medians = {c: v[0] for c, v in exact_quantiles(typed, cols, [0.5]).items()}
+            counts: dict[str, int] = {}
+            medians = {c: v[0] for c, v in exact_quantiles(typed, cols, [0.5], counts=counts).items()}
+            total = counts[""]
         else:
-            medians = typed.agg(*[F.percentile_approx(c, 0.5, 10_000).alias(c) for c in cols]).first().asDict()
+            row = typed.agg(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(cols) for x in (
+                F.count(c).alias(f"n{i}"), F.percentile_approx(c, 0.5, 10_000).alias(f"m{i}"))]).first()
+            medians = {c: row[f"m{i}"] for i, c in enumerate(cols)}
+            counts, total = {c: row[f"n{i}"] for i, c in enumerate(cols)}, row["n"]
         return MedianImputerModel({
-            "medians": medians, "indicators": [c for c in cols if counts[c] < counts["_n"]]})
+            "medians": medians, "indicators": [c for c in cols if counts[c] < total]})
 
 
 class MedianImputerModel(_JsonState):
@@ -191,16 +195,18 @@ class InfrequentOneHot(Estimator, _Columns, DefaultParamsReadable, DefaultParams
         if not cols:
             return InfrequentOneHotModel({"kept": {}, "bucket": {}})
         inputs = [f"_c_{c}" if f"_c_{c}" in df.columns else c for c in cols]
-        counts = level_counts(df, inputs).where(F.col("level").isNotNull())
-        floor = df.count() * self.getOrDefault(self.min_freq)
-        rare = counts.groupBy("column").agg(F.max((F.col("n") < floor).cast("int")).alias("rare"))
-        bucket = {r["column"]: bool(r["rare"]) for r in rare.collect()}
-        kept: dict[str, list[str]] = {c: [] for c in inputs}
-        for r in counts.where(F.col("n") >= floor).orderBy("column", "level").collect():
-            kept[r["column"]].append(r["level"])
+        counts = level_counts(df, inputs)
+        floor = (counts.groupBy("column").agg(F.sum("n").alias("total"))
+                 .withColumn("floor", F.col("total") * self.getOrDefault(self.min_freq)))
+        frequent = F.col("n") >= F.col("floor")
+        # One row per column with at most 1 / min_freq levels reaches the driver.
+        found = {r["column"]: r for r in (
+            counts.where(F.col("level").isNotNull()).join(floor, "column").groupBy("column")
+            .agg(F.array_sort(F.collect_list(F.when(frequent, F.col("level")))).alias("kept"),
+                 F.max((~frequent).cast("int")).alias("rare"))).collect()}
         return InfrequentOneHotModel({
-            "kept": {c: [i, kept[i]] for c, i in zip(cols, inputs)},
-            "bucket": {c: bucket.get(i, False) for c, i in zip(cols, inputs)}})
+            "kept": {c: [i, list(found[i]["kept"]) if i in found else []] for c, i in zip(cols, inputs)},
+            "bucket": {c: bool(i in found and found[i]["rare"]) for c, i in zip(cols, inputs)}})
 
 
 class InfrequentOneHotModel(_JsonState):

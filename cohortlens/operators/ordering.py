@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -159,17 +160,21 @@ def quantiles_by(df: DataFrame, by: Sequence[str], col: str, probs: Mapping[str,
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    keep: int = 100_000) -> dict[str, list[float | None]]:
+                    keep: int = 100_000, counts: dict[str, int] | None = None,
+                    ) -> dict[str, list[float | None]]:
     """Exact quantiles of whole columns, linear interpolation, all columns in the same passes.
 
     Each pass brackets every wanted rank with a bounded sketch and counts the rows below the
     bracket; the next pass looks only inside it. Once a bracket holds at most ``keep`` rows
     its values are ranked exactly. The data is never sorted and only bracket values move.
+    ``counts`` is filled with the non-missing rows per column and the rows in all ("").
     """
     names = list(dict.fromkeys(columns))
-    first = df.agg(*[x for i, c in enumerate(names) for x in (
+    first = df.agg(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(names) for x in (
         F.count(c).alias(f"n{i}"), F.min(F.col(c).cast("double")).alias(f"a{i}"),
         F.max(F.col(c).cast("double")).alias(f"z{i}"))]).first()
+    if counts is not None:
+        counts.update({"": first["n"], **{c: first[f"n{i}"] for i, c in enumerate(names)}})
     # One bracket per (column, wanted rank): inclusive value range and the rows below it.
     wanted: dict[tuple[int, float], list[int]] = {}
     brackets: dict[tuple[int, int], dict] = {}
@@ -213,25 +218,32 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
 
     values: dict[tuple[int, int], float] = {k: b["lo"] for k, b in brackets.items()
                                             if b["n"] and b["lo"] == b["hi"]}
-    open_ = {k: b for k, b in brackets.items() if k not in values}
-    if open_:
+    # Ranks that share a bracket share its values: a row is emitted once per bracket it is in.
+    shared: dict[tuple[int, float, float, int], list[int]] = {}
+    for (i, r), b in brackets.items():
+        if (i, r) not in values:
+            shared.setdefault((i, b["lo"], b["hi"], b["below"]), []).append(r)
+    if shared:
         entries = F.array(*[
-            F.when(F.col(names[i]).cast("double").between(b["lo"], b["hi"]),
+            F.when(F.col(names[i]).cast("double").between(lo, hi),
                    F.struct(F.lit(j).alias("j"), F.col(names[i]).cast("double").alias("v")))
-            for j, ((i, r), b) in enumerate(open_.items())])
+            for j, (i, lo, hi, _) in enumerate(shared)])
         long = (df.select(F.explode(F.array_compact(entries)).alias("e"))
                 .groupBy(F.col("e.j").alias("j"), F.col("e.v").alias("v"))
                 .agg(F.count(F.lit(1)).alias("n")))
-        big = any(b["n"] > keep for b in open_.values())
-        edges = quantile_edges(long, "v") if big else []
-        cum = distributed_cumsum(long, ["j"], "v", {"c": "n"}, edges)
-        rank = F.when(F.lit(False), F.lit(0))
-        for j, ((i, r), b) in enumerate(open_.items()):
-            rank = rank.when(F.col("j") == j, F.lit(r - b["below"]))
-        hits = cum.where((F.col("c") - F.col("n") <= rank) & (rank < F.col("c"))).select("j", "v")
-        keys = list(open_)
-        for row in hits.collect():  # one row per wanted rank
-            values[keys[row["j"]]] = row["v"]
+        big = any(b["n"] > keep for k, b in brackets.items() if k not in values)
+        cum = distributed_cumsum(long, ["j"], "v", {"c": "n"}, quantile_edges(long, "v") if big else [])
+        first_rank, last_rank = F.col("c") - F.col("n"), F.col("c") - 1
+        wanted_here = F.lit(False)
+        for j, ((_, _, _, below), ranks) in enumerate(shared.items()):
+            inside = [(first_rank <= r - below) & (last_rank >= r - below) for r in sorted(set(ranks))]
+            wanted_here = wanted_here | ((F.col("j") == j) & reduce(lambda a, b: a | b, inside))
+        keys = list(shared)
+        for row in cum.where(wanted_here).collect():  # at most one row per wanted rank
+            i, _, _, below = keys[row["j"]]
+            for r in shared[keys[row["j"]]]:
+                if row["c"] - row["n"] <= r - below < row["c"]:
+                    values[i, r] = row["v"]
 
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(names):

@@ -33,7 +33,7 @@ def decision_outputs(model: PipelineModel, test: DataFrame, columns: Columns = C
     ranking = stage(decide.group_risk_ranking(
         scored, columns.group, columns.parent, labels=labels, min_n=min_n), "ranking")
     context = [v for v in variables if v in rows.columns]
-    groups = aggregate_groups(rows, [columns.group], segment, "y", context, min_n=min_n)
+    groups = stage(aggregate_groups(rows, [columns.group], segment, "y", context, min_n=min_n), "groups")
     clustered = stage(decide.cluster_groups(groups, columns.group, context, "y", clusters), "clusters")
     profile = decide.cluster_profile(clustered, context, "y")
     out: dict[str, DataFrame] = {

@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.sources.storage import write_partitioned, counted_write
+from cohortlens.session import stage
+from cohortlens.sources.storage import counted_write, write_partitioned
 
 
 @dataclass(frozen=True)
@@ -41,8 +42,8 @@ class Store:
     """Sources and already built feature tables, seen by the builders."""
 
     def __init__(self, spark: SparkSession, catalog, config: StoreConfig | None = None,
-                 root: str | None = None):
-        self.spark, self.catalog, self.root = spark, catalog, root
+                 root: str | None = None, staged: bool = False):
+        self.spark, self.catalog, self.root, self.staged = spark, catalog, root, staged
         self.config = config or StoreConfig()
         self._built: dict[str, DataFrame] = {}
 
@@ -53,10 +54,17 @@ class Store:
         return f"{self.root.rstrip('/')}/{name}"
 
     def feature(self, name: str) -> DataFrame:
-        """A feature table: as built in this run, as stored, or built on demand."""
+        """A feature table: as built in this run, as stored, or built on demand.
+
+        A table built on demand is staged if asked for, so it is not computed once for its
+        key check and again for its join.
+        """
         if name not in self._built:
-            self._built[name] = (self.spark.read.parquet(self.path(name)) if self.root
-                                 else BUILDERS[name](self))
+            if self.root:
+                self._built[name] = self.spark.read.parquet(self.path(name))
+            else:
+                df = BUILDERS[name](self)
+                self._built[name] = stage(df, name) if self.staged else df
         return self._built[name]
 
     def remember(self, name: str, df: DataFrame) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators import bootstrap as B
 from cohortlens.operators import decide as D
 from cohortlens.operators import metrics as K
+from cohortlens.session import stage
 from workload.registry import R, Star, query, sql
 
 # Small buckets on purpose: the running totals then cross many bucket borders.
@@ -196,7 +197,8 @@ def _group_context(s: Star):
 
 @query("d3_cluster_groups")
 def _(s: Star):
-    clustered = D.cluster_groups(_group_context(s).drop("cluster"), "school", ["wealth", "weight", "size"], "rate", k=5, starts=3)
+    groups = stage(_group_context(s).drop("cluster"), "groups")
+    clustered = D.cluster_groups(groups, "school", ["wealth", "weight", "size"], "rate", k=5, starts=3)
     return D.cluster_profile(clustered, ["wealth", "weight", "size"], "rate")
 
 
@@ -258,8 +260,8 @@ def _(s: Star):
     "scores", ranking=RANKING, risk=RISK, gaps="SELECT * FROM risk WHERE n >= 5 ORDER BY round(gap_pp, 9), school LIMIT 15"))
 def _(s: Star):
     # Sums of doubles depend on their order in the last digits; ties must not.
-    ranking = _ranking(s).withColumns({c: F.round(c, 9) for c in ("risk", "adjusted_residual")})
-    risk = _risk(s).withColumn("gap_pp", F.round("gap_pp", 9))
+    ranking = stage(_ranking(s).withColumns({c: F.round(c, 9) for c in ("risk", "adjusted_residual")}), "ranking")
+    risk = stage(_risk(s).withColumn("gap_pp", F.round("gap_pp", 9)), "risk")
     lists = D.decision_report(ranking, risk, "school", "parent", min_n=5, concentration=2)
     spec = {"top_risk": ("school", "risk"), "worst_residuals": ("school", "adjusted_residual"),
             "best_residuals": ("school", "adjusted_residual"), "class_counts": ("risk_class", "n"),

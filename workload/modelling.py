@@ -9,6 +9,7 @@ from cohortlens.operators import encoders as E
 from cohortlens.operators import explain as X
 from cohortlens.operators import models as M
 from cohortlens.plans.experiment import Columns, run_experiment
+from cohortlens.session import stage
 from workload.registry import R, TEST, TRAIN, Star, query, sql
 
 FEATURES = ["wealth", "weight", "present_share", "segment", "control", "school_key", "grp_key"]
@@ -19,13 +20,13 @@ SPACE = {"maxIter": (2, 4, "int"), "stepSize": (0.05, 0.15, "log"), "leaves": (4
 
 
 def base(s: Star):
-    """Evaluated units with string keys, a context feature and a label."""
+    """Evaluated units with string keys, a context feature and a label: the stored base table."""
     e = s.evaluated
     share = s.units.groupBy("year", "grp").agg(F.avg(F.col("present").cast("int").cast("double")).alias("present_share"))
-    return (M.labelled(e, "target").join(share, ["year", "grp"], "left")
-            .withColumn("school_key", F.col("school").cast("string"))
-            .withColumn("grp_key", F.col("grp").cast("string"))
-            .withColumnRenamed("unit_id", "row_id"))
+    return stage(M.labelled(e, "target").join(share, ["year", "grp"], "left")
+                 .withColumn("school_key", F.col("school").cast("string"))
+                 .withColumn("grp_key", F.col("grp").cast("string"))
+                 .withColumnRenamed("unit_id", "row_id"), "units")
 
 
 def split(s: Star):

@@ -13,8 +13,8 @@ YEARS = "(2023, 2024)"
 EDITION = {2023: (2021, 2019), 2024: (2023, 2021)}
 
 
-def build(s: Star, name: str):
-    return BUILDERS[name](Store(s.spark, StarCatalog(s.spark, s.dir)))
+def build(s: Star, name: str, staged: bool = False):
+    return BUILDERS[name](Store(s.spark, StarCatalog(s.spark, s.dir), staged=staged))
 
 
 def ratio(a: str, b: str) -> str:
@@ -247,7 +247,7 @@ _TOWN = "USING (ano, id_municipio)"
     FROM pop LEFT JOIN t2 {_TOWN} LEFT JOIN t4 {_NET} LEFT JOIN t6 {_NET} LEFT JOIN t5 {_NET} LEFT JOIN t7 {_NET} LEFT JOIN t8 {_TOWN}
     LEFT JOIN t9 {_TOWN} LEFT JOIN t10 {_TOWN} LEFT JOIN (SELECT * EXCLUDE (sigla_uf) FROM t3) t {_TOWN}""", **ALL_VIEWS))
 def _(s: Star):
-    return build(s, "abt_aluno")
+    return build(s, "abt_aluno", staged=True)
 
 
 @query("s5_load_abt", sql("SELECT ano, id_municipio, alvo_alfabetizado FROM pop WHERE ano IN (2023, 2024)", **POP_VIEWS))
