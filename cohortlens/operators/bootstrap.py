@@ -38,6 +38,16 @@ def poisson_draw(n: Column, *keys: Column) -> Column:
     return F.when(n <= EXACT_UP_TO, small.cast("double")).otherwise(large)
 
 
+def with_replicates(cells: DataFrame, reps: int) -> DataFrame:
+    """Every cell once per replicate, laid out by replicate.
+
+    The cells are few and sit in few partitions. The replicates are spread before their
+    weights are drawn, and that layout also serves the grouping and the windows that follow.
+    """
+    parts = max(1, min(reps + 1, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).repartition(parts, "rep")
+
+
 def _metric(name: str) -> Column:
     """Aggregate of one replicate over its cells; cw / cp are running weights above the cell."""
     tpr, fpr = safe_div("cp", "tp"), safe_div(F.col("cw") - F.col("cp"), F.col("tw") - F.col("tp"))
@@ -66,11 +76,11 @@ def replicate_metric(weighted: DataFrame, by: Sequence[str], metric: str, out: s
     With exact scores the running totals are cut at ``edges`` like any other.
     """
     by = list(by)
-    run = distributed_cumsum(weighted, by, "bucket", {"cw": "w", "cp": "wp"}, edges, descending=True)
-    totals = weighted.groupBy(*by).agg(F.sum("w").alias("tw"), F.sum("wp").alias("tp"))
+    run = distributed_cumsum(weighted, by, "bucket", {"cw": "w", "cp": "wp"}, edges, descending=True,
+                             totals={"tw": "w", "tp": "wp"})
     # A resample with a single class has no metric and is skipped.
-    both = totals.where((F.col("tp") > 0) & (F.col("tw") > F.col("tp")))
-    return run.join(both, by).groupBy(*by).agg(_metric(metric).alias(out))
+    both = run.where((F.col("tp") > 0) & (F.col("tw") > F.col("tp")))
+    return both.groupBy(*by).agg(_metric(metric).alias(out))
 
 
 def _observed(scores: DataFrame, by: Sequence[str], metric: str, y: str, p: str) -> DataFrame:
@@ -99,7 +109,7 @@ def bootstrap_values(scores: DataFrame, metric: str = "roc_auc", reps: int = 200
         edges = []
     cells = cut.groupBy(*by, "bucket", F.col(y).cast("int").alias("_y")).agg(
         F.count(F.lit(1)).alias("_n"), F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("_sq"))
-    cells = cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
+    cells = with_replicates(cells, reps)
     w = F.when(F.col("rep") == 0, F.col("_n").cast("double")).otherwise(
         poisson_draw(F.col("_n"), F.lit(seed), F.col("rep"), F.col("bucket"), F.col("_y")))
     weighted = (cells.withColumn("_w", w)
@@ -158,7 +168,7 @@ def paired_bootstrap(pairs: DataFrame, p_a: str = "p_a", p_b: str = "p_b", y: st
     err = [F.avg(F.pow(F.col(c) - F.col(y), 2)) for c in (p_a, p_b)]
     cells = cut.groupBy(*by, "_ba", "_bb", F.col(y).cast("int").alias("_y")).agg(
         F.count(F.lit(1)).alias("_n"), err[0].alias("_sa"), err[1].alias("_sb"))
-    cells = cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
+    cells = with_replicates(cells, reps)
     w = F.when(F.col("rep") == 0, F.col("_n").cast("double")).otherwise(poisson_draw(
         F.col("_n"), F.lit(seed), F.col("rep"), F.col("_ba"), F.col("_bb"), F.col("_y")))
     cell_sides = F.explode(F.array(

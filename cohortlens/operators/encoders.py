@@ -201,7 +201,7 @@ class InfrequentOneHot(Estimator, _Columns, DefaultParamsReadable, DefaultParams
         frequent = F.col("n") >= F.col("floor")
         # One row per column with at most 1 / min_freq levels reaches the driver.
         found = {r["column"]: r for r in (
-            counts.where(F.col("level").isNotNull()).join(floor, "column").groupBy("column")
+            counts.where(F.col("level").isNotNull()).join(F.broadcast(floor), "column").groupBy("column")
             .agg(F.array_sort(F.collect_list(F.when(frequent, F.col("level")))).alias("kept"),
                  F.max((~frequent).cast("int")).alias("rare"))).collect()}
         return InfrequentOneHotModel({
@@ -236,40 +236,38 @@ def encode_expression(n, pos, total_n, total_pos):
         F.coalesce(weight * mean + (1 - weight) * overall, overall))
 
 
-def crossfit_table(df: DataFrame, columns: dict[str, str], target: str, fold) -> DataFrame:
+def crossfit_table(df: DataFrame, columns: dict[str, str], target: str, fold, folds: int) -> DataFrame:
     """Encoding per (column, level, fold): fold -1 uses all rows, fold f all rows but its own.
 
-    One pass over the rows gives counts per (column, level, fold); everything out of fold is
-    total minus own fold on that small relation. Rows with NULL level carry the global mean.
+    One pass gives each level its rows and positives per fold; everything out of fold is the
+    sum over folds minus the own one. The totals have one row per encoded column, which the
+    schema bounds. Rows with NULL level carry the global mean.
     """
     pairs = F.explode(F.array(*[F.struct(
         F.lit(name).alias("c"), F.col(source).cast("string").alias("v"))
         for name, source in columns.items()]))
+    each = range(folds)
     known = df.where(F.col(target).isNotNull())
-    own = (known.select(pairs.alias("s"), fold.alias("fold"), F.col(target).cast("int").alias("_y"))
-           .where(F.col("s.v").isNotNull())
-           .groupBy(F.col("s.c").alias("column"), F.col("s.v").alias("level"), "fold")
-           .agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos")))
-    cols = ["column", "level", "fold"]
-    full = own.groupBy("column", "level").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    # Every level meets every fold, also folds in which it has no rows of its own.
-    folds = own.select("column", "fold").groupBy("column").agg(
-        F.collect_set("fold").alias("folds"))
-    spread = full.join(folds, "column").select("column", "level", "n", "pos",
-                                               F.explode("folds").alias("fold"))
-    mine = own.select(*cols, F.col("n").alias("own_n"), F.col("pos").alias("own_pos"))
-    rest = (spread.join(mine, cols, "left")
-            .select(*cols, (F.col("n") - F.coalesce("own_n", F.lit(0))).alias("n"),
-                    (F.col("pos") - F.coalesce("own_pos", F.lit(0))).alias("pos")))
-    both = rest.unionByName(full.withColumn("fold", F.lit(FULL)).select(*cols, "n", "pos"))
-    totals = both.groupBy("column", "fold").agg(F.sum("n").alias("total_n"),
-                                                F.sum("pos").alias("total_pos"))
-    encoded = both.join(totals, ["column", "fold"]).select(
-        *cols, encode_expression(F.col("n"), F.col("pos"), F.col("total_n"),
-                                 F.col("total_pos")).alias("encoding"))
-    overall = totals.select("column", F.lit(None).cast("string").alias("level"), "fold",
-                            safe_div("total_pos", "total_n").alias("encoding"))
-    return encoded.unionByName(overall)
+    levels = (known.select(pairs.alias("s"), fold.alias("f"), F.col(target).cast("int").alias("_y"))
+              .where(F.col("s.v").isNotNull())
+              .groupBy(F.col("s.c").alias("column"), F.col("s.v").alias("level"))
+              .agg(*[F.count_if(F.col("f") == k).alias(f"n{k}") for k in each],
+                   *[F.sum(F.when(F.col("f") == k, F.col("_y")).otherwise(0)).alias(f"p{k}") for k in each]))
+    totals = levels.groupBy("column").agg(*[
+        F.sum(f"{c}{k}").alias(f"t{c}{k}") for c in ("n", "p") for k in each])
+
+    def without(prefix: str, k: int):
+        return sum((F.col(f"{prefix}{j}") for j in each if j != k), F.lit(0))
+
+    def per_fold(encoding):
+        return F.explode(F.array(*[F.struct(F.lit(k).cast("int").alias("fold"), encoding(k).alias("encoding"))
+                                   for k in [FULL, *each]])).alias("e")
+
+    encoded = levels.join(F.broadcast(totals), "column").select("column", "level", per_fold(
+        lambda k: encode_expression(without("n", k), without("p", k), without("tn", k), without("tp", k))))
+    overall = totals.select("column", F.lit(None).cast("string").alias("level"), per_fold(
+        lambda k: safe_div(without("tp", k), without("tn", k))))
+    return encoded.unionByName(overall).select("column", "level", "e.fold", "e.encoding")
 
 
 class CrossFitTargetEncoder(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWritable):
@@ -302,7 +300,8 @@ class CrossFitTargetEncoder(Estimator, _Columns, DefaultParamsReadable, DefaultP
         model._set(columns=cols, row_key=self.getOrDefault(self.row_key),
                    folds=self.getOrDefault(self.folds), seed=self.getOrDefault(self.seed))
         model.table = stage(crossfit_table(df, source, self.getOrDefault(self.target),
-                                           self.fold_expr()), "target-encoding") if cols else None
+                                           self.fold_expr(), self.getOrDefault(self.folds)),
+                            "target-encoding") if cols else None
         return model
 
 

@@ -31,7 +31,8 @@ def feature_target_correlation(groups: DataFrame, features: Sequence[str], outco
     """
     long = long_form(groups, features, [outcome]).where(F.col("value").isNotNull())
     edges = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    joined = long.join(edges, "feature")
+    # One row per feature: the schema bounds it.
+    joined = long.join(F.broadcast(edges), "feature")
     stats = joined.groupBy("feature").agg(
         safe_corr("value", outcome).alias("r"), F.count(F.lit(1)).alias("n"),
         F.max((F.col("lo") < F.col("hi")).cast("int")).alias("two"),

@@ -35,12 +35,11 @@ def score_cells(scores: DataFrame, by: Sequence[str] = ("model",), y: str = "y",
 def curve_cells(cells: DataFrame, by: Sequence[str], edges: Sequence[float]) -> DataFrame:
     """Cells with running totals (descending score), class totals and the curve rates."""
     by = list(by)
-    cum = distributed_cumsum(cells, by, "p", {"cum_n": "n", "cum_pos": "pos"}, edges,
-                             descending=True)
-    totals = cells.groupBy(*by).agg(F.sum("n").alias("total_n"), F.sum("pos").alias("total_pos"))
+    cum = distributed_cumsum(cells, by, "p", {"cum_n": "n", "cum_pos": "pos"}, edges, descending=True,
+                             totals={"total_n": "n", "total_pos": "pos"})
     neg = F.col("total_n") - F.col("total_pos")
     fp = F.col("cum_n") - F.col("cum_pos")
-    return (cum.join(totals, by, "left")
+    return (cum
             .withColumn("tpr", safe_div("cum_pos", "total_pos"))
             .withColumn("fpr", safe_div(fp, neg))
             .withColumn("prev_tpr", safe_div(F.col("cum_pos") - F.col("pos"), "total_pos"))

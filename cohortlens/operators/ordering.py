@@ -80,31 +80,38 @@ def with_bucket(df: DataFrame, col: str, edges: Sequence[float], out: str = "_bu
 
 def distributed_cumsum(df: DataFrame, by: Sequence[str], order: str,
                        values: Mapping[str, str], edges: Sequence[float],
-                       descending: bool = False, ties: Sequence[str] = ()) -> DataFrame:
+                       descending: bool = False, ties: Sequence[str] = (),
+                       totals: Mapping[str, str] | None = None) -> DataFrame:
     """Inclusive running totals in the order of one column.
 
-    ``values`` maps output names to summed columns. Rows are cut into value buckets; a
-    window runs inside each (by, bucket), and the totals of the buckets before it (one row
-    per bucket) are added afterwards. The edges are literals, so a recomputed task puts
-    every row into the same bucket again.
+    ``values`` maps output names to summed columns; ``totals`` does the same for the sums over
+    the whole group. Rows are cut into value buckets; a window runs inside each (by, bucket),
+    and what the other buckets contribute (one row per bucket) joins on that same key, so no
+    step gathers a group. The edges are literals: a recomputed task puts every row into the
+    same bucket again.
     """
+    totals = dict(totals or {})
     direction = F.desc if descending else F.asc
     sort = [direction(order), *[F.asc(t) for t in ties]]
+    start, end = Window.unboundedPreceding, Window.unboundedFollowing
     if not edges:
-        w = Window.partitionBy(*by).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(v).over(w).alias(o) for o, v in values.items()])
+        group = Window.partitionBy(*by)
+        run, whole = group.orderBy(*sort).rowsBetween(start, 0), group.rowsBetween(start, end)
+        return df.select("*", *[F.sum(v).over(run).alias(o) for o, v in values.items()],
+                         *[F.sum(v).over(whole).alias(o) for o, v in totals.items()])
     cut = with_bucket(df, order, edges)
-    w = (Window.partitionBy(*by, "_bucket").orderBy(*sort)
-         .rowsBetween(Window.unboundedPreceding, 0))
-    local = cut.select("*", *[F.sum(v).over(w).alias(o) for o, v in values.items()])
-    totals = cut.groupBy(*by, "_bucket").agg(*[
-        F.sum(v).alias(f"_t_{o}") for o, v in values.items()])
-    before = (Window.partitionBy(*by).orderBy(direction("_bucket"))
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*by, "_bucket", *[
-        F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in values])
-    joined = local.join(offsets, [*by, "_bucket"], "left")
-    return joined.select(*df.columns, *[(F.col(o) + F.col(f"_o_{o}")).alias(o) for o in values])
+    inside = Window.partitionBy(*by, "_bucket").orderBy(*sort).rowsBetween(start, 0)
+    local = cut.select("*", *[F.sum(v).over(inside).alias(o) for o, v in values.items()])
+    needed = sorted({*values.values(), *totals.values()})
+    sums = cut.groupBy(*by, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in needed])
+    group = Window.partitionBy(*by)
+    before = group.orderBy(direction("_bucket")).rowsBetween(start, -1)
+    others = sums.select(
+        *by, "_bucket",
+        *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{o}") for o, v in values.items()],
+        *[F.sum(f"_t_{v}").over(group.rowsBetween(start, end)).alias(o) for o, v in totals.items()])
+    joined = local.join(others, [*by, "_bucket"], "left")
+    return joined.select(*df.columns, *[(F.col(o) + F.col(f"_o_{o}")).alias(o) for o in values], *totals)
 
 
 def global_row_number(df: DataFrame, order: str, ties: Sequence[str], edges: Sequence[float],
@@ -140,9 +147,7 @@ def quantiles_by(df: DataFrame, by: Sequence[str], col: str, probs: Mapping[str,
     if not wanted:
         src = src.withColumn("_all", F.lit(0))
     cells = src.groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    cum = distributed_cumsum(cells, by, "_v", {"_c": "_n"}, edges)
-    totals = cells.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    ranked = cum.join(totals, by, "left")
+    ranked = distributed_cumsum(cells, by, "_v", {"_c": "_n"}, edges, totals={"_total": "_n"})
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_c") - F.col("_n") <= rank) & (rank < F.col("_c")), F.col("_v")))
