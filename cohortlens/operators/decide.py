@@ -130,10 +130,10 @@ def target_miss_risk(ranking: DataFrame, targets: DataFrame, key: str, target_pc
     Normal limit of a mean of independent Bernoulli outcomes; no standard error, no answer.
     """
     df = attach_targets(ranking, targets, key, [target_pct])
-    goal = F.col(target_pct) / 100.0
-    return (df.withColumn("goal", goal)
-            .withColumn("gap_pp", (F.col("predicted") - goal) * 100)
-            .withColumn("p_miss", norm_cdf(safe_div(goal - F.col("predicted"), "std_error")))
+    # "goal" is read back as a column: the target may itself bear that name.
+    return (df.withColumn("goal", F.col(target_pct) / 100.0)
+            .withColumn("gap_pp", (F.col("predicted") - F.col("goal")) * 100)
+            .withColumn("p_miss", norm_cdf(safe_div(F.col("goal") - F.col("predicted"), "std_error")))
             .withColumn("risk_class", risk_class("p_miss"))
             .orderBy(F.desc_nulls_last("p_miss"), key))
 

@@ -70,8 +70,8 @@ class Star:
         """Two deterministic pseudo-models over the evaluated rows, as a long score table."""
         u = self.evaluated
         y = F.col("target").cast("int")
-        a = (200 + 300 * y + (F.col("unit_id") * 7919) % 500).cast("double") / 1000
-        b = (200 + 200 * y + (F.col("unit_id") * 104729) % 600).cast("double") / 1000
+        a = (200 + 300 * y + (F.col("unit_id") * 7919) % 500).cast("double") / 1009
+        b = (200 + 200 * y + (F.col("unit_id") * 104729) % 600).cast("double") / 1009
         models = F.explode(F.array(F.struct(F.lit("A").alias("model"), a.alias("p")),
                                    F.struct(F.lit("B").alias("model"), b.alias("p"))))
         return (u.select("*", y.alias("y"), models.alias("m"))
@@ -113,11 +113,11 @@ CTES = {
         FROM units WHERE present AND completed AND source = 'batch' AND target IS NOT NULL""",
     "scores": """
         SELECT unit_id AS row_id, 'A' AS model, CAST(target AS INTEGER) AS y, year, grp, parent,
-               segment, school, CAST(200 + 300 * CAST(target AS INTEGER) + (unit_id * 7919) % 500 AS DOUBLE) / 1000 AS p
+               segment, school, CAST(200 + 300 * CAST(target AS INTEGER) + (unit_id * 7919) % 500 AS DOUBLE) / 1009 AS p
         FROM evaluated
         UNION ALL
         SELECT unit_id, 'B', CAST(target AS INTEGER), year, grp, parent, segment, school,
-               CAST(200 + 200 * CAST(target AS INTEGER) + (unit_id * 104729) % 600 AS DOUBLE) / 1000
+               CAST(200 + 200 * CAST(target AS INTEGER) + (unit_id * 104729) % 600 AS DOUBLE) / 1009
         FROM evaluated""",
     "lines": """
         SELECT CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS month,

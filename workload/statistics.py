@@ -336,8 +336,8 @@ def _groups(s: Star):
         F.avg("year").alias("mean_year"), F.min("parent").cast("double").alias("parent"))
 
 
-@query("x1_feature_target_correlation", sql(" UNION ALL ".join(
-    f"SELECT '{c}' AS feature, {_corr(c, 'rate')} AS r, count({c}) AS n FROM g" for c in ["wealth", "weight", "size", "mean_year"]),
+@query("x1_feature_target_correlation", sql("SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {_corr(c, 'rate')} AS r, count({c}) AS n FROM g" for c in ["wealth", "weight", "size", "mean_year"]) + ") WHERE n >= 100",
     "evaluated", g=GROUPS))
 def _(s: Star):
     return X.feature_target_correlation(_groups(s), ["wealth", "weight", "size", "mean_year"], "rate", p_values=False)
@@ -364,7 +364,8 @@ def _decile(c: str) -> str:
 
 
 @query("x3_decile_profile", sql(f"""
-    SELECT feature, bin, n, {R('rate')} AS rate, {R('amplitude')} AS amplitude FROM ({_decile('wealth')} UNION ALL {_decile('school')})""", "evaluated"))
+    SELECT feature, bin, n, {R('rate')} AS rate, {R('amplitude')} AS amplitude FROM ({_decile('wealth')} UNION ALL {_decile('school')})
+    WHERE (SELECT count(wealth) FROM evaluated) >= 1000""", "evaluated"))
 def _(s: Star):
     return X.decile_profile(s.evaluated, ["wealth", "school", "weight"], "target", min_rows=1000)
 
