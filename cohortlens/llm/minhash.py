@@ -16,7 +16,7 @@ from cohortlens.session import stage
 _WORDS = WordHashes()
 _LONE = U64(0xA5A5F00D)
 #: Members of one bucket that one block holds when members of different components are compared.
-BLOCK = 256
+BLOCK = 2_048
 #: Ids of documents to be confirmed that may go to every task.
 FEW_IDS = 5_000
 
@@ -26,8 +26,8 @@ class Near:
     """Shingle size, similarity as a ratio of integers, and the MinHash layout.
 
     160 minima in 32 bands of 5 miss a pair of similarity 0.8 with probability 3e-6, and one of 0.9 with 1e-12.
-    ``bits`` low bits of each minimum are kept. ``slack`` below the wanted similarity, more than six standard
-    errors of the estimate, still goes to the exact check.
+    ``bits`` low bits of each minimum are kept. ``slack`` below the wanted similarity, six standard errors of
+    the estimate, still goes to the exact check.
     """
 
     words: int = 5
@@ -36,7 +36,7 @@ class Near:
     bands: int = 32
     rows: int = 5
     bits: int = 4
-    slack: float = 0.25
+    slack: float = 0.2
 
     @property
     def minima(self) -> int:
@@ -79,10 +79,13 @@ def low_bits(values: np.ndarray, bits: int) -> bytes:
 
 def estimated(a: np.ndarray, b: np.ndarray, near: Near) -> np.ndarray:
     """Similarity of packed signatures (rows of bytes), corrected for chance agreement of ``bits`` bits."""
-    differs = np.unpackbits(a ^ b, axis=-1).reshape(*np.broadcast_shapes(a.shape, b.shape)[:-1], -1)[..., :near.minima * near.bits]
-    agree = 1 - differs.reshape(*differs.shape[:-1], near.minima, near.bits).any(axis=-1).mean(axis=-1)
+    differs = a ^ b
+    if near.bits == 4:  # a minimum is half a byte
+        agree = 2 * differs.shape[-1] - (np.count_nonzero(differs & 0xF0, axis=-1) + np.count_nonzero(differs & 0x0F, axis=-1))
+    else:
+        agree = near.minima - np.unpackbits(differs, axis=-1)[..., :near.minima * near.bits].reshape(*differs.shape[:-1], near.minima, near.bits).any(axis=-1).sum(axis=-1)
     chance = 0.5 ** near.bits
-    return (agree - chance) / (1 - chance)
+    return (agree / near.minima - chance) / (1 - chance)
 
 
 def signatures(docs: DataFrame, near: Near) -> DataFrame:
@@ -126,16 +129,19 @@ def _likely(pairs: DataFrame, near: Near) -> DataFrame:
     return pairs.mapInArrow(keep, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
-    """Pairs (a, b) linked on their full sets: den * intersection >= num * union, in integers."""
-    pairs = stage(pairs, "near-likely")
-    if pairs.isEmpty():
-        return pairs
-    needed = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "near-needed")
-    # A checked number of ids goes to every task; more are hashed. Either way texts are not sorted.
-    needed = F.broadcast(needed) if needed.count() <= FEW_IDS else needed.hint("shuffle_hash")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
+def _texts(pairs: DataFrame, docs: DataFrame, have: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text) of all documents in the pairs; those in ``have`` are not fetched again."""
+    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    missing = stage(needed if have is None else needed.join(have, "doc_id", "left_anti"), "near-missing")
+    # A checked number of ids goes to every task; more are hashed. Either way the texts are not sorted.
+    missing = F.broadcast(missing) if missing.count() <= FEW_IDS else missing.hint("shuffle_hash")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(missing, "doc_id", "left_semi")
     texts = stage(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
+    return texts if have is None else have.union(texts)
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
+    """Pairs (a, b) linked on their full sets: den * intersection >= num * union, in integers."""
     both = (pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b"))
 
@@ -156,14 +162,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
                 good.append(near.den * common >= near.num * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(check, "a long, b long")
+    return stage(both.mapInArrow(check, "a long, b long"), "near-links")
 
 
-def _open_pairs(members: DataFrame, near: Near) -> DataFrame:
+def _open_pairs(members: DataFrame, near: Near, best: bool) -> DataFrame:
     """Likely pairs of different components in the same bucket; members: (key, cid, comp, sig).
 
     A bucket is cut into blocks, and each pair of blocks is compared at once on signatures, so a large
-    bucket is spread over many tasks and only likely pairs come out. Blocks of buckets with one component never form.
+    bucket is spread over many tasks and only likely pairs come out; with ``best`` only the likeliest
+    of each member. Blocks of buckets with one component never form.
     """
     open_keys = (members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
                  .filter("lo <> hi and n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
@@ -180,8 +187,14 @@ def _open_pairs(members: DataFrame, near: Near) -> DataFrame:
         left = np.flatnonzero(side == rows[0][1])
         right = np.flatnonzero(side == rows[0][2])
         for i in left:
-            est = estimated(sig[i][None], sig[right], near)
-            for j in right[(est >= least) & (comp[right] != comp[i]) & (cid[right] != cid[i])]:
+            others = right[comp[right] != comp[i]]
+            if not len(others):
+                continue
+            est = estimated(sig[i][None], sig[others], near)
+            likely = others[est >= least]
+            if best and len(likely):
+                likely = others[[est.argmax()]]
+            for j in likely:
                 yield min(cid[i], cid[j]), max(cid[i], cid[j])
 
     def compare(batches):
@@ -216,7 +229,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     component_id is the smallest doc_id reachable. Equal sets are one class from the start, so groups of
     exact copies cost one signature. Classes meet in band buckets: first each with the bucket's smallest
     (no bucket emits its pairs), then, in buckets that still hold several components, block by block on
-    packed signatures. What passes the estimate is checked on full sets, so no link is wrong and none is
+    packed signatures: first the likeliest partner of each, then all that still lie in different components. What passes the estimate is checked on full sets, so no link is wrong and none is
     lost that a band found.
 
     Empty and null texts have no shingles and link with nothing. A null doc_id keeps its row, with a null
@@ -238,13 +251,19 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
                 .join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a").select("a", "b", "sig_a", "sig_b"))
     # A document with several texts stands in several classes: they are one node.
     alike = classed.join(classes.select("set_key", "cid"), "set_key").filter("doc_id <> cid").select(F.col("cid").alias("a"), F.col("doc_id").alias("b")).distinct()
-    linked = stage(_confirmed(_likely(with_sigs(first), near), docs, near), "near-links")
-    found = components(linked)
-    members = (shared.select("key", "cid").distinct().join(found, F.col("cid") == F.col("node"), "left")
-               .select("key", "cid", F.coalesce("component", "cid").alias("comp")).join(sig, "cid"))
-    rest = stage(_open_pairs(members, near), "near-open")
-    more = _confirmed(rest, docs, near)
-    everything = components(linked.union(more).union(alike))
+    likely = stage(_likely(with_sigs(first), near), "near-likely")
+    texts = _texts(likely, docs)
+    linked = _confirmed(likely, texts, near).union(alike)
+    for best in (True, False):
+        found = components(linked)
+        members = (shared.select("key", "cid").distinct().join(found, F.col("cid") == F.col("node"), "left")
+                   .select("key", "cid", F.coalesce("component", "cid").alias("comp")).join(sig, "cid"))
+        rest = stage(_open_pairs(members, near, best), "near-open")
+        if rest.isEmpty():
+            break
+        texts = _texts(rest, docs, texts)
+        linked = linked.union(_confirmed(rest, texts, near))
+    everything = components(linked)
     return (rows.join(everything, rows["doc_id"] == everything["node"], "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
