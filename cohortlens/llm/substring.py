@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,6 +158,40 @@ def _doc_rows(doc: np.ndarray, place: np.ndarray, ids: list, marks: list) -> lis
 
 
 _PLACES = "doc_id long, mark long, places array<int>"
+_POSTED = "home int, ids binary, marks binary, counts binary, places binary"
+
+
+def _posted(doc: np.ndarray, place: np.ndarray, ids: list, marks: list, homes: int) -> pa.Table:
+    """Places of documents by number, packed in one row for each home of documents."""
+    i, m = np.array(ids, np.int64), np.array(marks, np.int64)
+    home = np.mod(m[doc], homes) if len(doc) else np.empty(0, np.int64)
+    by = np.lexsort((place, doc, home))
+    doc, place, home = doc[by], place[by], home[by]
+    head = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.empty(0, np.int64)
+    ends = np.r_[head[1:], len(doc)].astype(np.int64)
+    bounds = np.searchsorted(home[head], np.arange(homes + 1))
+    rows = []
+    for h in np.flatnonzero(bounds[1:] > bounds[:-1]):
+        a, b = bounds[h], bounds[h + 1]
+        d = doc[head[a:b]]
+        rows.append((h, i[d].tobytes(), m[d].tobytes(), (ends - head)[a:b].astype(np.uint32).tobytes(), planes(place[head[a]:ends[b - 1]].astype(np.uint32))))
+    columns = list(zip(*rows)) or [()] * 5
+    return pa.table([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(columns)], [x.split()[0] for x in _POSTED.split(", ")])
+
+
+def _gathered(posted: DataFrame) -> DataFrame:
+    """One row per document: its sorted places."""
+    def gather(key, table):
+        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
+        ids, marks = (np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]), counts) for c in ("ids", "marks"))
+        place = np.concatenate([unplanes(x, np.uint32) for x in table.column("places").to_pylist()]).astype(np.int32)
+        by = np.lexsort((place, marks, ids))
+        ids, marks, place = ids[by], marks[by], place[by]
+        head = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[head, len(ids)].astype(np.int32)), pa.array(place))
+        return pa.table([pa.array(ids[head]), pa.array(marks[head]), lists], ["doc_id", "mark", "places"])
+
+    return posted.groupBy("home").applyInArrow(gather, _PLACES)
 
 
 _SENT = "bucket int, keys binary, docs binary, places binary, ids array<long>, marks array<long>, done array<int>"
@@ -182,10 +217,10 @@ def _send(keys, doc, place, ids, marks, buckets) -> list[tuple]:
     return rows
 
 
-def _received(pdf) -> tuple:
+def _received(table: pa.Table) -> tuple:
     """Keys, document numbers, places, ids and marks of all rows of a bucket."""
-    keys, doc, place, ids, marks = [], [], [], [], []
-    for k, d, p, i, m in zip(pdf["keys"], pdf["docs"], pdf["places"], pdf["ids"], pdf["marks"]):
+    keys, doc, place, ids, marks = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [], []
+    for k, d, p, i, m in zip(*(table.column(c).to_pylist() for c in ("keys", "docs", "places", "ids", "marks"))):
         keys.append(unpack_sorted(k))
         doc.append(unplanes(d, np.uint32).astype(np.int64) + len(ids))
         place.append(unplanes(p, np.uint32).astype(np.int64))
@@ -221,27 +256,15 @@ def _shared_cuts(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             if len(keys):
                 yield _batch(_send(keys, doc, place, batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), buckets))
 
-    def match(pdf):
-        keys, doc, place, ids, marks = _received(pdf)
+    def match(key, table):
+        keys, doc, place, ids, marks = _received(table)
         by = np.argsort(keys, kind="stable")
         k = keys[by]
         same = np.r_[False, k[1:] == k[:-1]]
         shared = by[same | np.r_[same[1:], False]]
-        return _frame(_doc_rows(doc[shared], place[shared], ids, marks))
+        return _posted(doc[shared], place[shared], ids, marks, buckets)
 
-    sent = docs.mapInArrow(emit, _SENT)
-    return sent.groupBy("bucket").applyInPandas(match, _PLACES)
-
-
-def _frame(rows: list[tuple]):
-    import pandas as pd
-
-    return pd.DataFrame(rows, columns=["doc_id", "mark", "places"])
-
-
-def _gathered(places: DataFrame) -> DataFrame:
-    """One row per document: its sorted places."""
-    return places.groupBy("doc_id", "mark").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+    return docs.mapInArrow(emit, _SENT).groupBy("bucket").applyInArrow(match, _POSTED)
 
 
 def _later_windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -270,16 +293,17 @@ def _later_windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             done = [(m % buckets, None, None, None, [i], [m], p) for i, m, p in _doc_rows(doc[late], place[late], ids, marks)]
             yield _batch(_send(keys[first], doc[first], place[first], ids, marks, buckets) + done)
 
-    def match(pdf):
-        own = pdf["done"].notna()
-        rows = [(i[0], m[0], d) for i, m, d in zip(pdf.loc[own, "ids"], pdf.loc[own, "marks"], pdf.loc[own, "done"])]
-        if not own.all():
-            keys, doc, place, ids, marks = _received(pdf[~own])
-            _, late = _later(keys, _order(ids, marks, doc, place))
-            rows += _doc_rows(doc[late], place[late], ids, marks)
-        return _frame(rows)
-
-    return docs.mapInArrow(emit, _SENT).groupBy("bucket").applyInPandas(match, _PLACES)
+    def match(key, table):
+        own = pa.compute.is_valid(table.column("done"))
+        told = table.filter(own)
+        keys, doc, place, ids, marks = _received(table.filter(pa.compute.invert(own)))
+        late = _later(keys, _order(ids, marks, doc, place))[1] if len(keys) else np.zeros(0, bool)
+        done = [np.array(x, np.int64) for x in told.column("done").to_pylist()]
+        number = [np.full(len(x), len(ids) + n) for n, x in enumerate(done)]
+        ids, marks = (a + [x[0] for x in told.column(c).to_pylist()] for a, c in ((ids, "ids"), (marks, "marks")))
+        return _posted(np.concatenate([doc[late], *number]).astype(np.int64), np.concatenate([place[late], *done]).astype(np.int64), ids, marks, buckets)
+
+    return docs.mapInArrow(emit, _SENT).groupBy("bucket").applyInArrow(match, _POSTED)
 
 
 def kept_words(words: list[bytes], starts: np.ndarray, window: int) -> np.ndarray:
