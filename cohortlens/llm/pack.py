@@ -12,6 +12,7 @@ from cohortlens.llm.tokens import END_ID, word_tokenizer
 
 SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, "
           "offset long, bucket int")
+KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
 
 
 def piece_lengths(n: int, most: int) -> list[int]:
@@ -40,29 +41,35 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = END_ID
         encode = word_tokenizer(tokenizer).ids
         tail = np.array([end_id], "<u4").tobytes()
         number = TaskContext.get().partitionId() << 40
-        out: list[tuple] = []
-        held = 0
+        out, held = [[] for _ in KINDS], 0
         for batch in steps(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = encode(text) + tail
-                n, start = len(ids) // 4, 0
-                for length in piece_lengths(n, most):
-                    out.append((doc_id, start, length, ids[4 * start:4 * (start + length)], n, number, 0, length.bit_length() - 1))
-                    start, number = start + length, number + 1
-                held += len(ids)
+                n = len(ids) // 4
+                lengths = piece_lengths(n, most)
+                k, start = len(lengths), 0
+                out[0] += [doc_id] * k
+                out[2] += lengths
+                for length in lengths:
+                    out[1].append(start)
+                    out[3].append(ids[4 * start:4 * (start + length)])
+                    start += length
+                out[4] += [n] * k
+                out[5] += range(number, number + k)
+                number, held = number + k, held + len(ids)
                 if held > 8_000_000:
                     yield _rows(out)
-                    out, held = [], 0
-        if out:
+                    out, held = [[] for _ in KINDS], 0
+        if out[0]:
             yield _rows(out)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(cut, SCHEMA)
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+def _rows(columns: list[list]) -> pa.RecordBatch:
+    length = np.array(columns[2], np.int64)
+    columns = [*columns[:6], np.zeros(len(length), np.int64), np.log2(length).astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS)], [x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
