@@ -99,8 +99,10 @@ def bootstrap_values(scores: DataFrame, metric: str = "roc_auc", reps: int = 200
                      buckets: int | None = 4096, seed: int = 42) -> DataFrame:
     """Metric per replicate. Replicate 0 is the sample itself (every weight is the count).
 
-    ``buckets=None`` keeps every distinct score as a cell of its own.
+    ``buckets=None`` keeps every distinct score as a cell of its own. Rows without a label or a
+    score take no part, as in the exact metrics.
     """
+    scores = scores.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     if buckets is None:
         cut = scores.withColumn("bucket", F.col(p).cast("double"))
         edges = quantile_edges(scores, p)
@@ -153,6 +155,7 @@ def paired_bootstrap(pairs: DataFrame, p_a: str = "p_a", p_b: str = "p_b", y: st
     both models. The difference itself is exact. The two-sided p-value is twice the smaller
     share of sign changes.
     """
+    pairs = pairs.where(F.col(y).isNotNull() & F.col(p_a).isNotNull() & F.col(p_b).isNotNull())
     wanted, by = list(by), list(by) or ["_all"]
     if not wanted:
         pairs = pairs.withColumn("_all", F.lit(0))

@@ -81,8 +81,6 @@ def _boosted(**preset) -> Callable[..., Estimator]:
     def make(n: int, **kw) -> Estimator:
         args = dict(featuresCol="features", labelCol="y", maxBins=64, checkpointInterval=10,
                     seed=42, **preset)
-        # Tree building needs a minimum leaf that a small training set can satisfy.
-        args["minInstancesPerNode"] = max(1, min(args["minInstancesPerNode"], n // 20))
         return GBTClassifier(**{**args, **kw})
     return make
 
@@ -213,9 +211,7 @@ def tune(train: DataFrame, features: Sequence[str], group: str, trials: int = 10
     n = train.count()
     gbt = CANDIDATES["leaf_boost"].make(n)
     pipeline = build_model(train, features, gbt, "y", row_key, False, seed, exact_medians)
-    smallest = max(1, n // 20)
-    grid = [{gbt.getParam(k): (min(v, smallest) if k == "minInstancesPerNode" else v)
-             for k, v in d.items()} for d in draws]
+    grid = [{gbt.getParam(k): v for k, v in d.items()} for d in draws]
     rows = grouped_stratified_folds(train, group, "y", folds, seed, "fold")
     cv = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, foldCol="fold", numFolds=folds,
                         evaluator=BinaryClassificationEvaluator(labelCol="y"),

@@ -39,8 +39,13 @@ def both_ends(df: DataFrame, col: str, k: int, key: str, min_n: int | None = Non
             .unionByName(top_k(df, col, k, key, min_n, n).withColumn("side", F.lit("highest"))))
 
 
-def rank_by_abs(df: DataFrame, col: str, key: str) -> DataFrame:
-    return df.orderBy(F.abs(F.col(col)).desc_nulls_last(), F.asc_nulls_last(key))
+def rank_by_abs(df: DataFrame, col: str, key: str, rank: str | None = None) -> DataFrame:
+    """Rows by descending magnitude, ties by key, NULL last; ``rank`` names a 1-based place to add."""
+    if rank is None:
+        return df.orderBy(F.abs(F.col(col)).desc_nulls_last(), F.asc_nulls_last(key))
+    sized = df.withColumn("_size", F.coalesce(F.abs(F.col(col)).cast("double"), F.lit(-1.0)))
+    placed = global_row_number(sized, "_size", [key], quantile_edges(sized, "_size"), descending=True, out=rank)
+    return placed.select(*df.columns, rank).orderBy(rank)
 
 
 # --- prefix sums ---------------------------------------------------------------------------
@@ -106,11 +111,13 @@ def distributed_cumsum(df: DataFrame, by: Sequence[str], order: str,
     sums = cut.groupBy(*by, "_bucket").agg(*[F.sum(v).alias(f"_t_{v}") for v in needed])
     group = Window.partitionBy(*by)
     before = group.orderBy(direction("_bucket")).rowsBetween(start, -1)
+    # Keys are compared null-safely, as the window does, so a NULL group counts like any other.
     others = sums.select(
-        *by, "_bucket",
+        *[F.col(b).alias(f"_k_{b}") for b in [*by, "_bucket"]],
         *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{o}") for o, v in values.items()],
         *[F.sum(f"_t_{v}").over(group.rowsBetween(start, end)).alias(o) for o, v in totals.items()])
-    joined = local.join(others, [*by, "_bucket"], "left")
+    same = [F.col(b).eqNullSafe(F.col(f"_k_{b}")) for b in [*by, "_bucket"]]
+    joined = local.join(others, same, "left")
     return joined.select(*df.columns, *[(F.col(o) + F.col(f"_o_{o}")).alias(o) for o in values], *totals)
 
 

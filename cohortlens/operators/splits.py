@@ -93,11 +93,16 @@ def grouped_stratified_folds(df: DataFrame, group: str, target: str, k: int = 5,
 
 def stratified_sample(df: DataFrame, target: str, n: int | None, key: str,
                       seed: int = 42) -> DataFrame:
-    """Sample without replacement that keeps the class shares: round(n * share) per class."""
+    """Sample without replacement that keeps the class shares: round(n * share) per class.
+
+    Rows without a label belong to no class and are left out, whatever ``n``; ``None`` takes no sample.
+    """
     if n is None:
         return df
     counts = {r[target]: r["n"] for r in df.groupBy(target).agg(
-        F.count(F.lit(1)).alias("n")).where(F.col(target).isNotNull()).collect()}
+        F.count(F.lit(1)).alias("n")).collect()}
+    if counts.pop(None, 0):
+        df = df.where(F.col(target).isNotNull())
     total = sum(counts.values())
     if n >= total:
         return df

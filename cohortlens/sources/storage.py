@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -16,16 +17,17 @@ def counted_write(df: DataFrame, write) -> int:
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], cluster: Sequence[str] = (),
-                      files_per_partition: int | None = None) -> int:
+                      partitions: int | None = None) -> int:
     """Write Parquet partitioned by ``by`` and sorted by ``cluster`` inside each file.
 
     Rows are range-distributed on (by, cluster): every file holds a narrow key range, so
     min/max statistics prune row groups, and Spark cuts ranges from a sample, so one hot
-    group or one year does not become a single task. Returns the rows written.
+    group or one year does not become a single task. ``partitions`` is the number of ranges in
+    all. Returns the rows written.
     """
     keys = [*by, *cluster]
     spread = keys + [c for c in df.columns if c not in keys][:1]
-    ranged = (df.repartitionByRange(files_per_partition, *spread) if files_per_partition
+    ranged = (df.repartitionByRange(partitions, *spread) if partitions
               else df.repartitionByRange(*spread))
     ordered = ranged.sortWithinPartitions(*keys)
     return counted_write(ordered, lambda d: d.write.mode("overwrite").partitionBy(*by).parquet(path))
@@ -73,7 +75,7 @@ def load_model(path: str) -> PipelineModel:
     try:
         return PipelineModel.load(path)
     except Exception as err:
-        if "does not exist" in str(err) or "No such file" in str(err) or "Path" in str(err):
+        if "does not exist" in str(err) or "No such file" in str(err):
             raise FileNotFoundError(f"no trained model under {path}; train one first") from err
         raise
 

@@ -23,9 +23,11 @@ def base(spark):
         "alvo_alfabetizado": rng.uniform(size=n) < 1 / (1 + np.exp(-x)), "alu_rede": rng.choice(["Municipal", "Estadual"], n),
         "alu_peso_amostral": rng.uniform(size=n), "ses_ivs": x + rng.normal(scale=0.2, size=n), "ses_gini": 0.5,
         "inse_medio": -x, "ter_regiao": [f"r{t % 2}" for t in town]})
-    return (spark.createDataFrame(pdf)
+    table = (spark.createDataFrame(pdf)
             .withColumn("mun_lag_meta_ano_alvo", F.when(F.col("ano") == 2024, F.lit(55.0)))
             .withColumn("mun_lag_taxa_observada", F.when(F.col("ano") == 2024, F.col("inse_medio"))).persist())
+    yield table
+    table.unpersist()
 
 
 def test_designs_differ_in_split_and_history(base):

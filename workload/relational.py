@@ -479,9 +479,10 @@ def _(s: Star):
     return W.both_ends(A.outcome_by(s.evaluated, ["school"], "target"), "rate", 15, "school", 2)
 
 
-@query("w4_rank_by_abs", "SELECT c_custkey, c_acctbal FROM customer")
+@query("w4_rank_by_abs", """
+    SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY abs(c_acctbal) DESC, c_custkey) AS place FROM customer""")
 def _(s: Star):
-    return W.rank_by_abs(s.t("customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey")
+    return W.rank_by_abs(s.t("customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey", "place")
 
 
 @query("w5_distributed_cumsum", """
