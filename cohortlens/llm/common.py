@@ -15,7 +15,7 @@ from cohortlens.session import stage
 #: Characters that separate words; every other character belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Distinct words that one Python worker remembers at most; the memory is emptied beyond it.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 250_000
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
 STEP_BYTES = 8_000_000
 
@@ -37,6 +37,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), U64, len(words))
 
 
+#: Shared by all operators that run in one Python worker.
+WORD_HASHES = WordHashes()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit values."""
     x = (x ^ (x >> U64(32))) * _GOLDEN

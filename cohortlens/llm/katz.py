@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import U64, WordHashes, mix, ordered_bucket, pack_sorted, parts_for, planes, steps, text_bytes, unpack_sorted, unplanes, utf8
+from cohortlens.llm.common import U64, WORD_HASHES, mix, ordered_bucket, pack_sorted, parts_for, planes, steps, text_bytes, unpack_sorted, unplanes, utf8
 from cohortlens.session import stage
 
 VOCAB_SHARE = 2.0 ** -17
@@ -25,7 +25,6 @@ MIN_COUNT = 2
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
 SLICE_BYTES, BUCKET_BYTES = 12_000_000, 12_000_000
-_WORDS = WordHashes()
 _SHIFT = U64(20)
 
 
@@ -125,7 +124,7 @@ def _word_table(docs: DataFrame, buckets: int) -> DataFrame:
     def count(batches):
         for batch in steps(batches):
             learn = batch.column("learn").to_pylist()
-            found = [_WORDS.of(utf8(t).lower().split()) for t, k in zip(batch.column("text").to_pylist(), learn) if k]
+            found = [WORD_HASHES.of(utf8(t).lower().split()) for t, k in zip(batch.column("text").to_pylist(), learn) if k]
             k, c = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, U64), np.empty(0, np.int64))
             bounds = np.searchsorted(ordered_bucket(k, buckets).astype(np.int64), np.arange(buckets + 1))
             rows = [(b, pack_sorted(k[x:y]), planes(c[x:y].astype(np.int64)), 0) for b, (x, y) in enumerate(zip(bounds, bounds[1:])) if x < y]
@@ -164,7 +163,7 @@ class _Slice:
     """Tokens of the texts of one slice as codes, with what has to be asked about them."""
 
     def __init__(self, texts: list, learn: list, classes: Classes, buckets: int):
-        h = [_WORDS.of(utf8(t).lower().split()) for t in texts]
+        h = [WORD_HASHES.of(utf8(t).lower().split()) for t in texts]
         self.lengths = np.array([len(x) + 1 for x in h], np.int64)
         ends = np.cumsum(self.lengths) - 1
         n = int(self.lengths.sum())

@@ -10,10 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import U64, WordHashes, components, join_hash, mix, steps, utf8
+from cohortlens.llm.common import U64, WORD_HASHES, components, join_hash, mix, steps, utf8
 from cohortlens.session import stage
 
-_WORDS = WordHashes()
 _LONE = U64(0xA5A5F00D)
 #: Members of one bucket that one block holds when members of different components are compared.
 BLOCK = 2_048
@@ -46,7 +45,7 @@ class Near:
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of ``words`` words; of the whole text if it has fewer; none without words.
     A-Z are lower-cased; words are what stands between the characters 0x20 and 0x09 to 0x0D."""
-    w = _WORDS.of(utf8(text).lower().split())
+    w = WORD_HASHES.of(utf8(text).lower().split())
     if not len(w):
         return w
     size = min(words, len(w))

@@ -19,10 +19,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import U64, WordHashes, join_hash, mix, ordered_bucket, pack_sorted, parts_for, planes, steps, text_bytes, unpack_sorted, unplanes, utf8
+from cohortlens.llm.common import U64, WORD_HASHES, join_hash, mix, ordered_bucket, pack_sorted, parts_for, planes, steps, text_bytes, unpack_sorted, unplanes, utf8
 from cohortlens.session import stage
 
-_WORDS = WordHashes()
 _BASE = U64(0x9E3779B97F4A7C15)
 #: Bytes of text whose keys one bucket gets.
 BUCKET_TEXT = 12_000_000
@@ -241,7 +240,7 @@ def _order(ids: list, marks: list, doc: np.ndarray, place: np.ndarray) -> np.nda
 def _hashed(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     for k, text in enumerate(batch.column("text").to_pylist()):
         words = utf8(text).split()
-        yield k, _WORDS.of(words)
+        yield k, WORD_HASHES.of(words)
 
 
 def _shared_cuts(docs: DataFrame, window: int, buckets: int) -> DataFrame:

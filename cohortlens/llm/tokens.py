@@ -22,7 +22,7 @@ class WordTokenizer:
     ``Tokenizer.encode(text, add_special_tokens=False)`` gives them, special tokens in texts included.
     """
 
-    MOST = 800_000
+    MOST = 400_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
