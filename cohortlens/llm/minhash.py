@@ -16,6 +16,8 @@ from cohortlens.session import stage
 _LONE = U64(0xA5A5F00D)
 #: Members of one bucket that one block holds when members of different components are compared.
 BLOCK = 2_048
+#: Cells over which a set's members are counted; one byte each.
+CELLS = 256
 #: Ids of documents to be confirmed that may go to every task.
 FEW_IDS = 5_000
 
@@ -41,6 +43,10 @@ class Near:
     def minima(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def sig_bytes(self) -> int:
+        return -(-self.minima * self.bits // 8)
+
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of ``words`` words; of the whole text if it has fewer; none without words.
@@ -87,8 +93,34 @@ def estimated(a: np.ndarray, b: np.ndarray, near: Near) -> np.ndarray:
     return (agree / near.minima - chance) / (1 - chance)
 
 
+def cells(shingles: np.ndarray) -> bytes:
+    """How many members of the set fall into each cell of the hash range (255: as many or more), and the set's size."""
+    counts = np.bincount((shingles >> U64(56)).astype(np.int64), minlength=CELLS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + np.array([len(shingles)], "<u4").tobytes()
+
+
+def may_link(a: np.ndarray, b: np.ndarray, near: Near) -> np.ndarray:
+    """Whether two sets can reach the wanted similarity, from rows of ``cells``: what they share in a cell is at most
+    the smaller count, so no pair that would be linked is turned away."""
+    shared = np.minimum(a[..., :CELLS], b[..., :CELLS])
+    most = shared.sum(axis=-1, dtype=np.int64)
+    size = [np.ascontiguousarray(x[..., CELLS:]).view("<u4")[..., 0].astype(np.int64) for x in (a, b)]
+    most = np.where((shared == 255).any(axis=-1), np.minimum(*size), most)
+    return (near.den + near.num) * most >= near.num * (size[0] + size[1])
+
+
+def likely(a: np.ndarray, b: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates of pairs of signatures with cells behind them, and which pairs go to the exact check."""
+    n = near.sig_bytes
+    est = estimated(a[..., :n], b[..., :n], near)
+    good = est >= near.num / near.den - near.slack
+    at = np.flatnonzero(good)
+    good[at] = may_link(np.broadcast_to(a, (len(good), a.shape[-1]))[at, n:], b[at, n:], near)
+    return est, good
+
+
 def signatures(docs: DataFrame, near: Near) -> DataFrame:
-    """(doc_id, n_shingles, set_key binary, sig binary, keys array<long>) of every row."""
+    """(doc_id, n_shingles, set_key binary, sig binary, keys array<long>) of every row; ``sig`` has the cells behind it."""
     def sign(batches):
         multipliers = _multipliers(near.minima)
         for batch in steps(batches):
@@ -105,7 +137,7 @@ def signatures(docs: DataFrame, near: Near) -> DataFrame:
                 for k in range(near.rows):
                     h = join_hash(h, bands[:, k])
                 set_key.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sig.append(low_bits(m, near.bits))
+                sig.append(low_bits(m, near.bits) + cells(s))
                 keys.append(h.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(set_key, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -116,14 +148,12 @@ def signatures(docs: DataFrame, near: Near) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, near: Near) -> DataFrame:
-    """Pairs (a, b, sig_a, sig_b) whose estimate reaches the wanted similarity less the slack."""
-    least = near.num / near.den - near.slack
-
+    """Pairs (a, b, sig_a, sig_b) whose estimate reaches the wanted similarity less the slack and whose cells allow a link."""
     def keep(batches):
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-                yield batch.select(["a", "b"]).filter(pa.array(estimated(a, b, near) >= least))
+                yield batch.select(["a", "b"]).filter(pa.array(likely(a, b, near)[1]))
 
     return pairs.mapInArrow(keep, "a long, b long")
 
@@ -164,20 +194,19 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
     return stage(both.mapInArrow(check, "a long, b long"), "near-links")
 
 
-def _open_pairs(members: DataFrame, near: Near, best: bool) -> DataFrame:
-    """Likely pairs of different components in the same bucket; members: (key, cid, comp, sig).
+def _open_pairs(members: DataFrame, sig: DataFrame, near: Near, best: bool) -> DataFrame:
+    """Likely pairs of different components in the same bucket; members: (key, cid, comp), sig: (cid, sig).
 
     A bucket is cut into blocks, and each pair of blocks is compared at once on signatures, so a large
     bucket is spread over many tasks and only likely pairs come out; with ``best`` only the likeliest
-    of each member. Blocks of buckets with one component never form.
+    of each member. Blocks of buckets with one component never form, and signatures are fetched for the rest alone.
     """
     open_keys = (members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
                  .filter("lo <> hi and n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     spread = (members.join(open_keys, "key").withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "cid", "comp", "sig"))
+              .join(sig, "cid").select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "cid", "comp", "sig"))
     ordered = spread.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    least = near.num / near.den - near.slack
 
     def within(rows):
         side = np.array([r[3] for r in rows])
@@ -189,11 +218,11 @@ def _open_pairs(members: DataFrame, near: Near, best: bool) -> DataFrame:
             others = right[comp[right] != comp[i]]
             if not len(others):
                 continue
-            est = estimated(sig[i][None], sig[others], near)
-            likely = others[est >= least]
-            if best and len(likely):
-                likely = others[[est.argmax()]]
-            for j in likely:
+            est, good = likely(sig[i][None], sig[others], near)
+            found = others[good]
+            if best and len(found):
+                found = found[[est[good].argmax()]]
+            for j in found:
                 yield min(cid[i], cid[j]), max(cid[i], cid[j])
 
     def compare(batches):
@@ -228,8 +257,9 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     component_id is the smallest doc_id reachable. Equal sets are one class from the start, so groups of
     exact copies cost one signature. Classes meet in band buckets: first each with the bucket's smallest
     (no bucket emits its pairs), then, in buckets that still hold several components, block by block on
-    packed signatures: first the likeliest partner of each, then all that still lie in different components. What passes the estimate is checked on full sets, so no link is wrong and none is
-    lost that a band found.
+    packed signatures: first the likeliest partner of each, then all that still lie in different components. What
+    passes the estimate, and is not ruled out by how many members the sets have in each cell of the hash range, is
+    checked on full sets, so no link is wrong and none is lost that a band found.
 
     Empty and null texts have no shingles and link with nothing. A null doc_id keeps its row, with a null
     component and kept true. Rows that repeat a doc_id are one document: each row is returned with the
@@ -250,14 +280,14 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
                 .join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a").select("a", "b", "sig_a", "sig_b"))
     # A document with several texts stands in several classes: they are one node.
     alike = classed.join(classes.select("set_key", "cid"), "set_key").filter("doc_id <> cid").select(F.col("cid").alias("a"), F.col("doc_id").alias("b")).distinct()
-    likely = stage(_likely(with_sigs(first), near), "near-likely")
-    texts = _texts(likely, docs)
-    linked = _confirmed(likely, texts, near).union(alike)
+    starred = stage(_likely(with_sigs(first), near), "near-likely")
+    texts = _texts(starred, docs)
+    linked = _confirmed(starred, texts, near).union(alike)
     for best in (True, False):
         found = components(linked)
         members = (shared.select("key", "cid").distinct().join(found, F.col("cid") == F.col("node"), "left")
-                   .select("key", "cid", F.coalesce("component", "cid").alias("comp")).join(sig, "cid"))
-        rest = stage(_open_pairs(members, near, best), "near-open")
+                   .select("key", "cid", F.coalesce("component", "cid").alias("comp")))
+        rest = stage(_open_pairs(members, sig, near, best), "near-open")
         if rest.isEmpty():
             break
         texts = _texts(rest, docs, texts)

@@ -93,6 +93,21 @@ def test_near_duplicates_equal_brute_force(spark):
         assert got == brute_near(rows, size)
 
 
+def test_cells_never_turn_a_link_away():
+    r, near, turned = np.random.default_rng(8), minhash.Near(), 0
+    for size in (1, 5, 60, 400, 5_000, 200_000):
+        for share in (0.3, 0.6, 0.78, 0.8, 0.82, 1.0):
+            pool = r.integers(0, 2**64, 3 * size, dtype=np.uint64)
+            common = int(round(2 * size * share / (1 + share)))
+            x, y = (np.unique(np.r_[pool[:common], pool[a:a + size - common]]) for a in (size, 2 * size))
+            both = len(np.intersect1d(x, y))
+            linked = 100 * both >= 80 * (len(x) + len(y) - both)
+            may = bool(minhash.may_link(*(np.frombuffer(minhash.cells(s), np.uint8)[None] for s in (x, y)), near)[0])
+            assert may or not linked
+            turned += not may
+    assert turned >= 8
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD_ROWS) and none.count() == minhash.near_duplicates(none).count() == 0
