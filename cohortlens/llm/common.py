@@ -110,18 +110,21 @@ def crc_fold(column: str, modulus: int) -> Column:
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): one row (node, component), the component
-    being the smallest node. Alternates large-star and small-star rounds; each round is one written
+    being the smallest node. Alternates large-star and small-star rounds until every node hangs on a
+    node that hangs on none; links that are so from the start take no round. Each round is one written
     table, so lost executors repeat one round at most. Hot nodes are aggregated on the map side and
     their joins are ordinary joins that adaptive execution splits. Links of a node to itself are ignored.
     """
-    def signature(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def settled(df: DataFrame) -> bool:
+        ends = df.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(df.select("b", F.lit(0), F.lit(1)))
+        return ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).filter("hangs > 1 or hangs = 1 and holds = 1").isEmpty()
 
     e = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    seen = signature(e)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
+    rounds = 0
+    while not settled(e):
+        if rounds == max_rounds:
+            raise RuntimeError("components did not settle")
+        rounds += 1
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -129,11 +132,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = (large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(least.select("a", F.col("m").alias("b"))).distinct())
         e = stage(small, "cc")
-        now = signature(e)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
     return (e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-            .union(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct())
+            .union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
+
+
+def joined_components(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """``found``, as returned by ``components``, after further edges (a, b): these are lifted to the components
+    of their ends, so rounds run over the new edges alone."""
+    ends = edges
+    for side in ("a", "b"):
+        of = found.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+        ends = ends.join(of, side, "left")
+    top = components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))).select(F.col("node").alias("was"), F.col("component").alias("now"))
+    moved = found.join(top, found["component"] == top["was"], "left").select("node", F.coalesce("now", "component").alias("component"))
+    fresh = top.join(found.select(F.col("node").alias("was")), "was", "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
+    return stage(moved.union(fresh), "cc-joined")

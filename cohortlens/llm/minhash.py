@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import U64, WORD_HASHES, components, join_hash, mix, steps, utf8
+from cohortlens.llm.common import U64, WORD_HASHES, components, join_hash, joined_components, mix, steps, utf8
 from cohortlens.session import stage
 
 _LONE = U64(0xA5A5F00D)
@@ -282,17 +282,17 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     alike = classed.join(classes.select("set_key", "cid"), "set_key").filter("doc_id <> cid").select(F.col("cid").alias("a"), F.col("doc_id").alias("b")).distinct()
     starred = stage(_likely(with_sigs(first), near), "near-likely")
     texts = _texts(starred, docs)
-    linked = _confirmed(starred, texts, near).union(alike)
+    found = components(_confirmed(starred, texts, near).union(alike))
     for best in (True, False):
-        found = components(linked)
         members = (shared.select("key", "cid").distinct().join(found, F.col("cid") == F.col("node"), "left")
                    .select("key", "cid", F.coalesce("component", "cid").alias("comp")))
         rest = stage(_open_pairs(members, sig, near, best), "near-open")
         if rest.isEmpty():
             break
         texts = _texts(rest, docs, texts)
-        linked = linked.union(_confirmed(rest, texts, near))
-    everything = components(linked)
-    return (rows.join(everything, rows["doc_id"] == everything["node"], "left")
+        more = _confirmed(rest, texts, near)
+        if not more.isEmpty():
+            found = joined_components(found, more)
+    return (rows.join(found, rows["doc_id"] == found["node"], "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cohortlens.llm import chat, decontaminate, embeddings, katz, minhash, pack, quality, records, substring, urls
-from cohortlens.llm.common import components, crc_fold, pack_sorted, planes, unpack_sorted, unplanes
+from cohortlens.llm.common import components, crc_fold, joined_components, pack_sorted, planes, unpack_sorted, unplanes
 from cohortlens.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, found string, places string"
@@ -58,6 +58,16 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_joined_later_equal_those_of_all_edges(spark, seed):
+    r = random.Random(seed)
+    edges = [(r.randrange(90), r.randrange(90)) for _ in range(55)]
+    first, more = (spark.createDataFrame(e, "a long, b long") for e in (edges[:35], edges[35:]))
+    want = {x.node: x.component for x in components(first.union(more)).collect()}
+    got = joined_components(components(first), more).collect()
+    assert len(got) == len(want) and {x.node: x.component for x in got} == want
+
+
 def brute_near(rows, words, num=80, den=100):
     sets = {}
     for i, t in rows:
