@@ -103,22 +103,23 @@ def lag_join(left: DataFrame, right: DataFrame, by: Sequence[str], year: str = "
     return left.join(moved, [year, *by], how)
 
 
-def edition_map(releases: DataFrame, year: str, release: str, edition: str,
-                horizon: int = 30) -> DataFrame:
-    """For each year the last edition released before it, and the edition before that one.
+def edition_map(releases: DataFrame, years: DataFrame, year: str, release: str, edition: str) -> DataFrame:
+    """For each target year the last edition released before it, and the edition before that one.
 
-    ``releases`` has one row per edition (a handful). Each edition is valid for the years
-    after its release up to and including the next release; those years are written out,
-    so facts later meet the map through an equi-join and never through a range condition.
+    ``releases`` has one row per edition (a handful), ``years`` any rows with the target years; each
+    distinct one is placed among the releases, however late it is, so facts later meet the map through
+    an equi-join and never through a range condition. Years before every release have no row.
     """
     one = releases.groupBy(release).agg(F.max(edition).alias(edition))
-    w = Window.orderBy(release)
-    spans = one.select(
-        edition, F.lag(edition).over(w).alias(f"previous_{edition}"),
-        (F.col(release) + 1).alias("_from"),
-        F.coalesce(F.lead(release).over(w), F.col(release) + horizon).alias("_to"))
-    return spans.select(F.explode(F.sequence(F.col("_from").cast("int"), F.col("_to").cast("int")))
-                        .alias(year), edition, f"previous_{edition}")
+    known = one.select(
+        (F.col(release) + 1).cast("int").alias(year), F.lit(False).alias("_asked"),
+        F.struct(F.col(edition), F.lag(edition).over(Window.orderBy(release)).alias(f"previous_{edition}")).alias("_known"))
+    asked = years.select(F.col(year).cast("int").alias(year)).where(F.col(year).isNotNull()).distinct()
+    both = known.unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    # One row per calendar year and per edition: a bounded window.
+    latest = F.last("_known", ignorenulls=True).over(Window.orderBy(year, "_asked").rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumn("_known", latest).where(F.col("_asked") & F.col("_known").isNotNull())
+    return placed.select(year, f"_known.{edition}", f"_known.previous_{edition}")
 
 
 def asof_release_join(left: DataFrame, editions: DataFrame, mapping: DataFrame,

@@ -196,7 +196,7 @@ def _(s: Star):
     g = A.outcome_by(s.evaluated, ["year", "grp"], "target").drop("n")
     editions = g.where(F.col("year").isin(EDITIONS)).select(F.col("year").alias("edition"), "grp", "rate")
     releases = literal_relation(s.spark, "release int, edition int", [(e, e) for e in EDITIONS])
-    m = J.edition_map(releases, "year", "release", "edition")
+    m = J.edition_map(releases, g, "year", "release", "edition")
     left = g.select("year", "grp").join(m, "year", "left")
     now = J.asof_release_join(left.drop("edition", "previous_edition"),
                               editions.withColumnRenamed("rate", "edition_rate"), m, ["grp"], "year", "edition")
