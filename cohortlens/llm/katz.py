@@ -1,10 +1,8 @@
-"""Katz backoff language model: Good-Turing discounted bigrams over unigrams, exactly normalised.
+"""Katz backoff language model of any order: Good-Turing discounted n-grams over smoothed words, exactly normalised.
 
-Every word has its exact training count. Bigrams are counted between classes: each word whose share of
-the training tokens is at least ``VOCAB_SHARE`` (so there are at most 1 / VOCAB_SHARE of them, whatever
-the corpus), the end of a text, and one class for all other words, within which a word has its share of
-the base distribution. Counts that grow with the corpus stay in bucketed tables; what reaches the driver
-and every task has one entry per class.
+Every word has its own n-grams, keyed by 64-bit hashes of all their words; nothing is cut by frequency. What grows
+with the corpus (counts of each order, sums and backoff weights of each context) stays in bucketed tables; the driver
+and every task get some numbers for each order.
 """
 
 from __future__ import annotations
@@ -16,36 +14,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import U64, WORD_HASHES, mix, ordered_bucket, pack_sorted, parts_for, planes, steps, text_bytes, unpack_sorted, unplanes, utf8
+from cohortlens.llm.common import U64, WORD_HASHES, join_hash, ordered_bucket, pack_sorted, parts_for, planes, text_bytes, unpack_sorted, unplanes, utf8
 from cohortlens.session import stage
 
-VOCAB_SHARE = 2.0 ** -17
-#: Bigrams counted fewer times are treated as unseen, as Katz proposes for those seen once.
-MIN_COUNT = 2
+#: Words of an n-gram at most.
+ORDER = 2
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
 SLICE_BYTES, BUCKET_BYTES = 12_000_000, 12_000_000
-_SHIFT = U64(20)
-
-
-def _add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, and their summed counts."""
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    by = np.argsort(k, kind="stable")
-    k, c = k[by], c[by]
-    head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
-    return k[head], np.add.reduceat(c, head) if len(head) else c
-
-
-def _by_bucket(bucket: np.ndarray, buckets: int):
-    """Order that sorts by bucket, stable, and the bounds of each."""
-    by = np.argsort(bucket, kind="stable")
-    return by, np.searchsorted(bucket[by], np.arange(buckets + 1))
+_START, _END = U64(0x5DEECE66D1CE4E5B), U64(0xA3EC647659359ACD)
 
 
 @dataclass
 class Classes:
-    """Word classes and the base distribution: sorted word hashes with their counts, then end, rest, start."""
+    """Tokens and their base distribution where all fit in one array: counts of words, then end, rest, start."""
 
     words: np.ndarray
     counts: np.ndarray  # of words
@@ -54,23 +36,19 @@ class Classes:
     types: int  # distinct training tokens, the end included
 
     def __post_init__(self):
-        k = len(self.words)
-        self.end, self.rest, self.start = k, k + 1, k + 2
         self.total = self.tokens + 0.5 * (self.types + 1)
         p = (np.r_[self.counts, self.ends] + 0.5) / self.total
         self.base = np.r_[p, max(1 - p.sum(), 1e-300), 0.0]
         # Occurrences as a context.
         self.seen = np.r_[self.counts, 0, self.tokens - self.ends - self.counts.sum(), self.ends].astype(np.int64)
 
-    def codes(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.full(len(h), self.rest, np.int64)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at, self.rest)
 
-    def salts(self, buckets: int) -> np.ndarray:
-        """Buckets over which the bigrams of each context are spread: in proportion to its share."""
-        return np.maximum(1, np.ceil(2 * buckets * self.seen / max(self.tokens, 1))).astype(np.int64)
+@dataclass
+class Level:
+    """What one order backs off to: occurrences of its contexts and the probabilities of the order below."""
+
+    seen: np.ndarray
+    base: np.ndarray
 
 
 @dataclass
@@ -81,14 +59,14 @@ class Backoff:
     factor: np.ndarray
     weight: np.ndarray
 
-    def probability(self, classes: Classes, context: np.ndarray, word: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """P(word class | context class): the discounted bigram, or else the backed-off unigram."""
-        seen = self.discount[np.minimum(count, DISCOUNTED + 1)] * count * self.factor[context] / np.maximum(classes.seen[context], 1)
-        return np.where(count > 0, seen, self.weight[context] * classes.base[word])
+    def probability(self, level: Level | Classes, context: np.ndarray, word: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """P(word | context): the discounted n-gram, or else what the order below gives, weighted."""
+        seen = self.discount[np.minimum(count, DISCOUNTED + 1)] * count * self.factor[context] / np.maximum(level.seen[context], 1)
+        return np.where(count > 0, seen, self.weight[context] * level.base[word])
 
 
 def good_turing(of_counts: np.ndarray) -> np.ndarray:
-    """Discount of each count 0 .. DISCOUNTED + 1 from the numbers of bigrams seen 0 .. DISCOUNTED + 1 times.
+    """Discount of each count 0 .. DISCOUNTED + 1 from the numbers of n-grams seen 0 .. DISCOUNTED + 1 times.
 
     Katz's formula where it gives a value in (0, 1]; 1 - 0.5 / r where the counts of counts are too uneven for it.
     """
@@ -101,115 +79,192 @@ def good_turing(of_counts: np.ndarray) -> np.ndarray:
     return d
 
 
-def backoff(classes: Classes, of_counts: np.ndarray, low: np.ndarray, high: np.ndarray, base: np.ndarray) -> Backoff:
+def weigh(discount: np.ndarray, seen: np.ndarray, kept: np.ndarray, base: np.ndarray) -> Backoff:
     """Weights that make each context's probabilities add up to one.
 
-    low[h, r]: bigrams of the context seen r times; high[h]: occurrences of those seen more than DISCOUNTED
-    times; base[h]: unigram probability of all its seen words. A context whose discounts leave nothing for
-    unseen words gets one more in its denominator; one that has seen every class is scaled to one.
+    kept[h]: discounted occurrences of the context's n-grams; base[h]: probability of all its seen words one order
+    below. A context whose discounts leave nothing for unseen words gets one more in its denominator; one that
+    has seen every word is scaled to one.
     """
-    d = good_turing(of_counts)
-    n = np.maximum(classes.seen, 1).astype(float)
-    kept = (low @ (d[:DISCOUNTED + 1] * np.arange(DISCOUNTED + 1)) + high) / n
+    n = np.maximum(seen, 1).astype(float)
+    kept = kept / n
     factor = np.where(1 - kept < 1e-9, n / (n + 1), 1.0)
     open_ = 1 - base
     left = 1 - kept * factor
     closed = open_ < 1e-9
     factor = np.where(closed & (kept > 0), 1 / np.where(kept > 0, kept, 1), factor)
-    return Backoff(d, factor, np.where(closed, 0.0, left / np.where(closed, 1, open_)))
-
-
-def _word_table(docs: DataFrame, buckets: int) -> DataFrame:
-    """Training counts of all words: (bucket, keys, counts, types, tokens, texts), one row for each bucket."""
-    def count(batches):
-        for batch in steps(batches):
-            learn = batch.column("learn").to_pylist()
-            found = [WORD_HASHES.of(utf8(t).lower().split()) for t, k in zip(batch.column("text").to_pylist(), learn) if k]
-            k, c = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, U64), np.empty(0, np.int64))
-            bounds = np.searchsorted(ordered_bucket(k, buckets).astype(np.int64), np.arange(buckets + 1))
-            rows = [(b, pack_sorted(k[x:y]), planes(c[x:y].astype(np.int64)), 0) for b, (x, y) in enumerate(zip(bounds, bounds[1:])) if x < y]
-            rows.append((0, b"", b"", len(found)))
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.int64()))], ["bucket", "keys", "counts", "texts"])
+    return Backoff(discount, factor, np.where(closed, 0.0, left / np.where(closed, 1, open_)))
 
-    def add(key, table):
-        k, c = _add_up([unpack_sorted(x) for x in table.column("keys").to_pylist()], [unplanes(x, np.int64) for x in table.column("counts").to_pylist()])
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([pack_sorted(k)], pa.binary()), "counts": pa.array([planes(c)], pa.binary()),
-                         "types": pa.array([len(k)], pa.int64()), "tokens": pa.array([int(c.sum())], pa.int64()), "texts": pa.array([sum(table.column("texts").to_pylist())], pa.int64())})
-
-    sent = docs.select("text", "learn").mapInArrow(count, "bucket int, keys binary, counts binary, texts long")
-    return stage(sent.groupBy("bucket").applyInArrow(add, "bucket int, keys binary, counts binary, types long, tokens long, texts long"), "lm-words")
 
+def backoff(classes: Classes, of_counts: np.ndarray, low: np.ndarray, high: np.ndarray, base: np.ndarray) -> Backoff:
+    """``weigh`` from low[h, r], n-grams of the context seen r times, and high[h], occurrences of those seen more than DISCOUNTED times."""
+    d = good_turing(of_counts)
+    return weigh(d, classes.seen, low @ (d[:DISCOUNTED + 1] * np.arange(DISCOUNTED + 1)) + high, base)
 
-def _classes(words: DataFrame, share: float) -> Classes:
-    totals = words.agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens"), F.sum("texts").alias("texts")).first()
-    texts = totals.texts or 0
-    tokens = (totals.tokens or 0) + texts
-    least = max(1, int(np.ceil(share * tokens)))
 
-    def frequent(batches):
-        for batch in batches:
-            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                k, c = unpack_sorted(k), unplanes(c, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(k[c >= least].view(np.int64)), pa.array(c[c >= least])], ["word", "n"])
+@dataclass
+class Totals:
+    """Training texts and tokens (ends included), the denominator of the smoothed words, and discounts by order."""
 
-    # At most 1 / share rows, by definition of the threshold.
-    rows = words.select("keys", "counts").mapInArrow(frequent, "word long, n long").toPandas()
-    h, c = rows["word"].to_numpy(np.int64).view(U64), rows["n"].to_numpy(np.int64)
-    by = np.argsort(h)
-    return Classes(h[by], c[by], texts, tokens, (totals.types or 0) + (1 if texts else 0))
+    texts: int
+    tokens: int
+    total: float
+    discounts: dict[int, np.ndarray]
 
 
 class _Slice:
-    """Tokens of the texts of one slice as codes, with what has to be asked about them."""
+    """Tokens of the texts of one slice: for each order the distinct n-grams and contexts, and which stand at each token."""
 
-    def __init__(self, texts: list, learn: list, classes: Classes, buckets: int):
+    def __init__(self, texts: list, learn: list, order: int, buckets: int):
         h = [WORD_HASHES.of(utf8(t).lower().split()) for t in texts]
+        self.order, self.buckets = order, buckets
         self.lengths = np.array([len(x) + 1 for x in h], np.int64)
         ends = np.cumsum(self.lengths) - 1
-        n = int(self.lengths.sum())
-        is_end = np.zeros(n, bool)
-        is_end[ends] = True
-        hashes = np.zeros(n, U64)
-        hashes[~is_end] = np.concatenate(h)
-        self.word = np.full(n, classes.end, np.int64)
-        self.word[~is_end] = classes.codes(hashes[~is_end])
-        self.context = np.r_[classes.start, self.word[:-1]]
-        self.context[ends[:-1] + 1] = classes.start
+        self.first = ends + 1 - self.lengths
+        word = np.full(int(self.lengths.sum()), _END)
+        is_word = np.ones(len(word), bool)
+        is_word[ends] = False
+        word[is_word] = np.concatenate(h)
         teaches = np.repeat(np.array(learn, bool), self.lengths)
-        self.pairs, self.pair_of, self.pair_n = self._ask(self.context.astype(U64) << _SHIFT | self.word.astype(U64), teaches)
-        self.is_rest = self.word == classes.rest
-        self.words, self.word_of, self.word_n = self._ask(hashes[self.is_rest], teaches[self.is_rest])
-        context = (self.pairs >> _SHIFT).astype(np.int64)
-        salt = (mix(self.pairs) >> U64(8)) % classes.salts(buckets)[context].astype(U64)
-        self.pair_by, self.pair_bounds = _by_bucket(((mix(context.astype(U64)) + salt) % U64(buckets)).astype(np.int64), buckets)
-        self.word_by, self.word_bounds = _by_bucket(ordered_bucket(self.words, buckets).astype(np.int64), buckets)
-
-    @staticmethod
-    def _ask(keys: np.ndarray, teaches: np.ndarray):
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        return distinct, inverse, np.bincount(inverse[teaches], minlength=len(distinct)).astype(np.uint32)
-
-
-_ASKED = "bucket int, slice int, pairs binary, pair_n binary, words binary, word_n binary"
-_TOLD = "kind string, slice int, bucket int, a binary, b binary, c binary, d binary"
-
-
-def _told(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in _TOLD.split(", ")])
-
-
-def score_texts(docs: DataFrame, held_out: Column, vocab_share: float = VOCAB_SHARE, min_count: int = MIN_COUNT) -> DataFrame:
+        self.grams, self.gram_at, self.gram_of, self.gram_n, self.context = {}, {}, {}, {}, {}
+        ids, start = word, _START
+        for k in range(1, order + 1):
+            if k > 1:
+                self.context[k] = np.r_[start, ids[:-1]]
+                self.context[k][self.first] = start
+                ids = join_hash(self.context[k], word)
+                start = join_hash(np.array([start]), np.array([_START]))[0]
+            self.grams[k], self.gram_at[k], self.gram_of[k] = np.unique(ids, return_index=True, return_inverse=True)
+            self.gram_n[k] = np.bincount(self.gram_of[k][teaches], minlength=len(self.grams[k]))
+
+    def by_bucket(self, keys: np.ndarray):
+        """(bucket, from, to) of ascending keys."""
+        bounds = np.searchsorted(ordered_bucket(keys, self.buckets).astype(np.int64), np.arange(self.buckets + 1))
+        return [(b, x, y) for b, (x, y) in enumerate(zip(bounds, bounds[1:])) if x < y]
+
+    def learn(self, answers: pa.Table, totals: Totals) -> None:
+        """Take the answered counts; find each order's contexts, their occurrences and sums over the n-grams owned here."""
+        counts = _gather(self, answers, "count", self.grams)
+        self.count = {k: (counts[k]["a"] >> 1)[self.gram_of[k]] for k in self.grams}
+        self.base = (self.count[1] + 0.5) / totals.total
+        self.contexts, self.context_at, self.context_of, self.seen, self.wanted, self.kept, self.mass = ({} for _ in range(7))
+        below = self.base
+        for k in range(2, self.order + 1):
+            seen = np.r_[0, self.count[k - 1][:-1]]
+            seen[self.first] = totals.texts
+            self.contexts[k], self.context_at[k], of = np.unique(self.context[k], return_index=True, return_inverse=True)
+            self.context_of[k], self.seen[k], m = of, seen[self.context_at[k]], len(self.contexts[k])
+            self.wanted[k] = np.bincount(of[self.count[k] == 0], minlength=m) > 0
+            # Each n-gram once in the whole corpus: where it is owned, at its first token here.
+            at = self.gram_at[k][counts[k]["a"] & 1 == 1]
+            c = self.count[k]
+            share = totals.discounts[k][np.minimum(c, DISCOUNTED + 1)] * c
+            self.kept[k] = np.bincount(of[at], share[at], m)
+            self.mass[k] = np.bincount(of[at], below[at], m)
+            below = share / np.maximum(seen, 1)
+
+    def score(self, answers: pa.Table, totals: Totals) -> np.ndarray:
+        """Probability of each token: order by order, each backing off to the one below."""
+        sums = _gather(self, answers, "context", {k: x[self.seen[k] > 0] for k, x in self.contexts.items()})
+        p, factor = self.base, np.ones(len(self.base))
+        for k in range(2, self.order + 1):
+            kept, mass = np.zeros(len(self.contexts[k])), np.zeros(len(self.contexts[k]))
+            kept[self.seen[k] > 0], mass[self.seen[k] > 0] = sums[k]["a"].view(float), sums[k]["b"].view(float)
+            # All n-grams of a context have the same shorter context, so its factor stands before the sum.
+            model = weigh(totals.discounts[k], self.seen[k], kept, mass * factor[self.context_at[k]])
+            p = model.probability(Level(self.seen[k], p), self.context_of[k], np.arange(len(p)), self.count[k])
+            factor = model.factor[self.context_of[k]]
+        return p
+
+
+def _gather(s: _Slice, answers: pa.Table, kind: str, keys: dict[int, np.ndarray]) -> dict[int, dict[str, np.ndarray]]:
+    """Answers to all keys of a slice, put back in the order of the keys."""
+    out = {k: {c: np.zeros(len(x), np.int64) for c in "ab"} for k, x in keys.items()}
+    where = {(k, b): (x, y) for k, ids in keys.items() for b, x, y in s.by_bucket(ids)}
+    for of, k, b, *data in zip(*(answers.column(c).to_pylist() for c in ("kind", "k", "bucket", "a", "b"))):
+        if of == kind:
+            x, y = where[k, b]
+            for c, d in zip("ab", data):
+                if d is not None:
+                    out[k][c][x:y] = unplanes(d, np.int64)
+    return out
+
+
+_ASKED = "k int, bucket int, slice int, keys binary, n binary, a binary, b binary"
+_TOLD = "kind string, k int, bucket int, slice int, a binary, b binary"
+_KINDS = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.Table:
+    names = [x.split() for x in schema.split(", ")]
+    return pa.table([pa.array(c, _KINDS[t]) for c, (_, t) in zip(zip(*rows) if rows else [[]] * len(names), names)], [n for n, _ in names])
+
+
+def _meet(table: pa.Table):
+    """Questions of all slices to one bucket, by slice: slices, distinct keys, and where each slice's keys are among them."""
+    table = table.sort_by("slice")
+    keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
+    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return table, distinct, inverse, np.cumsum([len(x) for x in keys])[:-1]
+
+
+def _joined(table: pa.Table, column: str, dtype=np.int64) -> np.ndarray:
+    return np.concatenate([unplanes(x, np.int64) for x in table.column(column).to_pylist()]).view(dtype)
+
+
+def _answer_counts(key, table):
+    """Counts of n-grams; the first slice that saw an n-gram in training owns it, which the lowest bit says."""
+    k, bucket = key[0].as_py(), key[1].as_py()
+    table, distinct, inverse, cuts = _meet(table)
+    n = _joined(table, "n")
+    count = np.zeros(len(distinct), np.int64)
+    np.add.at(count, inverse, n)
+    owner = np.full(len(distinct), -1, np.int64)
+    taught = np.flatnonzero(n > 0)[::-1]
+    owner[inverse[taught]] = taught
+    told = count[inverse] << 1 | (owner[inverse] == np.arange(len(n)))
+    rows = [("count", k, bucket, s, planes(x), None) for s, x in zip(table.column("slice").to_pylist(), np.split(told, cuts))]
+    of_counts = np.bincount(np.minimum(count, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[:DISCOUNTED + 2]
+    rows.append(("total", k, bucket, None, of_counts.astype(np.int64).tobytes(), np.array([count.sum(), (count > 0).sum()], np.int64).tobytes()))
+    return _rows(rows, _TOLD)
+
+
+def _answer_contexts(key, table):
+    """Sums of contexts: told where a slice backs off from them or where they leave nothing, else zeros, which pack to nothing."""
+    k, bucket = key[0].as_py(), key[1].as_py()
+    table, distinct, inverse, cuts = _meet(table)
+    n = _joined(table, "n")
+    seen = np.zeros(len(distinct), np.int64)
+    seen[inverse] = n >> 1
+    kept, mass = (np.bincount(inverse, _joined(table, c, float), len(distinct)) for c in "ab")
+    full = (kept > (1 - 1e-8) * seen) | (mass > 1 - 1e-8)
+    tell = (n & 1 == 1) | full[inverse]
+    kept, mass = (np.split(np.where(tell, x[inverse], 0.0).view(np.int64), cuts) for x in (kept, mass))
+    return _rows([("context", k, bucket, s, planes(x), planes(y)) for s, x, y in zip(table.column("slice").to_pylist(), kept, mass)], _TOLD)
+
+
+def _totals(counts: DataFrame, texts: int, order: int) -> Totals:
+    """From one row of some numbers for each bucket."""
+    of, sums = {k: np.zeros(DISCOUNTED + 2, np.int64) for k in range(1, order + 1)}, np.zeros(2, np.int64)
+    for r in counts.filter("kind = 'total'").select("k", "a", "b").toLocalIterator():
+        of[r.k] += np.frombuffer(r.a, np.int64)
+        if r.k == 1:
+            sums += np.frombuffer(r.b, np.int64)
+    return Totals(texts, int(sums[0]), float(sums[0]) + 0.5 * (int(sums[1]) + 1), {k: good_turing(n) for k, n in of.items()})
+
+
+def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER) -> DataFrame:
     """Learn from the rows of ``docs`` that are not held out and score every row's whole text.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Tokens are the words with
-    A-Z lower-cased and one end. ``base_score`` is the smoothed unigram's log10 probability of the text,
-    ``score`` the backoff model's, whose probabilities of all next tokens add up to one after any context.
+    A-Z lower-cased and one end; texts begin after order - 1 starts. ``base_score`` is the smoothed unigram's
+    log10 probability of the text, ``score`` that of the model of n-grams up to ``order``, whose probabilities of
+    all words of the training texts, the end and an unseen word add up to one after any context.
 
-    Texts are dealt into slices of bounded size. Each slice asks once for each distinct bigram and rare word;
-    the question carries its own training count, so counting and looking up are one exchange of packed
-    rows. Contexts are spread over buckets in proportion to their share, so no word is a hot key. Buckets
-    answer with counts, keep the bigram table, and give each context's sums.
+    Texts are dealt into slices of bounded size. Each slice asks once for each distinct n-gram of each order, the
+    question carrying its own training count, then once for each context, the question carrying its sums over
+    the n-grams that the slice owns; so counting and looking up are one exchange of packed rows each. Keys are
+    dealt by hashes of whole n-grams and combined within slices, so no word or context is a hot key.
 
     Null and empty texts are one end; null and repeated ids are kept row by row; a null held_out counts as
     false; other columns are ignored. Without training rows both scores are those of an unseen token each.
@@ -218,87 +273,47 @@ def score_texts(docs: DataFrame, held_out: Column, vocab_share: float = VOCAB_SH
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out")).withColumn("learn", ~F.col("held_out"))
     size = text_bytes(rows)
     slices, buckets = parts_for(spark, size, SLICE_BYTES), parts_for(spark, size, BUCKET_BYTES)
-    classes = _classes(_word_table(rows, buckets), vocab_share)
-    shared = spark.sparkContext.broadcast(classes)
     sliced = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).cast("int"))
 
-    def ask(key, table):
-        s = _Slice(table.column("text").to_pylist(), table.column("learn").to_pylist(), shared.value, buckets)
+    def sliced_texts(table: pa.Table) -> _Slice:
+        return _Slice(table.column("text").to_pylist(), table.column("learn").to_pylist(), order, buckets)
+
+    def ask_counts(key, table):
+        s = sliced_texts(table)
+        return _rows([(k, b, key[0].as_py(), pack_sorted(s.grams[k][x:y]), planes(s.gram_n[k][x:y]), None, None)
+                      for k in s.grams for b, x, y in s.by_bucket(s.grams[k])], _ASKED)
+
+    counts = stage(sliced.groupBy("slice").applyInArrow(ask_counts, _ASKED).groupBy("k", "bucket").applyInArrow(_answer_counts, _TOLD), "lm-counts")
+    totals = spark.sparkContext.broadcast(_totals(counts, rows.filter("learn").count(), order))
+    counts = counts.filter("kind = 'count'")
+
+    def ask_contexts(key, texts, answers):
         out = []
-        for b in range(buckets):
-            p, w = s.pair_by[s.pair_bounds[b]:s.pair_bounds[b + 1]], s.word_by[s.word_bounds[b]:s.word_bounds[b + 1]]
-            if len(p) or len(w):
-                out.append((b, key[0].as_py(), pack_sorted(s.pairs[p]), planes(s.pair_n[p]), pack_sorted(s.words[w]), planes(s.word_n[w])))
-        kinds = (pa.int32(), pa.int32(), *(pa.binary(),) * 4)
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [x.split()[0] for x in _ASKED.split(", ")])
-
-    def answer(key, table):
-        bucket, base = key[0].as_py(), shared.value.base
-        asked = {c: table.column(c).to_pylist() for c in ("slice", "pairs", "pair_n", "words", "word_n")}
-        told = {}
-        for k, n in (("pairs", "pair_n"), ("words", "word_n")):
-            keys = [unpack_sorted(x) for x in asked[k]]
-            distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            count = np.bincount(inverse, np.concatenate([unplanes(x, np.uint32) for x in asked[n]]), len(distinct)).astype(np.int64)
-            told[k] = distinct, count, np.split(inverse, np.cumsum([len(x) for x in keys])[:-1])
-        pairs, count, inverse = told["pairs"]
-        of_counts = np.bincount(np.minimum(count, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[:DISCOUNTED + 2]
-        count = np.where(count >= min_count, count, 0)
-        kept = count > 0
-        context, n = (pairs[kept] >> _SHIFT).astype(np.int64), count[kept]
-        names, at = np.unique(context, return_inverse=True)
-        low = np.bincount(at[n <= DISCOUNTED] * (DISCOUNTED + 1) + n[n <= DISCOUNTED], minlength=len(names) * (DISCOUNTED + 1))
-        high = np.bincount(at, np.where(n > DISCOUNTED, n, 0), len(names))
-        mass = np.bincount(at, base[(pairs[kept] & U64((1 << 20) - 1)).astype(np.int64)], len(names))
-        rows_ = [("answer", s, bucket, planes(count[p].astype(np.uint32)), planes(told["words"][1][w].astype(np.uint32)), None, None)
-                 for s, p, w in zip(asked["slice"], inverse, told["words"][2])]
-        rows_.append(("context", None, bucket, names.tobytes(), low.astype(np.int64).tobytes(), high.tobytes(), mass.tobytes()))
-        rows_.append(("counts", None, bucket, of_counts.astype(np.int64).tobytes(), None, None, None))
-        rows_.append(("bigram", None, bucket, pack_sorted(pairs[kept]), planes(n), None, None))
-        return _told(rows_)
-
-    table = stage(sliced.groupBy("slice").applyInArrow(ask, _ASKED).groupBy("bucket").applyInArrow(answer, _TOLD), "lm-bigrams")
-    model = spark.sparkContext.broadcast(_weights(classes, table))
+        if texts.num_rows:
+            s = sliced_texts(texts)
+            s.learn(answers, totals.value)
+            for k in s.contexts:
+                some = s.seen[k] > 0
+                keys, n, kept, mass = (x[some] for x in (s.contexts[k], s.seen[k] << 1 | s.wanted[k], s.kept[k], s.mass[k]))
+                out += [(k, b, key[0].as_py(), pack_sorted(keys[x:y]), planes(n[x:y]), planes(kept[x:y]), planes(mass[x:y])) for b, x, y in s.by_bucket(keys)]
+        return _rows(out, _ASKED)
+
+    asked = sliced.groupBy("slice").cogroup(counts.groupBy("slice")).applyInArrow(ask_contexts, _ASKED)
+    contexts = stage(asked.groupBy("k", "bucket").applyInArrow(_answer_contexts, _TOLD), "lm-contexts")
 
     def score(key, texts, answers):
-        c, m = shared.value, model.value
-        t = texts.column("text").to_pylist()
-        if not t:
-            return _scores([], [], np.empty(0, np.int64), np.empty(0, np.int64), c.tokens, np.empty(0), np.empty(0))
-        s = _Slice(t, texts.column("learn").to_pylist(), c, buckets)
-        pair_n, word_n = np.zeros(len(s.pairs), np.int64), np.zeros(len(s.words), np.int64)
-        for b, p, w in zip(*(answers.column(k).to_pylist() for k in ("bucket", "a", "b"))):
-            pair_n[s.pair_by[s.pair_bounds[b]:s.pair_bounds[b + 1]]] = unplanes(p, np.uint32)
-            word_n[s.word_by[s.word_bounds[b]:s.word_bounds[b + 1]]] = unplanes(w, np.uint32)
-        known = np.r_[c.counts, c.ends, 0, 0][s.word]
-        known[s.is_rest] = word_n[s.word_of]
-        base = np.log10((known + 0.5) / c.total)
-        p = np.log10(m.probability(c, s.context, s.word, pair_n[s.pair_of]))
-        p[s.is_rest] += base[s.is_rest] - np.log10(c.base[c.rest])
-        first = np.cumsum(s.lengths) - s.lengths
-        return _scores(texts.column("doc_id").to_pylist(), texts.column("held_out").to_pylist(), s.lengths, np.add.reduceat((known > 0).astype(np.int64), first),
-                       c.tokens, np.add.reduceat(base, first), np.add.reduceat(p, first))
-
-    answers = table.filter("kind = 'answer'").select("slice", "bucket", "a", "b")
-    return sliced.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(
+        t = totals.value
+        if not texts.num_rows:
+            return _scores([], [], np.empty(0, np.int64), np.empty(0, np.int64), t.tokens, np.empty(0), np.empty(0))
+        s = sliced_texts(texts)
+        s.learn(answers, t)
+        return _scores(texts.column("doc_id").to_pylist(), texts.column("held_out").to_pylist(), s.lengths, np.add.reduceat((s.count[1] > 0).astype(np.int64), s.first),
+                       t.tokens, np.add.reduceat(np.log10(s.base), s.first), np.add.reduceat(np.log10(s.score(answers, t)), s.first))
+
+    return sliced.groupBy("slice").cogroup(counts.union(contexts).groupBy("slice")).applyInArrow(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _scores(ids, held, n, known, tokens, base, score) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()),
                      "train_tokens": pa.array(np.full(len(n), tokens, np.int64)), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
-
-
-def _weights(classes: Classes, table: DataFrame) -> Backoff:
-    """Backoff weights from the buckets' sums; a context has at most as many rows as it has salts."""
-    m = len(classes.base)
-    low, high, mass, of_counts = np.zeros((m, DISCOUNTED + 1)), np.zeros(m), np.zeros(m), np.zeros(DISCOUNTED + 2, np.int64)
-    for r in table.filter("kind in ('context', 'counts')").select("kind", "a", "b", "c", "d").toLocalIterator():
-        if r.kind == "counts":
-            of_counts += np.frombuffer(r.a, np.int64)
-            continue
-        names = np.frombuffer(r.a, np.int64)
-        low[names] += np.frombuffer(r.b, np.int64).reshape(-1, DISCOUNTED + 1)
-        high[names] += np.frombuffer(r.c, np.float64)
-        mass[names] += np.frombuffer(r.d, np.float64)
-    return backoff(classes, of_counts, low, high, mass)

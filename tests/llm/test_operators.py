@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -250,6 +251,60 @@ def test_katz_sums_to_one_and_base_is_exact(spark, odd, none):
     assert len(katz.score_texts(odd, F.lit(None).cast("boolean")).collect()) == len(ODD_ROWS)
 
 
+class PlainKatz:
+    """Katz backoff by dictionaries: every word its own n-grams, every order by recursion."""
+
+    def __init__(self, texts, order):
+        self.order, self.count, self.nexts = order, Counter(), {}
+        for t in texts:
+            w = ("<s>",) * (order - 1) + (*t.split(), "</s>")
+            for k in range(1, order + 1):
+                for i in range(order - 1, len(w)):
+                    self.count[w[i - k + 1:i + 1]] += 1
+        for g in self.count:
+            self.nexts.setdefault(g[:-1], []).append(g[-1])
+        self.seen = {h: sum(self.count[(*h, w)] for w in ws) for h, ws in self.nexts.items()}
+        self.words = self.nexts[()]
+        self.total = self.seen[()] + 0.5 * (len(self.words) + 1)
+        self.discount = {k: katz.good_turing(np.array([sum(1 for g, c in self.count.items() if len(g) == k and c == r) for r in range(katz.DISCOUNTED + 2)])) for k in range(1, order + 1)}
+        self.memo = {}
+
+    def kept(self, h, w):
+        c = self.count[(*h, w)]
+        return self.discount[len(h) + 1][min(c, katz.DISCOUNTED + 1)] * c
+
+    def context(self, h):
+        if h not in self.memo:
+            share = sum(self.kept(h, w) for w in self.nexts[h]) / self.seen[h]
+            factor = self.seen[h] / (self.seen[h] + 1) if 1 - share < 1e-9 else 1.0
+            self.memo[h] = factor, (1 - share * factor) / (1 - sum(self.p(h[1:], w) for w in self.nexts[h]))
+        return self.memo[h]
+
+    def p(self, h, w):
+        if not h:
+            return (self.count[(w,)] + 0.5) / self.total
+        if h not in self.nexts:
+            return self.p(h[1:], w)
+        factor, weight = self.context(h)
+        return self.kept(h, w) * factor / self.seen[h] if self.count[(*h, w)] else weight * self.p(h[1:], w)
+
+    def score(self, text):
+        w = ("<s>",) * (self.order - 1) + (*text.split(), "</s>")
+        return sum(math.log10(self.p(w[i - self.order + 1:i], w[i])) for i in range(self.order - 1, len(w)))
+
+
+def test_katz_rare_words_keep_their_bigrams_in_a_large_corpus(spark):
+    # 400,000 tokens: a cap of 2^-17 of them would take the bigrams of all words seen three times or less.
+    r = random.Random(5)
+    rows = [(k, " ".join(f"{r.choice(WORDS)}{r.randrange(40)}" for _ in range(400)) + f" rare{k % 500} pair{k % 500} seldom{k % 400}") for k in range(1000)]
+    rows += [(2000, "rare7 pair7 seldom7"), (2001, "rare7 pair8 seldom7"), (2002, "never rare3 pair3")]
+    model = PlainKatz([t for i, t in rows if i < 2000], 2)
+    got = {x.doc_id: x for x in katz.score_texts(table(spark, rows), F.col("doc_id") >= 2000, order=2).collect()}
+    for i, t in [*rows[:20], *rows[1000:]]:
+        assert math.isclose(got[i].score, model.score(t), rel_tol=1e-9)
+    assert got[2000].score > got[2001].score + 2
+
+
 def test_url_rules_and_mined_verdicts(spark):
     rows = [(k, f"http://{h}.example.{d}/{l}/{k}") for k, (h, d, l) in enumerate([("a", "com", "fr"), ("B", "COM", "de"), ("www.c", "org", "es"), ("c", "net", "de")] * 30)]
     rows += [(500, None), (501, "no scheme"), (502, "http://example.org/es/1"), (503, "x://example.org/en/12?q=1#f"), (504, "http://org/x"), (505, "http://notorg/"), (506, "http://EXAMPLE.ORG"), (506, "://"), (None, "http://a.com/fr/")]
