@@ -18,10 +18,10 @@ from cohortlens.llm.common import U64, WORD_HASHES, join_hash, ordered_bucket, p
 from cohortlens.session import stage
 
 #: Words of an n-gram at most.
-ORDER = 2
+ORDER = 3
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
-SLICE_BYTES, BUCKET_BYTES = 12_000_000, 12_000_000
+SLICE_BYTES, BUCKET_BYTES = 4_000_000, 8_000_000
 _START, _END = U64(0x5DEECE66D1CE4E5B), U64(0xA3EC647659359ACD)
 
 
@@ -134,7 +134,8 @@ class _Slice:
                 self.context[k][self.first] = start
                 ids = join_hash(self.context[k], word)
                 start = join_hash(np.array([start]), np.array([_START]))[0]
-            self.grams[k], self.gram_at[k], self.gram_of[k] = np.unique(ids, return_index=True, return_inverse=True)
+            self.grams[k], self.gram_at[k], of = np.unique(ids, return_index=True, return_inverse=True)
+            self.gram_of[k] = of.astype(np.int32)
             self.gram_n[k] = np.bincount(self.gram_of[k][teaches], minlength=len(self.grams[k]))
 
     def by_bucket(self, keys: np.ndarray):

@@ -251,6 +251,10 @@ def test_katz_sums_to_one_and_base_is_exact(spark, odd, none):
     assert len(katz.score_texts(odd, F.lit(None).cast("boolean")).collect()) == len(ODD_ROWS)
 
 
+def crc_of(i):
+    return zlib.crc32(str(i).encode()) % 5
+
+
 class PlainKatz:
     """Katz backoff by dictionaries: every word its own n-grams, every order by recursion."""
 
@@ -305,6 +309,26 @@ def test_katz_rare_words_keep_their_bigrams_in_a_large_corpus(spark):
     assert got[2000].score > got[2001].score + 2
 
 
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_katz_backs_off_order_by_order(spark, order):
+    r = random.Random(order)
+    rows = [(k, " ".join(r.choice(WORDS[:12]) if r.random() < 0.95 else f"once{r.randrange(60)}" for _ in range(r.randrange(60)))) for k in range(150)]
+    # After "a", "a b" and the starts all counts may be high, so that discounts leave nothing.
+    rows += [(k, "a b c") for k in range(200, 240)]
+    model = PlainKatz([t for i, t in rows if crc_of(i) != 1], order)
+    got = {x.doc_id: x for x in katz.score_texts(table(spark, rows), crc_fold("doc_id", 5) == 1, order=order).collect()}
+    for i, t in rows:
+        assert math.isclose(got[i].score, model.score(t), rel_tol=1e-9)
+    for h in random.Random(1).sample(sorted(model.nexts), min(20, len(model.nexts))):
+        assert math.isclose(sum(model.p(h, w) for w in [*model.words, "never"]), 1, rel_tol=1e-9)
+
+
+def test_katz_looks_at_two_words_of_context_unless_told_otherwise(spark):
+    rows = [(k, ["x m a", "y m b"][k % 2]) for k in range(40)] + [(100, "x m a"), (101, "x m b")]
+    got = {x.doc_id: x.score for x in katz.score_texts(table(spark, rows), F.col("doc_id") >= 100).collect()}
+    assert got[100] > got[101] + 1
+
+
 def test_url_rules_and_mined_verdicts(spark):
     rows = [(k, f"http://{h}.example.{d}/{l}/{k}") for k, (h, d, l) in enumerate([("a", "com", "fr"), ("B", "COM", "de"), ("www.c", "org", "es"), ("c", "net", "de")] * 30)]
     rows += [(500, None), (501, "no scheme"), (502, "http://example.org/es/1"), (503, "x://example.org/en/12?q=1#f"), (504, "http://org/x"), (505, "http://notorg/"), (506, "http://EXAMPLE.ORG"), (506, "://"), (None, "http://a.com/fr/")]
