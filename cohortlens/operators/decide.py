@@ -29,13 +29,15 @@ PROFILE_VARIABLES = [
 
 
 def group_risk_ranking(scores: DataFrame, group: str, parent: str, y: str = "y", p: str = "p",
-                       labels: Sequence[str] = (), min_n: int = 30) -> DataFrame:
+                       labels: Sequence[str] = (), min_n: int = 30, by: Sequence[str] = ()) -> DataFrame:
     """Predicted and observed rate per group, with the residual adjusted for its parent.
 
+    ``by`` names keys, such as the model, that each have a ranking of their own.
+
     The standard error is the Bernoulli one, sqrt(sum p (1 - p)) / n. Residuals lie in
     [-1, 1], so the parents' medians use known bucket edges and need no extra job.
     """
-    g = scores.groupBy(group).agg(
+    g = scores.groupBy(*by, group).agg(
         F.min(parent).alias(parent), *[F.min(c).alias(c) for c in labels],
         F.count(F.lit(1)).alias("n"), F.avg(p).alias("predicted"),
         F.avg(F.col(y).cast("double")).alias("observed"),
@@ -44,23 +46,23 @@ def group_risk_ranking(scores: DataFrame, group: str, parent: str, y: str = "y",
          .withColumn("residual", F.col("observed") - F.col("predicted"))
          .withColumn("residual_z", safe_div("residual", "std_error"))
          .withColumn("risk", 1 - F.col("predicted")).drop("_var"))
-    adjusted = peer_adjust(g, "residual", parent, "adjusted_residual", "parent_residual",
+    adjusted = peer_adjust(g, "residual", [*by, parent], "adjusted_residual", "parent_residual",
                            even_edges(-1.0, 1.0, 64))
-    return adjusted.orderBy(F.desc_nulls_last("risk"), group)
+    return adjusted.orderBy(*by, F.desc_nulls_last("risk"), group)
 
 
-def aggregate_calibration(ranking: DataFrame) -> DataFrame:
+def aggregate_calibration(ranking: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """How well predicted group rates meet the observed ones (errors in percentage points)."""
     err = F.col("predicted") - F.col("observed")
-    base = ranking.select("predicted", "observed", err.alias("e"), F.abs(err).alias("a"))
-    stats = base.agg(
+    base = ranking.select(*by, "predicted", "observed", err.alias("e"), F.abs(err).alias("a"))
+    stats = base.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_groups"), safe_corr("predicted", "observed").alias("correlation"),
         (F.avg("a") * 100).alias("mae_pp"), (F.avg("e") * 100).alias("bias_pp"),
         (1 - F.try_divide(F.sum(F.col("e") * F.col("e")),
                           F.var_pop("observed") * F.count("observed"))).alias("r2"))
-    mid = quantiles_by(base, [], "a", {"median": 0.5}, even_edges(0.0, 1.0, 64))
-    return (stats.withColumn("_k", F.lit(1)).join(mid.withColumn("_k", F.lit(1)), "_k", "left")
-            .select("n_groups", "correlation", "mae_pp",
+    mid = quantiles_by(base, list(by), "a", {"median": 0.5}, even_edges(0.0, 1.0, 64))
+    return (stats.withColumn("_k", F.lit(1)).join(mid.withColumn("_k", F.lit(1)), [*by, "_k"], "left")
+            .select(*by, "n_groups", "correlation", "mae_pp",
                     (F.col("median") * 100).alias("median_error_pp"), "bias_pp", "r2"))
 
 

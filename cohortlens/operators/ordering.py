@@ -271,9 +271,10 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     return out
 
 
-def peer_adjust(df: DataFrame, value: str, peer: str, out: str = "adjusted",
+def peer_adjust(df: DataFrame, value: str, peer: str | Sequence[str], out: str = "adjusted",
                 median: str = "peer_median", edges: Sequence[float] | None = None) -> DataFrame:
     """Value minus the median of its own peer group."""
-    mid = quantiles_by(df, [peer], value, {median: 0.5}, edges)
-    return (df.join(mid, peer, "left")
+    peers = [peer] if isinstance(peer, str) else list(peer)
+    mid = quantiles_by(df, peers, value, {median: 0.5}, edges)
+    return (df.join(mid, peers, "left")
             .select(*df.columns, median, (F.col(value) - F.col(median)).alias(out)))

@@ -237,6 +237,20 @@ def _(s: Star):
                           _part(u, F.col("target"), 1996, 2001, "n_target")], ["year", "grp"])
 
 
+# All units of all years: each is completed or not, which priorities decide, so every part lacks keys that others have.
+@query("j5_outer_merge_all_years", sql("""
+    SELECT * FROM (SELECT year, grp, control, count(*) AS n_stream FROM units WHERE source = 'stream' GROUP BY 1, 2, 3)
+    FULL JOIN (SELECT year, grp, control, count(*) AS n_completed FROM units WHERE completed GROUP BY 1, 2, 3) USING (year, grp, control)
+    FULL JOIN (SELECT year, grp, control, count(*) AS n_not_completed FROM units WHERE NOT completed GROUP BY 1, 2, 3) USING (year, grp, control)
+    FULL JOIN (SELECT year, grp, control, count(*) AS n_target FROM units WHERE target GROUP BY 1, 2, 3) USING (year, grp, control)""",
+    "units"))
+def _(s: Star):
+    keys = ["year", "grp", "control"]
+    parts = {"n_stream": F.col("source") == "stream", "n_completed": F.col("completed"), "n_not_completed": ~F.col("completed"),
+             "n_target": F.col("target")}
+    return J.outer_merge([s.units.where(c).groupBy(*keys).agg(F.count(F.lit(1)).alias(n)) for n, c in parts.items()], keys)
+
+
 @query("j6_role_join", sql(f"""
     SELECT b.year, b.grp, {R('x.rate')} AS building_rate, {R('m.rate')} AS machinery_rate
     FROM (SELECT DISTINCT year, grp FROM evaluated) b
@@ -282,6 +296,17 @@ def _(s: Star):
     return J.attach_targets(ranking, goals, "school", ["goal"])
 
 
+# Goals from all units of all years; those of one segment have no value.
+@query("j9_attach_all_years", sql(f"""
+    SELECT school, n, {R('rate')} AS rate, CAST(goal AS BIGINT) AS goal FROM
+      (SELECT school, count(*) AS n, avg(CAST(CAST(target AS INTEGER) AS DOUBLE)) AS rate FROM evaluated GROUP BY 1)
+    LEFT JOIN (SELECT DISTINCT school, CASE WHEN segment <> 'BUILDING' THEN 55 + grp % 20 END AS goal FROM units) USING (school)""", "evaluated"))
+def _(s: Star):
+    ranking = A.outcome_by(s.evaluated, ["school"], "target")
+    goals = s.units.select("school", F.when(F.col("segment") != "BUILDING", 55 + F.col("grp") % 20).cast("bigint").alias("goal"))
+    return J.attach_targets(ranking, goals, "school", ["goal"])
+
+
 @query("j10_duplicate_keys", """
     SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
 def _(s: Star):
