@@ -143,7 +143,7 @@ def _(s: Star):
 
 @query("k12_bootstrap_ci")
 def _(s: Star):
-    return B.bootstrap_ci(s.scores, reps=100)
+    return B.bootstrap_ci(s.scores)
 
 
 @query("k13_paired_bootstrap")
@@ -151,12 +151,12 @@ def _(s: Star):
     sc = s.scores
     a = sc.where(F.col("model") == "A").select("row_id", "y", F.col("p").alias("p_a"))
     b = sc.where(F.col("model") == "B").select("row_id", F.col("p").alias("p_b"))
-    return B.paired_bootstrap(a.join(b, "row_id"), reps=50, buckets=32)
+    return B.paired_bootstrap(a.join(b, "row_id"))
 
 
 @query("k14_model_comparison")
 def _(s: Star):
-    return B.model_comparison(s.scores, "A", reps=50, buckets=32)
+    return B.model_comparison(s.scores, "A")
 
 
 # --- decisions ----------------------------------------------------------------------------------
@@ -225,7 +225,7 @@ def _group_context(s: Star):
 @query("d3_cluster_groups")
 def _(s: Star):
     groups = stage(_group_context(s).drop("cluster"), "groups")
-    clustered = D.cluster_groups(groups, "school", ["wealth", "weight", "size"], "rate", k=5, starts=3)
+    clustered = D.cluster_groups(groups, "school", ["wealth", "weight", "size"], "rate", k=5)
     return D.cluster_profile(clustered, ["wealth", "weight", "size"], "rate")
 
 

@@ -13,10 +13,10 @@ from cohortlens.session import stage
 from workload.registry import R, TEST, TRAIN, Star, query, sql
 
 FEATURES = ["wealth", "weight", "present_share", "segment", "control", "school_key", "grp_key"]
-# Few rounds: the check looks at the plumbing, not at the quality of the fit.
-FEW = {"maxIter": 3, "maxDepth": 3}
-SPACE = {"maxIter": (2, 4, "int"), "stepSize": (0.05, 0.15, "log"), "leaves": (4, 8, "log_int"), "maxDepth": (2, 3, "int"),
-         "minInstancesPerNode": (5, 20, "log_int"), "subsamplingRate": (0.6, 1.0, "linear"), "featureFraction": (0.4, 1.0, "linear")}
+# Operators run with their own defaults: all candidates, rounds, trials, folds, repetitions and permutations.
+# Every feature belongs to one block; the operator's own blocks name columns that these tables lack.
+BLOCKS = {"wealth": ("wealth",), "weight": ("weight",), "presence": ("present_share",), "segment": ("segment",), "control": ("control",),
+          "keys": ("school_key", "grp_key")}
 
 
 def base(s: Star):
@@ -68,22 +68,21 @@ def _(s: Star):
 
 @query("m3_boosted_trees")
 def _(s: Star):
-    model, _, test = _fit(s, "hist_boost", **FEW)
+    model, _, test = _fit(s, "hist_boost")
     return M.score(model, test, ["row_id", "y"])
 
 
 @query("m5_train_and_score")
 def _(s: Star):
     train, test = split(s)
-    panel, _, _ = M.train_and_score(train, test, FEATURES, ["baseline", "logistic", "depth_boost"],
-                                    params={"depth_boost": FEW}, kinds=KINDS)
+    panel, _, _ = M.train_and_score(train, test, FEATURES, list(M.CANDIDATES), kinds=KINDS)
     return panel
 
 
 @query("m6_run_experiment")
 def _(s: Star):
     cols = Columns("row_id", "year", "grp_key", "parent", "y")
-    result = run_experiment(base(s), "spatial", ["baseline", "logistic"], cols, TRAIN, TEST, min_stratum=20,
+    result = run_experiment(base(s), "spatial", list(M.CANDIDATES), cols, TRAIN, TEST, min_stratum=20,
                             select=lambda names, allow_lagged: [c for c in names if c in FEATURES])
     return result.strata
 
@@ -91,19 +90,19 @@ def _(s: Star):
 @query("m7_tune")
 def _(s: Star):
     train, _ = split(s)
-    return M.tune(train, FEATURES, "grp_key", trials=2, folds=2, space=SPACE).select("trial", "roc_auc", "roc_auc_std")
+    return M.tune(train, FEATURES, "grp_key").select("trial", "roc_auc", "roc_auc_std")
 
 
 @query("i1_native_importance")
 def _(s: Star):
-    model, train, _ = _fit(s, "depth_boost", **FEW)
+    model, train, _ = _fit(s, "depth_boost")
     return X.native_importance(model, train)
 
 
 @query("i2_permutation_importance")
 def _(s: Star):
     model, _, test = _fit(s)
-    return X.permutation_importance(model, test, FEATURES, reps=2)
+    return X.permutation_importance(model, test, FEATURES)
 
 
 COEF = {"price": 0.2537, "quantity": -1.3719, "discount": 41.773}
@@ -126,12 +125,12 @@ def _(s: Star):
 
 @query("i3_tree_attribution")
 def _(s: Star):
-    model, train, test = _fit(s, "depth_boost", **FEW)
+    model, train, test = _fit(s, "depth_boost")
     names = E.feature_names(X._split(model)[0].transform(train.limit(0)))
-    return X.mean_abs_attribution(X.attribution(model, test, permutations=1), names)
+    return X.mean_abs_attribution(X.attribution(model, test), names)
 
 
 @query("i4_block_ablation")
 def _(s: Star):
     train, test = split(s)
-    return X.block_ablation(train, test, FEATURES, "logistic", prefixes={"wealth": ("wealth",), "keys": ("school_key", "grp_key")})
+    return X.block_ablation(train, test, FEATURES, "logistic", prefixes=BLOCKS)
