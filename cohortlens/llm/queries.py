@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import chat, decontaminate, embeddings, katz, minhash, pack, quality, records, substring, urls
+from cohortlens.llm import chat, decontaminate, embeddings, katz, licenses, minhash, pack, quality, records, spelling, substring, urls, whitening
 from cohortlens.llm.common import crc_fold
 
 
@@ -83,6 +83,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), 3, 1)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of all embeddings on up to 32 components."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the form each is a variant of."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    return licenses.license_report(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline from documents to packed sequences."""
     import corpus_pipeline
@@ -91,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_pack, op3_substring, op4_embeddings, op5_records, op6_katz, op7_urls, op8_chat,
-                                   op9_decontaminate, op10_quality, pipeline)}
+                                   op9_decontaminate, op10_quality, op11_whitening, op12_spelling, op13_licenses, pipeline)}
 
 _REACH = """reach AS (SELECT {id} AS a, {id} AS b FROM {rows} UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)"""
 
