@@ -64,7 +64,7 @@ def corpus(seed: int, words: int, size: int):
     for w in base:
         k = r.randrange(len(w))
         edited += [w[:k] + w[k + 1:], w[:k] + r.choice("abcÀ") + w[k:], w[:k] + r.choice("abcÀ") + w[k + 1:]]
-    weights = [r.paretovariate(1.0) for _ in base + edited]
+    weights = [r.choice([1, 8, 60]) for _ in base + edited]
     return [(i, " ".join(w.title() if r.random() < 0.2 else w for w in r.choices(base + edited, weights, k=size))) for i in range(30)]
 
 
