@@ -57,20 +57,21 @@ def got(df):
 
 
 def corpus(seed: int, words: int, size: int):
-    """Words over few letters, so that many are near each other, with very different counts."""
+    """Frequent words, rarer ones an edit away, and rare ones an edit away from those; letters as in no language."""
     r = random.Random(seed)
-    base = ["".join(r.choice("abcdeé×Ü") for _ in range(r.randint(5, 9))) for _ in range(words)]
-    edited = []
-    for w in base:
-        k = r.randrange(len(w))
-        edited += [w[:k] + w[k + 1:], w[:k] + r.choice("abcÀ") + w[k:], w[:k] + r.choice("abcÀ") + w[k + 1:]]
-    weights = [r.choice([1, 8, 60]) for _ in base + edited]
-    return [(i, " ".join(w.title() if r.random() < 0.2 else w for w in r.choices(base + edited, weights, k=size))) for i in range(30)]
+    base = ["".join(r.choice("abcdefghijklmé×Ü") for _ in range(r.randint(7, 9))) for _ in range(words)]
+    first, second = [], []
+    for k, w in enumerate(base):
+        for source, out in ((w, first), (first[-1] if first else w, second)):
+            i = r.randrange(len(source))
+            out.append(r.choice([source[:i] + source[i + 1:], source[:i] + r.choice("abcÀ") + source[i:], source[:i] + r.choice("abcÀ") + source[i + 1:]]))
+    pool = base * 60 + first * 9 + second
+    return [(i, " ".join(w.title() if r.random() < 0.2 else w for w in r.choices(pool, k=size))) for i in range(30)]
 
 
 @pytest.mark.parametrize("seed, units", [(0, spelling.UNIT_WORDS), (1, 40), (2, 7)])
 def test_equals_comparison_of_all_words(spark, seed, units):
-    rows = corpus(seed, 250, 2000)
+    rows = corpus(seed, 120, 1200)
     found = got(spelling.variants(table(spark, rows), modulus=13, unit_words=units))
     want = plain(rows, modulus=13)
     assert len(found) == len(set(found)) and set(found) == want
