@@ -582,34 +582,61 @@ def to_blocks(rows: DataFrame, edges: Sequence[np.ndarray], base: float) -> Data
     return rows.mapInArrow(binned, Block.SCHEMA)
 
 
-def fit_forest(df: DataFrame, s: Settings, features: str = "features", label: str = "y", key: str = "row_id", held: str | None = None,
-               one_task_bytes: int = ONE_TASK_BYTES) -> tuple[Forest, list[float]]:
-    """Trees and the validation curve (mean log loss of held rows after 0, 1, ... rounds; empty without them)."""
-    rows = stage(df.select(vector_to_array(features).alias("x"), F.col(label).cast("int").alias("y"),
-                           (F.coalesce(F.col(held), F.lit(False)) if held else F.lit(False)).alias("held"), F.xxhash64(key).alias("hash"), F.size(vector_to_array(features)).alias("k")), "boosting-rows")
+@dataclass
+class Binned:
+    """Rows in blocks, ready for any number of fits."""
+
+    blocks: DataFrame | None  # None where there is nothing to learn from
+    edges: list[np.ndarray]
+    base: float  # log odds of the rows not held
+    rows: int
+
+    @property
+    def bytes(self) -> int:
+        return self.rows * len(self.edges)
+
+
+def bin_rows(df: DataFrame, features: str = "features", label: str = "y", key: str = "row_id", held: str | None = None) -> Binned:
+    """Edges from rows that are not held, and blocks of all rows."""
+    x = vector_to_array(features)
+    rows = stage(df.select(x.alias("x"), F.col(label).cast("int").alias("y"), (F.coalesce(F.col(held), F.lit(False)) if held else F.lit(False)).alias("held"),
+                           F.xxhash64(key).alias("hash"), F.size(x).alias("k")), "boosting-rows")
     told = rows.agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k"), F.count_if(~F.col("held")).alias("m"), F.sum(F.when(~F.col("held"), F.col("y"))).alias("ones")).first()
     k, m, ones = told["k"] or 0, told["m"], told["ones"] or 0
     if not m or not k or ones in (0, m):  # one class only, or nothing to learn from
         p = min(max(ones / m, 1e-6), 1 - 1e-6) if m else 0.5
-        return Forest.of([], math.log(p / (1 - p)), k), []
+        return Binned(None, [np.zeros(0)] * k, math.log(p / (1 - p)), told["n"])
     base = math.log(ones / (m - ones))
     edges = bin_edges(rows.filter("not held"), k)
-    blocks = stage(to_blocks(rows, edges, base), "boosting-blocks")
-    if told["n"] * k > one_task_bytes:
-        trees, curve = Across(blocks, edges, base, s).run()
-        return Forest.of(trees, base, k), curve
+    return Binned(stage(to_blocks(rows, edges, base), "boosting-blocks"), edges, base, told["n"])
+
+
+def boost(binned: Binned, s: Settings, one_task_bytes: int = ONE_TASK_BYTES) -> tuple[Forest, list[float]]:
+    """Trees and the validation curve (mean log loss of held rows after 0, 1, ... rounds; empty without them)."""
+    edges, base = binned.edges, binned.base
+    if binned.blocks is None:
+        return Forest.of([], base, len(edges)), []
+    if binned.bytes > one_task_bytes:
+        trees, curve = Across(binned.blocks, edges, base, s).run()
+        return Forest.of(trees, base, len(edges)), curve
 
     def here(batches):
         parts = [b for batch in batches for b in Block.read(batch)]
         if parts:
             whole = Block(*(np.concatenate([getattr(b, n) for b in parts]) for n in ("binned", "y", "held", "hashes", "margin")))
             trees, curve = boost_here(whole, edges, base, s)
-            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(Forest.of(trees, base, k).packed())]), pa.array([curve], pa.list_(pa.float64()))], ["forest", "curve"])
+            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(Forest.of(trees, base, len(edges)).packed())]), pa.array([curve], pa.list_(pa.float64()))], ["forest", "curve"])
 
-    made = blocks.coalesce(1).mapInArrow(here, "forest string, curve array<double>").first()
+    made = binned.blocks.coalesce(1).mapInArrow(here, "forest string, curve array<double>").first()
     return Forest.unpacked(json.loads(made["forest"])), list(made["curve"])
 
 
+def fit_forest(df: DataFrame, s: Settings, features: str = "features", label: str = "y", key: str = "row_id", held: str | None = None,
+               one_task_bytes: int = ONE_TASK_BYTES) -> tuple[Forest, list[float]]:
+    """``boost`` on rows binned for this one fit."""
+    return boost(bin_rows(df, features, label, key, held), s, one_task_bytes)
+
+
 _FORESTS: dict[str, Forest] = {}
 
 
@@ -634,7 +661,7 @@ class HistBooster(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     def _fit(self, df: DataFrame) -> HistBoosterModel:
         get = self.getOrDefault
         forest, curve = fit_forest(df, Settings(**get(self.settings)), get(self.featuresCol), get(self.labelCol), get(self.keyCol), get(self.heldCol) or None)
-        return HistBoosterModel({"forest": forest.packed(), "curve": curve, "features": get(self.featuresCol)})
+        return HistBoosterModel.of(forest, curve, get(self.featuresCol))
 
 
 class HistBoosterModel(Model, DefaultParamsReadable, DefaultParamsWritable):
@@ -647,6 +674,10 @@ class HistBoosterModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         if state is not None:
             self._set(state=state)
 
+    @classmethod
+    def of(cls, forest: Forest, curve: Sequence[float] = (), features: str = "features") -> HistBoosterModel:
+        return cls({"forest": forest.packed(), "curve": list(curve), "features": features})
+
     @property
     def forest(self) -> Forest:
         return Forest.unpacked(self.getOrDefault(self.state)["forest"])

@@ -120,7 +120,7 @@ def test_pipeline_survives_storage(spark, study, tmp_path):
 def test_candidates_learn_and_are_ranked(study):
     train, test = study
     panel, scores, fitted = M.train_and_score(train, test, FEATURES, ["baseline", "logistic", "leaf_boost"],
-                                              params={"leaf_boost": {"maxIter": 5}}, kinds=KINDS)
+                                              params={"leaf_boost": {"rounds": 15, "least_rows": 30}}, kinds=KINDS)
     got = {r["model"]: r for r in panel.collect()}
     assert got["baseline"]["roc_auc"] == 0.5 and got["logistic"]["roc_auc"] > 0.7 and got["leaf_boost"]["roc_auc"] > 0.65
     assert scores.count() == 3 * 500 and set(fitted) == set(got)
@@ -134,10 +134,21 @@ def test_unknown_candidate():
     assert {"baseline", "logistic", "hist_boost", "leaf_boost", "depth_boost"} == set(M.CANDIDATES)
 
 
-def test_draws_are_seeded_and_in_range():
-    import random
-    a, b = (M.draw_params(random.Random(7)) for _ in range(2))
-    assert a == b and 200 <= a["maxIter"] <= 1200 and 2 <= a["maxDepth"] <= 7
+def test_draws_are_seeded_in_range_and_learn():
+    def run(seed):
+        sampler, out = M.DensityRatioSampler(seed=seed), []
+        for _ in range(40):
+            p = sampler.ask()
+            out.append(p)
+            sampler.tell(p, -abs(p["rate"] - 0.05) - abs(p["depth"] - 9) / 10)
+        return out
+
+    a, b = run(7), run(7)
+    assert a == b and a != run(8)
+    for p in a:
+        assert all(lo <= p[n] <= hi and isinstance(p[n], int) == scale.endswith("int") for n, (lo, hi, scale) in M.SEARCH_SPACE.items())
+    miss = [abs(p["depth"] - 9) for p in a]
+    assert sum(miss[-20:]) < sum(miss[:5]) * 4 * 0.8
 
 
 def test_linear_attributions_add_up(study):
@@ -148,15 +159,15 @@ def test_linear_attributions_add_up(study):
         assert sum(r["contributions"]) + r["expected"] == pytest.approx(r["rawPrediction"][1])
 
 
-def test_sampled_attributions_add_up_and_find_the_signal(study):
+def test_tree_attributions_add_up_and_find_the_signal(study):
     train, test = study
-    model = M.fit_candidate("depth_boost", train, FEATURES, kinds=KINDS, params={"maxIter": 4})
-    part = X.attribution(model, test, permutations=2, max_n=40)
-    p = {r["row_id"]: r["p"] for r in M.score(model, test, ["row_id"]).collect()}
+    model = M.fit_candidate("leaf_boost", train, FEATURES, kinds=KINDS, params={"rounds": 20, "least_rows": 20})
+    part = X.attribution(model, test, max_n=40)
+    m = {r["row_id"]: r["margin"] for r in model.transform(test).select("row_id", "margin").collect()}
     got = part.collect()
     assert len(got) == 40
     for r in got:
-        assert sum(r["contributions"]) + r["expected"] == pytest.approx(p[r["row_id"]])
+        assert sum(r["contributions"]) + r["expected"] == pytest.approx(m[r["row_id"]], abs=1e-9)
     names = E.feature_names(X._split(model)[0].transform(test.limit(0)))
     top = [r["feature"] for r in X.mean_abs_attribution(part, names).collect()][:2]
     assert set(top) == {"x", "g"}
@@ -173,14 +184,33 @@ def test_permutation_and_native_importance_find_the_signal(study):
 
 def test_ablation_skips_empty_blocks(study):
     train, test = study
-    got = {r["block"]: r for r in X.block_ablation(train, test, FEATURES, prefixes={"g": ("g",), "none": ("zz",)}).collect()}
+    got = {r["block"]: r for r in X.block_ablation(train, test, FEATURES, blocks={"g": ("g",), "none": ("zz",)}, kinds=KINDS).collect()}
     assert set(got) == {"(all features)", "without g"} and got["without g"]["n_features"] == 2
     assert got["without g"]["auc_drop"] > 0.02
+    again = M.fit_candidate("logistic", train, ["x", "seg"], kinds={**KINDS, "high": []})
+    assert got["without g"]["roc_auc"] == pytest.approx(roc_auc(M.score(again, test, ["y"], "m")).first()["roc_auc"], abs=1e-9)
+
+
+def test_slots_follow_raw_columns(study):
+    train, _ = study
+    ready = M.prepare_vectors(train, None, FEATURES, False, kinds=KINDS)
+    assert ready.names == ["x", "missingindicator_x", "seg_A", "seg_B", "seg_infrequent", "g"]
+    assert ready.slots(["seg"]) == [0, 1, 5] and ready.slots(["x"]) == [2, 3, 4, 5] and ready.slots(["se", "g"]) == [0, 1, 2, 3, 4]
 
 
-def test_search_returns_every_trial(study):
+def test_search_keeps_rounds_cuts_poor_trials_and_refits_to_its_score(study):
     train, _ = study
-    space = {"maxIter": (2, 3, "int"), "stepSize": (0.05, 0.1, "log"), "maxDepth": (2, 3, "int"), "leaves": (4, 8, "log_int"),
-             "minInstancesPerNode": (5, 10, "log_int"), "featureFraction": (0.9, 1.0, "linear")}
-    got = M.tune(train, FEATURES, "g", trials=2, folds=2, space=space).collect()
-    assert sorted(r["trial"] for r in got) == [1, 2] and got[0]["roc_auc"] >= got[1]["roc_auc"]
+    space = {"rate": (0.05, 0.3, "log"), "depth": (1, 4, "int"), "least_rows": (5, 300, "log_int")}
+    found = M.tune(train, FEATURES, "g", trials=8, folds=2, space=space, kinds=KINDS, most_rounds=60)
+    got = found.history.collect()
+    assert sorted(r["trial"] for r in got) == list(range(1, 9))
+    whole = [r for r in got if r["folds_run"] == 2]
+    assert whole[0]["roc_auc"] == found.roc_auc == max(r["roc_auc"] for r in whole) and len(whole) < 8
+    assert set(found.best) == {*space, "rounds"} and 1 <= found.best["rounds"] <= 60
+    folds = list(M._folds(train, FEATURES, "g", 2, "row_id", 42, True, KINDS))
+    aucs = []
+    for fold in folds:
+        settings = M.Settings(patience=M.SEARCH_PATIENCE, **{**found.best, "rounds": 60})
+        model = M.HistBooster(settings=settings, heldCol="_held").fit(fold)
+        aucs.append(roc_auc(M.score(model, fold.where("_held"), ["y"], "m")).first()["roc_auc"])
+    assert found.roc_auc == pytest.approx(np.mean(aucs), abs=1e-12)

@@ -90,7 +90,7 @@ def _(s: Star):
 @query("m7_tune")
 def _(s: Star):
     train, _ = split(s)
-    return M.tune(train, FEATURES, "grp_key").select("trial", "roc_auc", "roc_auc_std")
+    return M.tune(train, FEATURES, "grp_key", kinds=KINDS).history.select("trial", "roc_auc", "roc_auc_std", "folds_run", "rounds")
 
 
 @query("i1_native_importance")
@@ -133,4 +133,4 @@ def _(s: Star):
 @query("i4_block_ablation")
 def _(s: Star):
     train, test = split(s)
-    return X.block_ablation(train, test, FEATURES, "logistic", prefixes=BLOCKS)
+    return X.block_ablation(train, test, FEATURES, "logistic", blocks=BLOCKS, kinds=KINDS)
