@@ -10,32 +10,74 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from cohortlens.functions import poisson1_from_uniform, safe_div, uniform_from_hash
+from cohortlens.functions import safe_div
 from cohortlens.operators import metrics
 from cohortlens.operators.ordering import distributed_cumsum, quantile_edges, with_bucket
 from cohortlens.operators.splits import cap_sample
 
-# Up to this many equal rows the draw is a true sum of Poisson(1) draws; beyond it the normal
-# quantile corrected for skewness and kurtosis (Cornish-Fisher) is rounded.
-EXACT_UP_TO = 16
+#: Largest mean with a table of its own; beyond it, draws of this mean are added.
+_TOP = 20
+
+
+@cache
+def _table(k: int) -> np.ndarray:
+    """Distribution function of Poisson(2^k) from its first value that a 53-bit uniform can reach."""
+    mean = 2.0 ** k
+    reach = int(12 * math.sqrt(mean) + 40)
+    first = max(0, int(mean) - reach)
+    x = np.arange(first, int(mean) + reach + 1)
+    log_p = x * math.log(mean) - mean - np.cumsum(np.log(np.maximum(np.arange(1, x[-1] + 1), 1)))[x - 1] if first else np.r_[
+        -mean, np.cumsum(math.log(mean) - np.log(np.arange(1, x[-1] + 1))) - mean]
+    total = np.cumsum(np.exp(log_p))
+    return np.r_[first, total / total[-1]]
+
+
+def poisson_sums(n: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Exact Poisson(n) draws, a function of n and a 64-bit hash.
+
+    n is written in binary; for each bit set, the value of Poisson(2^k) at its own uniform is looked up in a table, and the
+    sum of independent Poisson draws is Poisson of the sum. The same rule holds for every n.
+    """
+    out = np.zeros(len(n))
+
+    def uniform(turn: int, rows: np.ndarray) -> np.ndarray:
+        x = hashes[rows] + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0 ** -53
+
+    def draw(k: int, turn: int, rows: np.ndarray) -> None:
+        table = _table(k)
+        out[rows] += table[0] + np.searchsorted(table[1:], uniform(turn, rows), side="right")
+
+    for k in range(_TOP):
+        rows = np.flatnonzero(n >> k & 1)
+        if len(rows):
+            draw(k, k, rows)
+    turn, rest = _TOP, n >> _TOP
+    while len(rows := np.flatnonzero(rest > 0)):
+        draw(_TOP, turn, rows)
+        rest = rest - 1
+        turn += 1
+    return out
+
+
+@F.pandas_udf(DoubleType())
+def _poisson(n: pd.Series, h: pd.Series) -> pd.Series:
+    return pd.Series(poisson_sums(n.to_numpy(np.int64), h.to_numpy(np.int64).view(np.uint64)))
 
 
 def poisson_draw(n: Column, *keys: Column) -> Column:
-    """Poisson(n) weight of a cell, a function of the keys only."""
-    small = F.aggregate(
-        F.sequence(F.lit(1), F.least(n, F.lit(EXACT_UP_TO)).cast("int")), F.lit(0),
-        lambda acc, i: acc + poisson1_from_uniform(uniform_from_hash(*keys, i)))
-    u1 = F.greatest(uniform_from_hash(*keys, F.lit(-1)), F.lit(2.0 ** -53))
-    u2 = uniform_from_hash(*keys, F.lit(-2))
-    z = F.sqrt(-2.0 * F.ln(u1)) * F.cos(2.0 * math.pi * u2)
-    root = F.sqrt(n)
-    corrected = n + root * z + (z * z - 1) / 6 + (z - z * z * z) / (72 * root)
-    large = F.greatest(F.round(corrected), F.lit(0.0))
-    return F.when(n <= EXACT_UP_TO, small.cast("double")).otherwise(large)
+    """Poisson(n) weight of a cell, a function of n and the keys only."""
+    return _poisson(n.cast("long"), F.xxhash64(*keys))
 
 
 def with_replicates(cells: DataFrame, reps: int) -> DataFrame:
@@ -96,10 +138,10 @@ def _thin(edges: Sequence[float], buckets: int) -> list[float]:
 
 def bootstrap_values(scores: DataFrame, metric: str = "roc_auc", reps: int = 200,
                      by: Sequence[str] = ("model",), y: str = "y", p: str = "p",
-                     buckets: int | None = 4096, seed: int = 42) -> DataFrame:
+                     buckets: int | None = None, seed: int = 42) -> DataFrame:
     """Metric per replicate. Replicate 0 is the sample itself (every weight is the count).
 
-    ``buckets=None`` keeps every distinct score as a cell of its own. Rows without a label or a
+    Every distinct score is a cell of its own; ``buckets`` merges them into about that many. Rows without a label or a
     score take no part, as in the exact metrics.
     """
     scores = scores.where(F.col(y).isNotNull() & F.col(p).isNotNull())
@@ -123,11 +165,11 @@ def bootstrap_values(scores: DataFrame, metric: str = "roc_auc", reps: int = 200
 
 def bootstrap_ci(scores: DataFrame, metric: str = "roc_auc", reps: int = 200, alpha: float = 0.05,
                  by: Sequence[str] = ("model",), y: str = "y", p: str = "p",
-                 buckets: int | None = 4096, seed: int = 42, max_n: int | None = None,
+                 buckets: int | None = None, seed: int = 42, max_n: int | None = None,
                  row_id: str = "row_id") -> DataFrame:
     """Percentile interval of a metric per model: value, lower, upper, width.
 
-    The value is exact. Replicates work on buckets; their constant bucket error, known from
+    The value is exact. If ``buckets`` merges scores, the constant error of that, known from
     replicate 0, is taken out of the bounds. ``max_n`` optionally caps the rows as a
     conservative choice; by default none is left out.
     """
@@ -148,11 +190,11 @@ def bootstrap_ci(scores: DataFrame, metric: str = "roc_auc", reps: int = 200, al
 
 def paired_bootstrap(pairs: DataFrame, p_a: str = "p_a", p_b: str = "p_b", y: str = "y",
                      metric: str = "roc_auc", reps: int = 200, by: Sequence[str] = (),
-                     buckets: int = 128, seed: int = 42) -> DataFrame:
+                     buckets: int | None = None, seed: int = 42) -> DataFrame:
     """Difference metric(B) - metric(A) with both models under the same resamples.
 
-    Rows are merged by (bucket of A, bucket of B, class); one draw per merged cell weights
-    both models. The difference itself is exact. The two-sided p-value is twice the smaller
+    Rows with equal scores of A, of B and equal class are merged, with ``buckets`` also those with
+    scores in the same of about that many; one draw per merged cell weights both models. The difference itself is exact. The two-sided p-value is twice the smaller
     share of sign changes.
     """
     pairs = pairs.where(F.col(y).isNotNull() & F.col(p_a).isNotNull() & F.col(p_b).isNotNull())
@@ -162,12 +204,16 @@ def paired_bootstrap(pairs: DataFrame, p_a: str = "p_a", p_b: str = "p_b", y: st
     sides = F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col(p_a).alias("p")),
                               F.struct(F.lit("b").alias("side"), F.col(p_b).alias("p"))))
     long = pairs.select(*by, y, sides.alias("s")).select(*by, y, "s.side", "s.p")
-    edges = _thin(quantile_edges(long, "p", rows_per_bucket=1), buckets)
+    edges = quantile_edges(long, "p") if buckets is None else []
     exact = _observed(long, [*by, "side"], metric, y, "p").groupBy(*by).agg(
         (F.max(F.when(F.col("side") == "b", F.col("_exact")))
          - F.max(F.when(F.col("side") == "a", F.col("_exact")))).alias("difference"))
 
-    cut = with_bucket(with_bucket(pairs, p_a, edges, "_ba"), p_b, edges, "_bb")
+    if buckets is None:
+        cut = pairs.withColumns({"_ba": F.col(p_a).cast("double"), "_bb": F.col(p_b).cast("double")})
+    else:
+        merged = _thin(quantile_edges(long, "p", rows_per_bucket=1), buckets)
+        cut = with_bucket(with_bucket(pairs, p_a, merged, "_ba"), p_b, merged, "_bb")
     err = [F.avg(F.pow(F.col(c) - F.col(y), 2)) for c in (p_a, p_b)]
     cells = cut.groupBy(*by, "_ba", "_bb", F.col(y).cast("int").alias("_y")).agg(
         F.count(F.lit(1)).alias("_n"), err[0].alias("_sa"), err[1].alias("_sb"))
@@ -181,7 +227,7 @@ def paired_bootstrap(pairs: DataFrame, p_a: str = "p_a", p_b: str = "p_b", y: st
                 .groupBy(*by, "rep", F.col("s.side").alias("side"), F.col("s.bucket").alias("bucket"))
                 .agg(F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_y")).alias("wp"),
                      F.sum(F.col("_w") * F.col("s.e")).alias("sq")))
-    per_side = replicate_metric(weighted, [*by, "rep", "side"], metric)
+    per_side = replicate_metric(weighted, [*by, "rep", "side"], metric, edges=edges)
     diff = per_side.groupBy(*by, "rep").agg(
         (F.max(F.when(F.col("side") == "b", F.col("value")))
          - F.max(F.when(F.col("side") == "a", F.col("value")))).alias("d"))
@@ -198,7 +244,7 @@ def paired_bootstrap(pairs: DataFrame, p_a: str = "p_a", p_b: str = "p_b", y: st
 
 def model_comparison(scores: DataFrame, winner: str, row_id: str = "row_id", y: str = "y",
                      p: str = "p", baseline: str | None = None, metric: str = "roc_auc",
-                     reps: int = 200, buckets: int = 128, seed: int = 42) -> DataFrame:
+                     reps: int = 200, buckets: int | None = None, seed: int = 42) -> DataFrame:
     """The winner against every other model; the constant baseline does not take part."""
     real = scores if baseline is None else scores.where(F.col("model") != baseline)
     best = real.where(F.col("model") == winner).select(row_id, F.col(p).alias("p_b"))

@@ -347,8 +347,8 @@ def tune(train: DataFrame, features: Sequence[str], group: str, trials: int = 10
     """Search for booster settings under group-whole folds; the test rows take no part.
 
     Folds are prepared and binned once and shared by all trials. A fit runs until its held fold gains nothing, so the number of
-    rounds is read from its curve. A trial whose first fold is below the median of the first folds so far ends there
-    (``folds_run`` 1); the others run all folds, at the same time. ``history`` has a row for each trial, best first,
+    rounds is read from its curve. A trial whose first fold has a larger loss than the median of the first folds so far
+    ends there (``folds_run`` 1); the others run all folds, at the same time. ``history`` has a row for each trial, best first,
     cut trials last.
     """
     from cohortlens.operators.roles import classify_columns
@@ -357,25 +357,29 @@ def tune(train: DataFrame, features: Sequence[str], group: str, trials: int = 10
     ready = [(fold, bin_rows(fold, key=row_key, held="_held")) for fold in _folds(train, features, group, folds, row_key, seed, exact_medians, kinds)]
     sampler = DensityRatioSampler(space, seed)
 
-    def run(fold, params: Mapping) -> tuple[float, int]:
-        rows, binned = fold
-        forest, curve = boost(binned, Settings(rounds=most_rounds, patience=SEARCH_PATIENCE, seed=seed, **params))
-        model = PipelineModel([HistBoosterModel.of(forest, curve)])
-        return roc_auc(score(model, rows.where("_held"), ["y"], "m")).first()["roc_auc"], len(forest)
+    def fit(k: int, params: Mapping):
+        return boost(ready[k][1], Settings(rounds=most_rounds, patience=SEARCH_PATIENCE, seed=seed, **params))
+
+    def judge(fits) -> list[float]:
+        """ROC AUC of each fold's held rows, all in one panel."""
+        parts = [score(PipelineModel([HistBoosterModel.of(*f)]), ready[k][0].where("_held"), ["y"], str(k)) for k, f in enumerate(fits)]
+        found = {r["model"]: r["roc_auc"] for r in roc_auc(reduce(DataFrame.unionByName, parts)).collect()}
+        return [found[str(k)] for k in range(len(fits))]
 
     rows, first_folds = [], []
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         for trial in range(1, trials + 1):
             params = sampler.ask()
-            done = [run(ready[0], params)]
-            cut = len(first_folds) >= 3 and done[0][0] < float(np.median(first_folds))
-            first_folds.append(done[0][0])
+            fits = [fit(0, params)]
+            loss = min(fits[0][1])
+            cut = len(first_folds) >= 3 and loss > float(np.median(first_folds))
+            first_folds.append(loss)
             if not cut:
-                done += pool.map(lambda fold: run(fold, params), ready[1:])
-            aucs = [a for a, _ in done]
-            rounds = max(1, round(float(np.mean([n for _, n in done]))))
+                fits += pool.map(lambda k: fit(k, params), range(1, folds))
+            aucs = judge(fits)
+            rounds = max(1, round(float(np.mean([len(f) for f, _ in fits]))))
             sampler.tell(params, float(np.mean(aucs)))
-            rows.append((trial, float(np.mean(aucs)), float(np.std(aucs)), len(done), rounds, {k: str(v) for k, v in params.items()}, params))
+            rows.append((trial, float(np.mean(aucs)), float(np.std(aucs)), len(fits), rounds, {k: str(v) for k, v in params.items()}, params))
     whole = [r for r in rows if r[3] == folds]
     best = max(whole, key=lambda r: (r[1], -r[0]))
     history = train.sparkSession.createDataFrame(

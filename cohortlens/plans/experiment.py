@@ -76,13 +76,19 @@ def design(name: str) -> Design:
 
 def prepare(base: DataFrame, name: str, columns: Columns = Columns(), train_year: int = 2023,
             test_year: int = 2024, sample: int | None = None, seed: int = 42,
-            select: Callable[..., list[str]] = roles.select_features):
-    """Split, sample and choose features; every choice looks at training rows only."""
+            select: Callable[..., list[str]] = roles.select_features,
+            learn_on: Callable[[DataFrame], DataFrame] | None = None):
+    """Split, sample and choose features; every choice looks at training rows only.
+
+    ``learn_on`` replaces the training rows by a part of them before features are judged.
+    """
     d = design(name)
     train, test = d.split(models.labelled(base, columns.target), columns, train_year, test_year, seed)
     if sample:
         train = stratified_sample(train, "y", sample, columns.row_id, seed)
         test = stratified_sample(test, "y", sample, columns.row_id, seed)
+    if learn_on:
+        train = learn_on(train)
     wanted = [c for c in select(base.columns, allow_lagged=d.allow_lagged) if c != "y"]
     features, dropped = roles.drop_degenerate(train, wanted)
     return train, test, features, dropped

@@ -10,10 +10,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from cohortlens.session import local_session  # noqa: E402
 
 
-@pytest.fixture(scope="session")
+@pytest.fixture(scope="module")
 def spark():
+    """A session for each module: what earlier modules cached and broadcast, and the record of their jobs, is gone with theirs."""
     s = local_session(8, "tests")
-    s.sparkContext.setLogLevel("OFF")
+    s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.plans.decision import decision_outputs
 from cohortlens.plans.experiment import Columns, design, prepare, run_experiment
+from cohortlens.plans.studies import load_best, run_comparison, run_interpretation, run_search
 from cohortlens.sources.storage import load_model, load_scores
 
 
@@ -65,3 +66,28 @@ def test_experiment_and_decisions_end_to_end(spark, base, tmp_path):
     assert out["worst_residuals"].count() == 10 and (tmp_path / "decision" / "ranking").exists()
     no_goal = decision_outputs(model, result.test.drop("mun_lag_meta_ano_alvo"), clusters=2, min_n=20, variables=["ses_ivs"])
     assert "target_risk" not in no_goal
+
+
+def test_search_comparison_and_interpretation_by_design(spark, base, tmp_path):
+    folder = str(tmp_path)
+    space = {"rate": (0.05, 0.3, "log"), "depth": (2, 3, "int"), "least_rows": (20, 60, "log_int")}
+    found = run_search(base, "spatial", sample=500, trials=3, folds=2, space=space, most_rounds=25, save_to=folder)
+    params = load_best(spark, folder, "spatial")
+    assert params == found.best and set(params) == {*space, "rounds"}
+    history = spark.read.option("header", True).csv(f"{folder}/search_history_spatial")
+    assert history.count() == 3 and {"trial", "roc_auc", "folds_run", "rounds", "params"} <= set(history.columns)
+
+    result = run_experiment(base, "spatial", ["baseline", "logistic", "leaf_boost"], params={"leaf_boost": params}, min_stratum=50)
+    told = run_comparison(result.panel, result.scores, "spatial", reps=60, save_to=folder)
+    intervals = {r["model"]: r for r in told.intervals.collect()}
+    assert set(intervals) == {"logistic", "leaf_boost"} and told.winner == max(intervals, key=lambda m: intervals[m]["roc_auc"])
+    assert all(r["ci_lower"] < r["roc_auc"] < r["ci_upper"] for r in intervals.values())
+    paired = told.paired.collect()
+    assert len(paired) == 1 and paired[0]["comparison"].startswith(f"{told.winner} - ") and paired[0]["difference"] >= 0
+    assert spark.read.option("header", True).csv(f"{folder}/paired_comparison_spatial").count() == 1
+
+    out = run_interpretation(result.models["leaf_boost"], base, "spatial", "leaf_boost", ablation_sample=600, permutation_rows=300, attribution_rows=100,
+                             params=params, save_to=folder)
+    assert set(out) == {"native_importance", "mean_attribution", "permutation_importance", "block_ablation"}
+    assert out["native_importance"].first()["measure"] == "gain" and out["permutation_importance"].count() == len(result.features)
+    assert spark.read.option("header", True).csv(f"{folder}/block_ablation_spatial").count() == out["block_ablation"].count() > 2

@@ -116,11 +116,24 @@ def test_raw_scores_are_never_gathered_in_one_task(scored):
     assert "SinglePartition" not in plan
 
 
-def test_poisson_weights_have_mean_and_variance_of_their_count(spark):
-    for n in (1, 7, 200):
-        w = spark.range(20_000).select(B.poisson_draw(F.lit(n), F.lit(1), F.col("id")).alias("w"))
-        mean, var = w.agg(F.avg("w"), F.var_pop("w")).first()
-        assert mean == pytest.approx(n, rel=0.03) and var == pytest.approx(n, rel=0.06)
+@pytest.mark.parametrize("n", [1, 2, 16, 17, 1000, (1 << 20) + 5, 3 << 20])
+def test_poisson_weights_are_exact_for_every_count(n):
+    size = 200_000
+    w = B.poisson_sums(np.full(size, n), np.random.default_rng(n).integers(0, 2**63, size).astype(np.uint64))
+    assert w.mean() == pytest.approx(n, abs=5 * math.sqrt(n / size))
+    assert w.var() == pytest.approx(n, abs=5 * math.sqrt((n + 2 * n * n) / size))
+    if n <= 1000:  # each value as often as it should be, tails included
+        x = np.arange(int(n + 6 * math.sqrt(n) + 6))
+        p = np.exp(x * math.log(n) - n - np.array([math.lgamma(k + 1) for k in x]))
+        found = np.bincount(w.astype(int), minlength=len(x))[:len(x)] / size
+        assert (np.abs(found - p) <= 5 * np.sqrt(p / size) + 5 / size).all()
+
+
+def test_poisson_weights_depend_on_their_keys_only(spark):
+    df = spark.range(5000).select("id", B.poisson_draw(F.lit(7), F.lit(1), F.col("id")).alias("w"))
+    assert rows(df, "id") == rows(df.repartition(13), "id")
+    mean, var = df.agg(F.avg("w"), F.var_pop("w")).first()
+    assert mean == pytest.approx(7, abs=0.2) and var == pytest.approx(7, abs=0.8)
 
 
 def test_bootstrap_interval_matches_resampling(scored):

@@ -161,35 +161,10 @@ def _(s: Star):
 
 # --- decisions ----------------------------------------------------------------------------------
 
-RANKING = """
-    SELECT *, observed - predicted AS residual, (observed - predicted) / nullif(std_error, 0) AS residual_z, 1 - predicted AS risk,
-      median(observed - predicted) OVER (PARTITION BY parent) AS parent_residual,
-      observed - predicted - median(observed - predicted) OVER (PARTITION BY parent) AS adjusted_residual FROM (
-      SELECT school, min(parent) AS parent, min(segment) AS segment, count(*) AS n, avg(p) AS predicted, avg(CAST(y AS DOUBLE)) AS observed,
-        sqrt(sum(p * (1 - p))) / count(*) AS std_error FROM scores WHERE model = 'A' GROUP BY 1 HAVING count(*) >= 4)"""
 RANK_COLS = ["predicted", "observed", "std_error", "residual", "residual_z", "risk", "parent_residual", "adjusted_residual"]
 
 
-def _ranking(s: Star):
-    return D.group_risk_ranking(s.scores.where(F.col("model") == "A"), "school", "parent", labels=["segment"], min_n=4)
-
-
-@query("d1_group_risk_ranking", sql(f"SELECT school, parent, segment, n, {', '.join(f'{R(c)} AS {c}' for c in RANK_COLS)} FROM ranking",
-                                    "scores", ranking=RANKING))
-def _(s: Star):
-    return _ranking(s)
-
-
-@query("d2_aggregate_calibration", sql(f"""
-    SELECT count(*) AS n_groups, {R('corr(predicted, observed)')} AS correlation, {R('100 * avg(abs(predicted - observed))')} AS mae_pp,
-      {R('100 * median(abs(predicted - observed))')} AS median_error_pp, {R('100 * avg(predicted - observed)')} AS bias_pp,
-      {R('1 - sum((predicted - observed) ** 2) / (var_pop(observed) * count(*))')} AS r2 FROM ranking""", "scores", ranking=RANKING))
-def _(s: Star):
-    return D.aggregate_calibration(_ranking(s))
-
-
-# The same over every model of the score table.
-RANKING_ALL = """
+RANKING = """
     SELECT *, observed - predicted AS residual, (observed - predicted) / nullif(std_error, 0) AS residual_z, 1 - predicted AS risk,
       median(observed - predicted) OVER (PARTITION BY model, parent) AS parent_residual,
       observed - predicted - median(observed - predicted) OVER (PARTITION BY model, parent) AS adjusted_residual FROM (
@@ -197,22 +172,22 @@ RANKING_ALL = """
         sqrt(sum(p * (1 - p))) / count(*) AS std_error FROM scores GROUP BY 1, 2 HAVING count(*) >= 4)"""
 
 
-def _ranking_all(s: Star):
+def _ranking(s: Star):
     return D.group_risk_ranking(s.scores, "school", "parent", labels=["segment"], min_n=4, by=["model"])
 
 
-@query("d1_group_risk_ranking_all_models", sql(f"SELECT model, school, parent, segment, n, {', '.join(f'{R(c)} AS {c}' for c in RANK_COLS)} FROM ranking",
-                                               "scores", ranking=RANKING_ALL))
+@query("d1_group_risk_ranking_models", sql(f"SELECT model, school, parent, segment, n, {', '.join(f'{R(c)} AS {c}' for c in RANK_COLS)} FROM ranking",
+                                               "scores", ranking=RANKING), also="d1_group_risk_ranking")
 def _(s: Star):
-    return _ranking_all(s)
+    return _ranking(s)
 
 
 @query("d2_aggregate_calibration_all_models", sql(f"""
     SELECT model, count(*) AS n_groups, {R('corr(predicted, observed)')} AS correlation, {R('100 * avg(abs(predicted - observed))')} AS mae_pp,
       {R('100 * median(abs(predicted - observed))')} AS median_error_pp, {R('100 * avg(predicted - observed)')} AS bias_pp,
-      {R('1 - sum((predicted - observed) ** 2) / (var_pop(observed) * count(*))')} AS r2 FROM ranking GROUP BY 1""", "scores", ranking=RANKING_ALL))
+      {R('1 - sum((predicted - observed) ** 2) / (var_pop(observed) * count(*))')} AS r2 FROM ranking GROUP BY 1""", "scores", ranking=RANKING), also="d2_aggregate_calibration")
 def _(s: Star):
-    return D.aggregate_calibration(_ranking_all(s), by=["model"])
+    return D.aggregate_calibration(_ranking(s), by=["model"])
 
 
 def _group_context(s: Star):
@@ -261,38 +236,15 @@ RISK = f"""
 CLASS = "CASE WHEN p_miss <= 0.2 THEN 'likely met' WHEN p_miss <= 0.5 THEN 'attention' WHEN p_miss <= 0.8 THEN 'high risk' WHEN p_miss > 0.8 THEN 'critical risk' END"
 
 
-def _risk(s: Star, ranking=_ranking):
+def _risk(s: Star):
     goals = s.evaluated.select("school", (25 + F.col("school") % 50).cast("double").alias("goal_pct"))
-    return D.target_miss_risk(ranking(s), goals, "school", "goal_pct")
-
-
-@query("d6_target_miss_risk", sql(f"SELECT school, {R('goal')} AS goal, {R('gap_pp')} AS gap_pp, {R('p_miss')} AS p_miss FROM risk",
-                                  "scores", ranking=RANKING, risk=RISK))
-def _(s: Star):
-    return _risk(s).select("school", "goal", "gap_pp", "p_miss")
-
-
-@query("d7_risk_class", sql(f"SELECT school, {CLASS} AS risk_class FROM risk", "scores", ranking=RANKING, risk=RISK))
-def _(s: Star):
-    return _risk(s).select("school", "risk_class")
-
-
-@query("d8_decision_report", sql(f"""
-    SELECT 'top_risk' AS list, CAST(school AS VARCHAR) AS item, {R('risk')} AS value FROM (SELECT * FROM ranking WHERE n >= 5 ORDER BY round(risk, 9) DESC, school LIMIT 15)
-    UNION ALL SELECT 'worst_residuals', CAST(school AS VARCHAR), {R('adjusted_residual')} FROM (SELECT * FROM ranking WHERE n >= 5 ORDER BY round(adjusted_residual, 9), school LIMIT 10)
-    UNION ALL SELECT 'best_residuals', CAST(school AS VARCHAR), {R('adjusted_residual')} FROM (SELECT * FROM ranking WHERE n >= 5 ORDER BY round(adjusted_residual, 9) DESC, school LIMIT 10)
-    UNION ALL SELECT 'class_counts', {CLASS}, count(*) FROM risk WHERE n >= 5 GROUP BY 2
-    UNION ALL SELECT 'largest_gaps', CAST(school AS VARCHAR), {R('gap_pp')} FROM gaps
-    UNION ALL SELECT 'parent_concentration', CAST(parent AS VARCHAR), count(*) FROM gaps GROUP BY 2 HAVING count(*) >= 2""",
-    "scores", ranking=RANKING, risk=RISK, gaps="SELECT * FROM risk WHERE n >= 5 ORDER BY round(gap_pp, 9), school LIMIT 15"))
-def _(s: Star):
-    return _report(*_report_tables(s, _ranking))
+    return D.target_miss_risk(_ranking(s), goals, "school", "goal_pct")
 
 
-def _report_tables(s: Star, ranking):
+def _report_tables(s: Star):
     # Sums of doubles depend on their order in the last digits; ties must not.
-    return (stage(ranking(s).withColumns({c: F.round(c, 9) for c in ("risk", "adjusted_residual")}), "ranking"),
-            stage(_risk(s, ranking).withColumn("gap_pp", F.round("gap_pp", 9)), "risk"))
+    return (stage(_ranking(s).withColumns({c: F.round(c, 9) for c in ("risk", "adjusted_residual")}), "ranking"),
+            stage(_risk(s).withColumn("gap_pp", F.round("gap_pp", 9)), "risk"))
 
 
 def _report(ranking, risk):
@@ -309,14 +261,14 @@ def _report(ranking, risk):
 
 
 @query("d6_target_miss_risk_all_models", sql(f"SELECT model, school, {R('goal')} AS goal, {R('gap_pp')} AS gap_pp, {R('p_miss')} AS p_miss FROM risk",
-                                             "scores", ranking=RANKING_ALL, risk=RISK))
+                                             "scores", ranking=RANKING, risk=RISK), also="d6_target_miss_risk")
 def _(s: Star):
-    return _risk(s, _ranking_all).select("model", "school", "goal", "gap_pp", "p_miss")
+    return _risk(s).select("model", "school", "goal", "gap_pp", "p_miss")
 
 
-@query("d7_risk_class_all_models", sql(f"SELECT model, school, {CLASS} AS risk_class FROM risk", "scores", ranking=RANKING_ALL, risk=RISK))
+@query("d7_risk_class_all_models", sql(f"SELECT model, school, {CLASS} AS risk_class FROM risk", "scores", ranking=RANKING, risk=RISK), also="d7_risk_class")
 def _(s: Star):
-    return _risk(s, _ranking_all).select("model", "school", "risk_class")
+    return _risk(s).select("model", "school", "risk_class")
 
 
 def _first(order: str, k: int) -> str:
@@ -330,9 +282,9 @@ def _first(order: str, k: int) -> str:
     UNION ALL SELECT model, 'class_counts', {CLASS}, count(*) FROM risk WHERE n >= 5 GROUP BY 1, 3
     UNION ALL SELECT model, 'largest_gaps', CAST(school AS VARCHAR), {R('gap_pp')} FROM gaps
     UNION ALL SELECT model, 'parent_concentration', CAST(parent AS VARCHAR), count(*) FROM gaps GROUP BY model, parent HAVING count(*) >= 2""",
-    "scores", ranking=RANKING_ALL, risk=RISK, gaps=f"SELECT * FROM risk {_first('round(gap_pp, 9)', 15)}"))
+    "scores", ranking=RANKING, risk=RISK, gaps=f"SELECT * FROM risk {_first('round(gap_pp, 9)', 15)}"), also="d8_decision_report")
 def _(s: Star):
-    ranking, risk = _report_tables(s, _ranking_all)
+    ranking, risk = _report_tables(s)
     # One row per model.
     names = [r.model for r in ranking.select("model").distinct().orderBy("model").collect()]
     parts = [_report(*(t.where(F.col("model") == m) for t in (ranking, risk))).select(F.lit(m).alias("model"), "*") for m in names]

@@ -13,15 +13,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query; doubles are rounded to six digits at this boundary only."""
+def query(name: str, sql: str | None = None, also: str | None = None):
+    """Register a query, under a second name too if it has one; doubles are rounded to six digits at this boundary only."""
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return rounded(fn(Star(spark, sf_dir)))
         run.__name__ = name
-        QUERIES[name] = run
-        if sql is not None:
-            ORACLES[name] = sql
+        for n in filter(None, (name, also)):
+            QUERIES[n] = run
+            if sql is not None:
+                ORACLES[n] = sql
         return fn
     return wrap
 

@@ -220,30 +220,13 @@ def _(s: Star):
     return spine.join(counts, keys, "left").select(*keys, zero_fill("n").alias("n"))
 
 
-def _part(u, status_flag, low, high, name):
-    return (u.where(F.col("year").between(low, high) & status_flag).groupBy("year", "grp")
-            .agg(F.count(F.lit(1)).alias(name)))
-
-
-@query("j5_outer_merge", sql("""
-    SELECT * FROM (SELECT year, grp, count(*) AS n_present FROM units WHERE present AND year BETWEEN 1995 AND 1998 GROUP BY 1, 2)
-    FULL JOIN (SELECT year, grp, count(*) AS n_completed FROM units WHERE completed AND year BETWEEN 1997 AND 2000 GROUP BY 1, 2) USING (year, grp)
-    FULL JOIN (SELECT year, grp, count(*) AS n_target FROM units WHERE target AND year BETWEEN 1996 AND 2001 GROUP BY 1, 2) USING (year, grp)""",
-    "units"))
-def _(s: Star):
-    u = s.units
-    return J.outer_merge([_part(u, F.col("present"), 1995, 1998, "n_present"),
-                          _part(u, F.col("completed"), 1997, 2000, "n_completed"),
-                          _part(u, F.col("target"), 1996, 2001, "n_target")], ["year", "grp"])
-
-
 # All units of all years: each is completed or not, which priorities decide, so every part lacks keys that others have.
 @query("j5_outer_merge_all_years", sql("""
     SELECT * FROM (SELECT year, grp, control, count(*) AS n_stream FROM units WHERE source = 'stream' GROUP BY 1, 2, 3)
     FULL JOIN (SELECT year, grp, control, count(*) AS n_completed FROM units WHERE completed GROUP BY 1, 2, 3) USING (year, grp, control)
     FULL JOIN (SELECT year, grp, control, count(*) AS n_not_completed FROM units WHERE NOT completed GROUP BY 1, 2, 3) USING (year, grp, control)
     FULL JOIN (SELECT year, grp, control, count(*) AS n_target FROM units WHERE target GROUP BY 1, 2, 3) USING (year, grp, control)""",
-    "units"))
+    "units"), also="j5_outer_merge")
 def _(s: Star):
     keys = ["year", "grp", "control"]
     parts = {"n_stream": F.col("source") == "stream", "n_completed": F.col("completed"), "n_not_completed": ~F.col("completed"),
@@ -286,21 +269,11 @@ def _(s: Star):
     return J.coverage_strata(e.where(F.col("year") == 2000), train, "school", "parent").select("unit_id", "stratum")
 
 
-@query("j9_attach", sql(f"""
-    SELECT school, n, {R('rate')} AS rate, CAST(goal AS BIGINT) AS goal FROM
-      (SELECT school, count(*) AS n, avg(CAST(CAST(target AS INTEGER) AS DOUBLE)) AS rate FROM evaluated GROUP BY 1)
-    LEFT JOIN (SELECT DISTINCT school, 55 + grp % 20 AS goal FROM units WHERE year = 2000) USING (school)""", "evaluated"))
-def _(s: Star):
-    ranking = A.outcome_by(s.evaluated, ["school"], "target")
-    goals = s.units.where(F.col("year") == 2000).select("school", (55 + F.col("grp") % 20).cast("bigint").alias("goal"))
-    return J.attach_targets(ranking, goals, "school", ["goal"])
-
-
 # Goals from all units of all years; those of one segment have no value.
 @query("j9_attach_all_years", sql(f"""
     SELECT school, n, {R('rate')} AS rate, CAST(goal AS BIGINT) AS goal FROM
       (SELECT school, count(*) AS n, avg(CAST(CAST(target AS INTEGER) AS DOUBLE)) AS rate FROM evaluated GROUP BY 1)
-    LEFT JOIN (SELECT DISTINCT school, CASE WHEN segment <> 'BUILDING' THEN 55 + grp % 20 END AS goal FROM units) USING (school)""", "evaluated"))
+    LEFT JOIN (SELECT DISTINCT school, CASE WHEN segment <> 'BUILDING' THEN 55 + grp % 20 END AS goal FROM units) USING (school)""", "evaluated"), also="j9_attach")
 def _(s: Star):
     ranking = A.outcome_by(s.evaluated, ["school"], "target")
     goals = s.units.select("school", F.when(F.col("segment") != "BUILDING", 55 + F.col("grp") % 20).cast("bigint").alias("goal"))
