@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import time
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
@@ -14,12 +15,12 @@ import numpy as np
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions import hash32
@@ -27,7 +28,7 @@ from cohortlens.operators.boosting import HistBooster, HistBoosterModel, Setting
 from cohortlens.operators.encoders import INFREQUENT, InfrequentOneHotModel, build_preprocessor, clean_name, feature_names
 from cohortlens.operators.metrics import metric_panel, roc_auc
 from cohortlens.operators.splits import grouped_stratified_folds
-from cohortlens.session import stage
+from cohortlens.session import shared_dir, stage
 
 
 class PriorBaseline(Estimator, DefaultParamsReadable, DefaultParamsWritable):
@@ -177,7 +178,19 @@ def fit_vectors(name: str, rows: DataFrame, n: int, row_key: str = "row_id", par
         held = hash32(f"{seed}-stop", row_key) < int(spec.validation * (1 << 32))
         rows = rows.withColumn("_held_out", held)
         args.setdefault("held", "_held_out")
-    return spec.make(n, **args).fit(rows)
+    model = spec.make(n, **args).fit(rows)
+    return _portable(model, rows.sparkSession) if isinstance(model, LogisticRegressionModel) else model
+
+
+def _portable(model: LogisticRegressionModel, spark: SparkSession) -> LogisticRegressionModel:
+    """The model as read back from storage, without its training summary.
+
+    The summary holds the session, which travels with the model into every scoring task. Once the session has
+    observed a metric (verified writes do), it can no longer be serialised and scoring fails.
+    """
+    path = f"{shared_dir(spark).rstrip('/')}/stage/logistic-{uuid.uuid4().hex[:12]}"
+    model.save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def fit_candidate(name: str, train: DataFrame, features: Sequence[str], row_key: str = "row_id",

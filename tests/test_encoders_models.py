@@ -117,6 +117,16 @@ def test_pipeline_survives_storage(spark, study, tmp_path):
         load_model(str(tmp_path / "nothing"))
 
 
+def test_models_score_after_the_session_observed_a_metric(spark, study):
+    from pyspark.sql import Observation
+    train, test = study
+    seen = Observation("seen")
+    test.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 500
+    model = M.fit_candidate("logistic", train, FEATURES, kinds=KINDS)
+    assert M.score(model, test, ["row_id"]).count() == 500 and len(M.score(model, test, ["row_id"]).collect()) == 500
+
+
 def test_candidates_learn_and_are_ranked(study):
     train, test = study
     panel, scores, fitted = M.train_and_score(train, test, FEATURES, ["baseline", "logistic", "leaf_boost"],
