@@ -460,15 +460,36 @@ class Forest:
     def margin(self, x: np.ndarray) -> np.ndarray:
         """Log odds of rows (row, column)."""
         out = np.full(len(x), self.base)
-        rows = np.arange(len(x))
         for k in range(len(self)):
-            t = self.tree(k)
-            at = np.zeros(len(x), np.int32)
-            while (t["column"][at] >= 0).any():
-                at = np.where(x[rows, t["column"][at]] <= t["threshold"][at], t["left"][at], t["right"][at])
-            out += t["value"][at]
+            out += self._walk(self.tree(k), x)
         return out
 
+    @staticmethod
+    def _walk(t: Mapping[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+        """Value of the leaf that each row reaches."""
+        at, rows = np.zeros(len(x), np.int32), np.arange(len(x))
+        while (t["column"][at] >= 0).any():
+            at = np.where(x[rows, t["column"][at]] <= t["threshold"][at], t["left"][at], t["right"][at])
+        return t["value"][at]
+
+    def swapped_margins(self, x: np.ndarray, other: np.ndarray, groups: Sequence[Sequence[int]]) -> np.ndarray:
+        """Log odds (row, group) of rows that take the columns of a group from ``other``; a tree that uses none of them
+        is not walked again."""
+        own = np.full(len(x), self.base)
+        moved = np.zeros((len(x), len(groups)))
+        for k in range(len(self)):
+            t = self.tree(k)
+            used = set(t["column"][t["column"] >= 0].tolist())
+            before = self._walk(t, x)
+            own += before
+            for g, columns in enumerate(groups):
+                here = [c for c in columns if c in used]
+                if here:
+                    mixed = x.copy()
+                    mixed[:, here] = other[:, here]
+                    moved[:, g] += self._walk(t, mixed) - before
+        return own[:, None] + moved
+
     def expected(self) -> float:
         """Mean margin when every split sends rows on by the shares seen in training."""
         total = self.base

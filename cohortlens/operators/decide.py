@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +14,7 @@ from cohortlens.operators.aggregates import value_counts
 from cohortlens.operators.joins import attach_targets
 from cohortlens.operators.ordering import (
     bottom_k, even_edges, exact_quantiles, peer_adjust, quantiles_by, top_k)
+from cohortlens.session import stage
 
 # Risk classes and their right-closed upper edges.
 RISK_EDGES = (0.20, 0.50, 0.80)
@@ -83,18 +84,73 @@ def cluster_groups(groups: DataFrame, key: str, variables: Sequence[str], outcom
         F.avg(c).alias(f"m{c}"), F.stddev_pop(c).alias(f"s{c}"))]).first()
     scaled = filled.withColumns({
         c: (F.col(c) - m[f"m{c}"]) / (m[f"s{c}"] or 1.0) for c in names})
-    vec = VectorAssembler(inputCols=names, outputCol="_vec").transform(scaled).persist()
-    try:
-        fits = [KMeans(k=k, seed=seed + i, featuresCol="_vec", predictionCol="_cluster").fit(vec)
-                for i in range(starts)]
-        best = min(fits, key=lambda f: f.summary.trainingCost)
-        order = (best.transform(vec).groupBy("_cluster").agg(F.avg(outcome).alias("o"))
-                 .orderBy("o", "_cluster").collect())  # k rows
-    finally:
-        vec.unpersist()
+    rows = stage(scaled.select(*groups.columns, F.array(*names).alias("_x")), "cluster-rows")
+    centres = best_centres(rows, "_x", key, k, starts, seed)
+    nearest = F.array_min(F.array(*[F.struct(sum((F.pow(F.get("_x", F.lit(j)) - float(v), 2) for j, v in enumerate(c)), F.lit(0.0)).alias("d"), F.lit(i).alias("c"))
+                                    for i, c in enumerate(centres)]))["c"]
+    dealt = rows.select(*groups.columns, nearest.alias("_cluster"))
+    order = dealt.groupBy("_cluster").agg(F.avg(outcome).alias("o")).orderBy("o", "_cluster").collect()  # k rows
     relabel = F.create_map(*[F.lit(x) for i, r in enumerate(order, 1) for x in (r["_cluster"], i)])
-    return (best.transform(VectorAssembler(inputCols=names, outputCol="_vec").transform(scaled))
-            .select(*groups.columns, relabel[F.col("_cluster")].alias("cluster")))
+    return dealt.select(*groups.columns, relabel[F.col("_cluster")].alias("cluster"))
+
+
+#: Rows that first centres are drawn from at most, those with the smallest hash of their key; all rows move centres.
+SEED_ROWS = 10_000
+
+
+def best_centres(rows: DataFrame, column: str, key: str, k: int, starts: int, seed: int = 42, iterations: int = 50, tolerance: float = 1e-4) -> np.ndarray:
+    """Centres (k, dimensions) of the cheapest of several k-means runs over (column array<double>).
+
+    All starts move together: an iteration is one aggregate of counts, sums and squared distances per (start, cluster),
+    summed within tasks first. First centres are drawn with chances growing with the squared distance to those drawn before.
+    A start rests once no centre moves by more than ``tolerance``; a cluster that loses all rows keeps its centre.
+    """
+    n = rows.count()
+    pool = rows if n <= SEED_ROWS else rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(SEED_ROWS / n * (1 << 30)))
+    points = np.array([r[0] for r in pool.orderBy(F.xxhash64(key), key).select(column).collect()], float)
+    if not len(points):
+        return np.zeros((1, 0))
+    rng, k = np.random.default_rng(seed), min(k, len(np.unique(points, axis=0)))
+    centres = np.empty((starts, k, points.shape[1]))
+    for s in range(starts):
+        centres[s, 0] = points[rng.integers(len(points))]
+        for c in range(1, k):
+            far = ((points[:, None] - centres[s, None, :c]) ** 2).sum(2).min(1)
+            centres[s, c] = points[rng.choice(len(points), p=far / far.sum())]
+
+    def assign(now: np.ndarray):
+        def sums(batches):
+            total = np.zeros((*now.shape[:2], now.shape[2] + 2))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                for s, c in enumerate(now):
+                    d = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
+                    near = d.argmin(1)
+                    cost = np.maximum(d[np.arange(len(x)), near], 0.0)
+                    for j, w in enumerate((np.ones(len(x)), cost, *x.T)):
+                        total[s, :, j] += np.bincount(near, w, len(c))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total[..., 0].size, dtype=np.int32)), pa.array(total.reshape(-1, total.shape[2]).tolist(), pa.list_(pa.float64()))], ["at", "v"])
+
+        parts = rows.select(column).mapInArrow(sums, "at int, v array<double>")
+        width = now.shape[2] + 2
+        found = parts.groupBy("at").agg(F.array(*[F.sum(F.get("v", F.lit(j))) for j in range(width)]).alias("v")).collect()  # starts x k rows
+        out = np.zeros((now.shape[0] * now.shape[1], width))
+        for r in found:
+            out[r["at"]] = r["v"]
+        return out.reshape(*now.shape[:2], width)
+
+    for _ in range(iterations):
+        told = assign(centres)
+        held = told[..., :1] > 0
+        moved = np.where(held, told[..., 2:] / np.maximum(told[..., :1], 1), centres)
+        still = np.sqrt(((moved - centres) ** 2).sum(2)).max() <= tolerance
+        centres = moved
+        if still:
+            break
+    cost = assign(centres)[..., 1].sum(1)
+    return centres[int(cost.argmin())]
 
 
 def cluster_profile(clustered: DataFrame, variables: Sequence[str], outcome: str,

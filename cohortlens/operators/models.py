@@ -140,14 +140,20 @@ class Prepared:
 
     def slots(self, drop: Sequence[str]) -> list[int]:
         """Positions of the vector that come from other raw columns than those dropped."""
-        gone = set(drop)
-        return [k for k, n in enumerate(self.names) if self.sources.get(n, n.removeprefix("missingindicator_")) not in gone]
-
-    @property
-    def sources(self) -> dict[str, str]:
-        """Raw column of each 0/1 column; the others are named after their own."""
-        hot = [s for s in self.pipeline.stages if isinstance(s, InfrequentOneHotModel)]
-        return {f"{c}_{clean_name(level)}": c for s in hot for c, (_, levels) in s.fitted["kept"].items() for level in [*levels, INFREQUENT]}
+        gone = {k for places in slots_by_source(self.pipeline, self.names, drop).values() for k in places}
+        return [k for k in range(len(self.names)) if k not in gone]
+
+
+def slots_by_source(prep: PipelineModel, names: Sequence[str], columns: Sequence[str]) -> dict[str, list[int]]:
+    """Positions of the vector that stem from each raw column: 0/1 columns of its levels, or those named after it."""
+    hot = {f"{c}_{clean_name(level)}": c for s in prep.stages if isinstance(s, InfrequentOneHotModel)
+           for c, (_, levels) in s.fitted["kept"].items() for level in [*levels, INFREQUENT]}
+    out: dict[str, list[int]] = {c: [] for c in columns}
+    for k, name in enumerate(names):
+        source = hot.get(name, name.removeprefix("missingindicator_"))
+        if source in out:
+            out[source].append(k)
+    return out
 
 
 def prepare_vectors(train: DataFrame, other: DataFrame | None, features: Sequence[str], scale: bool, row_key: str = "row_id",

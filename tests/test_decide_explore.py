@@ -68,6 +68,23 @@ def test_clusters_are_numbered_by_outcome_which_takes_no_part(spark):
     assert traits[0]["traits"] in ("↑ a", "↓ b") and traits[2]["traits"] in ("↓ a", "↑ b")
 
 
+def test_starts_that_move_together_are_as_good_as_separate_runs(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(c, 0.6, size=(60, 3)) for c in r.uniform(-6, 6, size=(5, 3))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "g long, x array<double>").withColumn("v", array_to_vector("x")).persist()
+    centres = D.best_centres(df, "x", "g", 5, 10)
+    cost = ((x[:, None] - centres) ** 2).sum(2).min(1).sum()
+    plain = min(KMeans(k=5, seed=s, featuresCol="v").fit(df).summary.trainingCost for s in range(4))
+    assert cost <= plain * (1 + 1e-6)
+    again = D.best_centres(df.repartition(7), "x", "g", 5, 10)
+    assert np.allclose(sorted(map(tuple, centres)), sorted(map(tuple, again)))
+    few = D.best_centres(df.where("g < 2"), "x", "g", 5, 3)
+    assert few.shape == (2, 3) and D.best_centres(df.where("g < 0"), "x", "g", 5, 3).shape == (1, 0)
+
+
 def test_report_lists(scored):
     r = D.group_risk_ranking(scored[1], "g", "uf")
     goals = scored[1].select("g", F.lit(70.0).alias("goal"))

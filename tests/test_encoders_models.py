@@ -192,6 +192,21 @@ def test_permutation_and_native_importance_find_the_signal(study):
     assert {r["feature"] for r in native} == {"x", "g"} and native[0]["measure"] == "absolute coefficient"
 
 
+@pytest.mark.parametrize("name, params", [("logistic", None), ("leaf_boost", {"rounds": 12, "least_rows": 20})])
+def test_permutations_equal_swapping_raw_columns(study, name, params):
+    train, test = study
+    model = M.fit_candidate(name, train, FEATURES, kinds=KINDS, params=params)
+    got = {r["feature"]: r["auc_drop"] for r in X.permutation_importance(model, test, FEATURES, reps=1).collect()}
+    base = test.select("row_id", "y", *FEATURES)
+    mine = X.hash_rank(base, "42-0-a", ["row_id"], out="_pos")
+    other = X.hash_rank(base.select("row_id", F.struct(*FEATURES).alias("_o")), "42-0-b", ["row_id"], out="_pos").drop("row_id")
+    paired = mine.join(other, "_pos")
+    sides = [M.score(model, base, ["y"], "full")] + [
+        M.score(model, paired.select("row_id", "y", *[F.col(f"_o.{c}" if c == f else c).alias(c) for c in FEATURES]), ["y"], f) for f in FEATURES]
+    auc = {r["model"]: r["roc_auc"] for r in roc_auc(sides[0].union(sides[1]).union(sides[2]).union(sides[3]).withColumn("p", F.round("p", 12))).collect()}
+    assert got == {f: pytest.approx(auc["full"] - auc[f], abs=1e-9) for f in FEATURES}
+
+
 def test_ablation_skips_empty_blocks(study):
     train, test = study
     got = {r["block"]: r for r in X.block_ablation(train, test, FEATURES, blocks={"g": ("g",), "none": ("zz",)}, kinds=KINDS).collect()}
