@@ -159,13 +159,14 @@ def _likely(pairs: DataFrame, near: Near) -> DataFrame:
 
 
 def _texts(pairs: DataFrame, docs: DataFrame, have: DataFrame | None = None) -> DataFrame:
-    """(doc_id, text) of all documents in the pairs; those in ``have`` are not fetched again."""
+    """(doc_id, text) of all documents in the pairs, each text of a doc_id once; those in ``have`` are not fetched again."""
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     missing = stage(needed if have is None else needed.join(have, "doc_id", "left_anti"), "near-missing")
     # A checked number of ids goes to every task; more are hashed. Either way the texts are not sorted.
     missing = F.broadcast(missing) if missing.count() <= FEW_IDS else missing.hint("shuffle_hash")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(missing, "doc_id", "left_semi")
-    texts = stage(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").join(missing, "doc_id", "left_semi")
+    told_apart = ["doc_id", F.xxhash64("text"), F.crc32("text"), F.octet_length("text")]
+    texts = stage(texts.groupBy(*told_apart).agg(F.min("text").alias("text")).select("doc_id", "text"), "near-texts")
     return texts if have is None else have.union(texts)
 
 
@@ -178,11 +179,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
         last, x = None, None
         for batch in steps(batches, "text_b"):
             good = []
-            for a, text_a, text_b in zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b")):
-                if a != last:
-                    last, x = a, shingle_set(text_a.as_py(), near.words)
+            for text_a, text_b in zip(batch.column("text_a"), batch.column("text_b")):
+                data = text_a.as_buffer()
+                if last is None or not data.equals(last):
+                    last, x = data, shingle_set(text_a.as_py(), near.words)
                 y = shingle_set(text_b.as_py(), near.words)
-                if near.den * min(len(x), len(y)) < near.num * max(len(x), len(y)):
+                if not len(x) or not len(y) or near.den * min(len(x), len(y)) < near.num * max(len(x), len(y)):
                     good.append(False)
                     continue
                 merged = np.concatenate([x, y])
@@ -191,7 +193,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
                 good.append(near.den * common >= near.num * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return stage(both.mapInArrow(check, "a long, b long"), "near-links")
+    # documents with several texts are linked by any of them
+    return stage(both.mapInArrow(check, "a long, b long").distinct(), "near-links")
 
 
 def _open_pairs(members: DataFrame, sig: DataFrame, near: Near, best: bool) -> DataFrame:
@@ -263,7 +266,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
     Empty and null texts have no shingles and link with nothing. A null doc_id keeps its row, with a null
     component and kept true. Rows that repeat a doc_id are one document: each row is returned with the
-    document's component, and links of such a document are confirmed on its smallest text. Other columns are ignored; an empty table gives no rows.
+    document's component, and any of its texts can link it. Other columns are ignored; an empty table gives no rows.
     """
     rows = stage(signatures(docs, near), "near-rows")
     classed = rows.filter("doc_id is not null and set_key is not null")
@@ -273,14 +276,14 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     stars = banded.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo <> hi")
     # Buckets that hold more than one class, with their members; the rest has no pair.
     shared = stage(banded.join(stars, "key").select("key", "cid", "lo"), "near-shared")
-    sig = classes.groupBy("cid").agg(F.min("sig").alias("sig"))
+    sig = classes.select("cid", "sig")  # a document with several texts has several
     first = shared.filter("cid <> lo").select(F.col("lo").alias("a"), F.col("cid").alias("b")).distinct()
     def with_sigs(pairs: DataFrame) -> DataFrame:
         return (pairs.join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
                 .join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a").select("a", "b", "sig_a", "sig_b"))
     # A document with several texts stands in several classes: they are one node.
     alike = classed.join(classes.select("set_key", "cid"), "set_key").filter("doc_id <> cid").select(F.col("cid").alias("a"), F.col("doc_id").alias("b")).distinct()
-    starred = stage(_likely(with_sigs(first), near), "near-likely")
+    starred = stage(_likely(with_sigs(first), near).distinct(), "near-likely")
     texts = _texts(starred, docs)
     found = components(_confirmed(starred, texts, near).union(alike))
     for best in (True, False):

@@ -373,10 +373,18 @@ def cut_text(text: str, starts: np.ndarray, window: int) -> str:
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """The rows of ``docs`` with repeated passages cut from ``text``, its white space kept, and ``n_chars`` brought up to date.
 
-    All rows and columns stay; a text that is repeated throughout becomes empty; null texts stay null.
+    All rows and columns stay, whatever their names; a text that is repeated throughout becomes empty; null texts stay null.
     """
-    names = docs.columns
-    both = _beside(_keyed(docs), repeated_windows(docs, window), "left").select(*names, "_places")
+    taken = {c.lower() for c in docs.columns} | {"_id", "_mark", "_places"}
+    names = []
+    for c in docs.columns:
+        while c.lower() in ("_id", "_mark", "_places") or c in names:
+            c = f"{c}_"
+            while c.lower() in taken:
+                c = f"{c}_"
+        names.append(c)
+    docs, schema = docs.toDF(*names), docs.schema
+    both = _beside(_keyed(docs), repeated_windows(docs.select("doc_id", "text"), window), "left").select(*names, "_places")
 
     def cut(batches):
         for batch in steps(batches):
@@ -385,6 +393,6 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             columns = {n: batch.column(n) for n in names} | {"text": pa.array(texts, batch.column("text").type)}
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([len(t) if t is not None and p else c for t, p, c in zip(texts, found, batch.column("n_chars").to_pylist())], batch.column("n_chars").type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), schema.names)
 
-    return both.mapInArrow(cut, docs.schema)
+    return both.mapInArrow(cut, schema)
