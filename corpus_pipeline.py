@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.llm import decontaminate, minhash, pack, quality, substring
 from cohortlens.llm.queries import tokenizer_path
-from cohortlens.session import shared_dir
+from cohortlens.session import shared_dir, stage
 
 #: Words of a passage that is cut where it repeats.
 WINDOW = 20
@@ -26,10 +26,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, 0.8): the one with the smallest doc_id.
 
-    Documents without words, and those without a doc_id, are nobody's copies and stay.
+    Documents without words, and those without a doc_id, are nobody's copies and stay. Rows that repeat both doc_id
+    and text stay once.
     """
     gone = minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    again = stage(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return left
+    once = left.join(again.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return once.union(left.join(again.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
