@@ -132,10 +132,6 @@ def _observed(scores: DataFrame, by: Sequence[str], metric: str, y: str, p: str)
     return getattr(metrics, metric)(scores, by=list(by), y=y, p=p).withColumnRenamed(metric, "_exact")
 
 
-def _thin(edges: Sequence[float], buckets: int) -> list[float]:
-    return list(edges[::max(1, math.ceil(len(edges) / buckets))])
-
-
 def bootstrap_values(scores: DataFrame, metric: str = "roc_auc", reps: int = 200,
                      by: Sequence[str] = ("model",), y: str = "y", p: str = "p",
                      buckets: int | None = None, seed: int = 42) -> DataFrame:
@@ -149,7 +145,7 @@ def bootstrap_values(scores: DataFrame, metric: str = "roc_auc", reps: int = 200
         cut = scores.withColumn("bucket", F.col(p).cast("double"))
         edges = quantile_edges(scores, p)
     else:
-        cut = with_bucket(scores, p, _thin(quantile_edges(scores, p, rows_per_bucket=1), buckets), "bucket")
+        cut = with_bucket(scores, p, quantile_edges(scores, p, buckets=buckets), "bucket")
         edges = []
     cells = cut.groupBy(*by, "bucket", F.col(y).cast("int").alias("_y")).agg(
         F.count(F.lit(1)).alias("_n"), F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("_sq"))
@@ -212,7 +208,7 @@ def paired_bootstrap(pairs: DataFrame, p_a: str = "p_a", p_b: str = "p_b", y: st
     if buckets is None:
         cut = pairs.withColumns({"_ba": F.col(p_a).cast("double"), "_bb": F.col(p_b).cast("double")})
     else:
-        merged = _thin(quantile_edges(long, "p", rows_per_bucket=1), buckets)
+        merged = quantile_edges(long, "p", buckets=buckets)
         cut = with_bucket(with_bucket(pairs, p_a, merged, "_ba"), p_b, merged, "_bb")
     err = [F.avg(F.pow(F.col(c) - F.col(y), 2)) for c in (p_a, p_b)]
     cells = cut.groupBy(*by, "_ba", "_bb", F.col(y).cast("int").alias("_y")).agg(

@@ -6,15 +6,16 @@ import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.expr import HASH_RANGE, hash32
 
 ROWS_PER_BUCKET = 500_000
-MAX_BUCKETS = 4096
-SKETCH_ACCURACY = 10_000
+#: Ranges that a pass of the exact quantiles cuts a bracket into.
+RANGES = 1024
 
 
 # --- top-k -------------------------------------------------------------------------------
@@ -50,23 +51,51 @@ def rank_by_abs(df: DataFrame, col: str, key: str, rank: str | None = None) -> D
 
 # --- prefix sums ---------------------------------------------------------------------------
 
-def quantile_edges(df: DataFrame, col: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
-    """Inner edges that cut the values into buckets of about equal row counts.
+def _powers_of_two(low: float, high: float) -> np.ndarray:
+    """Zero and all powers of two, of both signs, between two finite values."""
+    sizes = np.ldexp(1.0, np.arange(-1074, 1024))
+    marks = np.concatenate([-sizes[::-1], [0.0], sizes])
+    return marks[(marks > low) & (marks <= high)]
 
-    One aggregate with a bounded sketch; at most ``MAX_BUCKETS - 1`` numbers reach the driver.
+
+def _range_counts(values: DataFrame, edges: Sequence[float]) -> list[Row]:
+    """Rows, least and largest value of each non-empty range, in order."""
+    return (with_bucket(values, "v", edges).groupBy("_bucket")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            .orderBy("_bucket").collect())
+
+
+def quantile_edges(df: DataFrame, col: str, rows_per_bucket: int = ROWS_PER_BUCKET,
+                   buckets: int | None = None) -> list[float]:
+    """Inner edges of buckets with at most ``rows_per_bucket`` rows; a value with more of them has its own.
+
+    Rows are counted per binary order of magnitude, then ranges with too many rows are cut evenly
+    and all are counted again until none is left to cut. A pass is one aggregate combined on the map
+    side: no value and no sketch is gathered. The driver holds a few numbers per bucket, so one for
+    some hundred thousand rows. ``buckets`` asks for about that many buckets instead. NULL, NaN
+    and infinite values set no edge.
     """
-    # Written as SQL text: building thousands of literals one call at a time is slow.
-    probs = ", ".join(f"{i / MAX_BUCKETS}D" for i in range(1, MAX_BUCKETS))
-    n, sketch = df.agg(
-        F.count(col),
-        F.expr(f"percentile_approx(CAST(`{col}` AS DOUBLE), array({probs}), {SKETCH_ACCURACY})"),
-    ).first()
-    buckets = min(MAX_BUCKETS, max(1, math.ceil(n / rows_per_bucket)))
-    if buckets == 1 or not sketch:
+    v = F.col(col).cast("double")
+    values = df.select(v.alias("v")).where(F.abs("v") < math.inf)
+    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    most = max(1, rows_per_bucket if buckets is None else math.ceil(n / buckets))
+    if n <= most or low == high:
         return []
-    picks = {float(sketch[min(len(sketch), max(1, round(i * MAX_BUCKETS / buckets))) - 1])
-             for i in range(1, buckets)}
-    return sorted(v for v in picks if math.isfinite(v))
+    edges = _powers_of_two(low, high)
+    while True:
+        ranges = _range_counts(values, edges.tolist())
+        cuts = [np.linspace(r["lo"], r["hi"], min(max(8, math.ceil(4 * r["n"] / most)), 4096) + 1)[1:]
+                for r in ranges if r["n"] > most and r["lo"] < r["hi"]]
+        if not cuts:
+            break
+        edges = np.unique(np.concatenate([[r["lo"] for r in ranges], *cuts]))
+    out, held = [], 0
+    for r in ranges:
+        if held and held + r["n"] > most:
+            out.append(r["lo"])
+            held = 0
+        held += r["n"]
+    return out
 
 
 def even_edges(low: float, high: float, buckets: int = 256) -> list[float]:
@@ -171,14 +200,51 @@ def quantiles_by(df: DataFrame, by: Sequence[str], col: str, probs: Mapping[str,
     return rows.select(*wanted, *extra, *outs)
 
 
+def _magnitude(v: Column) -> Column:
+    """Binary order of magnitude with its sign: never falls as the value grows. NaN comes last, as in sorting."""
+    size = F.floor(F.log2(F.abs(v))) + 1100
+    return (F.when(F.isnan(v), 3000).when(v == 0, 0).when(F.abs(v) == math.inf, 2500 * F.signum(v))
+            .otherwise(F.signum(v) * size)).cast("int")
+
+
+def _one_value(b: Mapping) -> bool:
+    return b["lo"] == b["hi"] or b["lo"] != b["lo"]
+
+
+def _narrow(df: DataFrame, names: Sequence[str], wide: Mapping, magnitudes: bool) -> None:
+    """Shrink each bracket to the range of it that holds its rank: one aggregate for all brackets."""
+    shared: dict[tuple, list[tuple[int, int]]] = {}
+    for (i, r), b in wide.items():
+        shared.setdefault((i, b["lo"], b["hi"], b["below"]), []).append((i, r))
+    entries, wanted_here = [], F.lit(False)
+    for j, ((i, lo, hi, below), keys) in enumerate(shared.items()):
+        v = F.col(names[i]).cast("double")
+        place = _magnitude(v) if magnitudes else F.least(
+            F.floor((v - lo) / (hi - lo) * RANGES).cast("int"), F.lit(RANGES - 1))
+        entries.append(F.when(v.between(lo, hi), F.struct(F.lit(j).alias("j"), place.alias("place"), v.alias("v"))))
+        for _, r in keys:
+            wanted_here |= (F.col("j") == j) & (F.col("before") <= r - below) & (F.col("before") + F.col("n") > r - below)
+    ranges = (df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).groupBy("e.j", "e.place")
+              .agg(F.count(F.lit(1)).alias("n"), F.min("e.v").alias("lo"), F.max("e.v").alias("hi")))
+    upto = Window.partitionBy("j").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranges.withColumn("before", F.sum("n").over(upto) - F.col("n"))
+    brackets = list(shared.items())
+    for row in placed.where(wanted_here).collect():  # at most one row per wanted rank
+        (_, _, _, below), keys = brackets[row["j"]]
+        for key in keys:
+            if row["before"] <= key[1] - below < row["before"] + row["n"]:
+                wide[key].update(lo=row["lo"], hi=row["hi"], below=below + row["before"], n=row["n"])
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                     keep: int = 100_000, counts: dict[str, int] | None = None,
                     ) -> dict[str, list[float | None]]:
     """Exact quantiles of whole columns, linear interpolation, all columns in the same passes.
 
-    Each pass brackets every wanted rank with a bounded sketch and counts the rows below the
-    bracket; the next pass looks only inside it. Once a bracket holds at most ``keep`` rows
-    its values are ranked exactly. The data is never sorted and only bracket values move.
+    Each wanted rank has a bracket of values. A pass counts the rows per range of the bracket, binary
+    orders of magnitude first and equal parts after that, and keeps the range that holds the rank.
+    The counts are combined on the map side. Once a bracket holds at most ``keep`` rows or one
+    value, its values are ranked. The data is never sorted and only bracket values move.
     ``counts`` is filled with the non-missing rows per column and the rows in all ("").
     """
     names = list(dict.fromkeys(columns))
@@ -198,38 +264,12 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
             for r in wanted[i, q]:
                 brackets[i, r] = {"lo": first[f"a{i}"], "hi": first[f"z{i}"], "below": 0, "n": n}
 
-    for _ in range(8):
-        wide = {k: b for k, b in brackets.items() if b["n"] > keep and b["lo"] < b["hi"]}
-        if not wide:
-            break
-        aggs = []
-        for j, ((i, r), b) in enumerate(wide.items()):
-            v = F.col(names[i]).cast("double")
-            q = (r - b["below"] + 0.5) / b["n"]
-            margin = 3.0 / SKETCH_ACCURACY
-            inside = F.when(v.between(b["lo"], b["hi"]), v)
-            aggs.append(F.percentile_approx(
-                inside, [max(0.0, q - margin), min(1.0, q + margin)], SKETCH_ACCURACY).alias(f"s{j}"))
-        sketch = df.agg(*aggs).first()
-        aggs = []
-        for j, ((i, r), b) in enumerate(wide.items()):
-            v = F.col(names[i]).cast("double")
-            lo, hi = sketch[f"s{j}"]
-            aggs += [F.count(F.when(v < lo, 1)).alias(f"b{j}"),
-                     F.count(F.when(v.between(lo, hi), 1)).alias(f"m{j}")]
-        counts = df.agg(*aggs).first()
-        for j, ((i, r), b) in enumerate(wide.items()):
-            lo, hi = sketch[f"s{j}"]
-            below, inside = counts[f"b{j}"], counts[f"m{j}"]
-            if below <= r < below + inside:
-                b.update(lo=lo, hi=hi, below=below, n=inside)
-            else:  # the sketch missed the rank; rank the old bracket with a bucketed total
-                b["exact"] = True
-        if all(b.get("exact") for b in wide.values()):
-            break
+    magnitudes = True
+    while wide := {k: b for k, b in brackets.items() if b["n"] > keep and not _one_value(b)}:
+        _narrow(df, names, wide, magnitudes)
+        magnitudes = False
 
-    values: dict[tuple[int, int], float] = {k: b["lo"] for k, b in brackets.items()
-                                            if b["n"] and b["lo"] == b["hi"]}
+    values: dict[tuple[int, int], float] = {k: b["lo"] for k, b in brackets.items() if b["n"] and _one_value(b)}
     # Ranks that share a bracket share its values: a row is emitted once per bracket it is in.
     shared: dict[tuple[int, float, float, int], list[int]] = {}
     for (i, r), b in brackets.items():
@@ -243,8 +283,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         long = (df.select(F.explode(F.array_compact(entries)).alias("e"))
                 .groupBy(F.col("e.j").alias("j"), F.col("e.v").alias("v"))
                 .agg(F.count(F.lit(1)).alias("n")))
-        big = any(b["n"] > keep for k, b in brackets.items() if k not in values)
-        cum = distributed_cumsum(long, ["j"], "v", {"c": "n"}, quantile_edges(long, "v") if big else [])
+        cum = distributed_cumsum(long, ["j"], "v", {"c": "n"}, [])
         first_rank, last_rank = F.col("c") - F.col("n"), F.col("c") - 1
         wanted_here = F.lit(False)
         for j, ((_, _, _, below), ranks) in enumerate(shared.items()):
@@ -267,7 +306,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                 continue
             lo, hi = values[i, ranks[0]], values[i, ranks[1]]
             pos = (first[f"n{i}"] - 1) * q
-            out[c].append(lo + (pos - math.floor(pos)) * (hi - lo))
+            out[c].append(lo if lo == hi else lo + (pos - math.floor(pos)) * (hi - lo))
     return out
 
 

@@ -203,6 +203,11 @@ def _(s: Star):
     return V.fold_table(s.units, "school", "target", 5)
 
 
+@query("v3_balanced_folds")
+def v3_balanced(s: Star):
+    return V.balanced_fold_table(s.units, "school", "target", 5)
+
+
 @query("v4_stratified_sample", sql(f"""
     SELECT unit_id, target FROM (SELECT unit_id, target, row_number() OVER (PARTITION BY target ORDER BY {H('42', 'unit_id')}, unit_id) AS rn,
       round(1001.0 * count(*) OVER (PARTITION BY target) / count(*) OVER ()) AS quota FROM evaluated) WHERE rn <= quota""", "evaluated"))
