@@ -38,13 +38,13 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = END_ID
         raise ValueError("most must be a power of two")
 
     def cut(batches):
-        encode = word_tokenizer(tokenizer).ids
+        encode = word_tokenizer(tokenizer).all_ids
         tail = np.array([end_id], "<u4").tobytes()
         number = TaskContext.get().partitionId() << 40
         out, held = [[] for _ in KINDS], 0
         for batch in steps(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text) + tail
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
+                ids += tail
                 n = len(ids) // 4
                 lengths = piece_lengths(n, most)
                 k, start = len(lengths), 0

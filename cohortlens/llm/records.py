@@ -101,10 +101,10 @@ def write_records(docs: DataFrame, tokenizer: str, path: str | None = None, end_
     files = RecordFiles(f"{root}/data", f"{root}/index")
 
     def encode(batches):
-        encoder = word_tokenizer(tokenizer)
+        encoder, tail = word_tokenizer(tokenizer), struct.pack("<I", end_id)
         for batch in steps(batches):
-            out = [frame(d, np.frombuffer(encoder.ids(t) + struct.pack("<I", end_id), "<u4"))
-                   for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())]
+            ids = encoder.all_ids(batch.column("text").to_pylist())
+            out = [frame(d, np.frombuffer(i + tail, "<u4")) for d, i in zip(batch.column("doc_id").to_pylist(), ids)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

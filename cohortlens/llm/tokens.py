@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 
 END_ID = 1
+#: Characters of texts whose unseen words are encoded in one call.
+TOGETHER = 1_000_000
 _SPECIAL = "<|endoftext|>"
 #: Marks that make one piece when they end a word; no apostrophe, which takes letters with it, and no ``<`` or ``|``.
 _MARKS = ".,;:!?#$%&*)\"-"
+#: Letters that are composed already and that Python lower-cases as the library does.
+_LATIN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+").fullmatch
 _LOADED: dict[str, "WordTokenizer"] = {}
 
 
@@ -18,7 +25,9 @@ class WordTokenizer:
 
     Words between spaces, tabs and line feeds are encoded once and remembered. Unseen words of a text are
     encoded in one call: runs of letters, with or without one run of marks after them, are told apart by the
-    tokens that end a word, all others by a special token between them. Texts come out exactly as
+    tokens that end a word, all others by a special token between them. Where those letters are Latin-1,
+    composing, lower-casing and cutting words by pattern change nothing that Python's ``lower`` and a space
+    before the marks don't, so the library is called without these steps. Texts come out exactly as
     ``Tokenizer.encode(text, add_special_tokens=False)`` gives them, special tokens in texts included.
     """
 
@@ -27,8 +36,12 @@ class WordTokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cut = Tokenizer.from_file(path)
+        self.cut.normalizer = None
+        self.cut.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.separator = self.tokenizer.token_to_id(_SPECIAL)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -37,21 +50,29 @@ class WordTokenizer:
 
     def _learn(self, words: list[str]) -> None:
         """Encode unseen words in one call: plain ones are cut at their tokens that end a word."""
-        plain, ends, rest = [], [], []
+        latin, wide, rest = ([], [], []), ([], [], []), []
         for w in words:
-            n = 0 if "\u0130" in w else 1 if w.isalpha() else 2 if w.rstrip(_MARKS).isalpha() else 0
-            if n:
-                plain.append(w), ends.append(n)
+            stem = w.rstrip(_MARKS)
+            if stem.isalpha() and "\u0130" not in w:
+                kept, ends, pieces = latin if w.isascii() or _LATIN(stem) else wide
+                kept.append(w)
+                if len(stem) == len(w):
+                    ends.append(1), pieces.append(w)
+                else:
+                    ends.append(2), pieces.append(f"{stem} {w[len(stem):]}")
             else:
                 rest.append(w)
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        for tokenizer, (kept, ends, pieces) in ((self.cut, latin), (self.tokenizer, wide)):
+            if not kept:
+                continue
+            text = " ".join(pieces)
+            ids = np.array(tokenizer.encode_batch_fast([text.lower() if tokenizer is self.cut else text], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             last = np.cumsum(ends) - 1
             if len(stops) == last[-1] + 1:
-                self._keep(plain, ids, np.r_[0, stops[last][:-1]], stops[last])
+                self._keep(kept, ids, np.r_[0, stops[last][:-1]], stops[last])
             else:
-                rest += plain
+                rest += kept
         special = [w for w in rest if "<|" in w]
         rest = [w for w in rest if "<|" not in w]
         if rest:
@@ -67,17 +88,31 @@ class WordTokenizer:
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of the text, without an end id."""
-        if not text:
-            return b""
-        words = text.replace("\n", " ").replace("\t", " ").split(" ")
+        return self.all_ids([text])[0]
+
+    def all_ids(self, texts: Iterable[str | None]) -> list[bytes]:
+        """``ids`` of each text. Unseen words of about TOGETHER characters of texts are encoded in one call."""
+        out: list[bytes] = []
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            held.append(text.replace("\n", " ").replace("\t", " ").split(" ") if text else [])
+            size += len(text) if text else 0
+            if size > TOGETHER:
+                out += self._look_up(held)
+                held, size = [], 0
+        return out + self._look_up(held)
+
+    def _look_up(self, texts: list[list[str]]) -> list[bytes]:
         known = self.known
-        new = [w for w in set(words) if w not in known]
+        words = set(chain.from_iterable(texts))
+        new = [w for w in words if w not in known]
         if new:
             if len(known) > self.MOST:
                 known.clear()
-                new = list(set(words))
+                new = list(words)
             self._learn(new)
-        return b"".join(map(known.__getitem__, words))
+        return [b"".join(map(known.__getitem__, t)) for t in texts]
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
