@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.session import stage
+
 
 def counted_write(df: DataFrame, write) -> int:
     """Run a write and return its row count without a second pass over the data."""
@@ -16,20 +19,35 @@ def counted_write(df: DataFrame, write) -> int:
     return int(seen.get["n"])
 
 
+#: Bytes that one range of a partitioned write aims at, as stored.
+FILE_BYTES = 256 << 20
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the Parquet files that a table is read from; file sizes are listed, contents are not read."""
+    folders = sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})
+    if not folders:
+        return 0
+    files = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folders)
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], cluster: Sequence[str] = (),
-                      partitions: int | None = None) -> int:
+                      partitions: int | None = None, file_bytes: int = FILE_BYTES) -> int:
     """Write Parquet partitioned by ``by`` and sorted by ``cluster`` inside each file.
 
-    Rows are range-distributed on (by, cluster): every file holds a narrow key range, so
-    min/max statistics prune row groups, and Spark cuts ranges from a sample, so one hot
-    group or one year does not become a single task. ``partitions`` is the number of ranges in
-    all. Returns the rows written.
+    The plan runs once: its rows are staged, and the staged files tell how many ranges of about
+    ``file_bytes`` there are (``partitions`` sets the number instead). Rows are then range-distributed
+    on (by, cluster), so every file holds a narrow key range and min/max statistics prune row groups. A
+    hash of the other columns is the last part of a range's key: a group larger than a range is spread
+    over several. Rows that are equal in every column stay together. Returns the rows written.
     """
     keys = [*by, *cluster]
-    spread = keys + [c for c in df.columns if c not in keys][:1]
-    ranged = (df.repartitionByRange(partitions, *spread) if partitions
-              else df.repartitionByRange(*spread))
-    ordered = ranged.sortWithinPartitions(*keys)
+    rows = stage(df, "layout")
+    ranges = partitions or max(1, -(-stored_bytes(rows) // file_bytes))
+    salt = [c for c, t in rows.dtypes if c not in keys and "map<" not in t and t != "variant"]
+    spread = [*keys, F.xxhash64(*salt)] if salt else keys
+    ordered = rows.repartitionByRange(ranges, *spread).sortWithinPartitions(*keys)
     return counted_write(ordered, lambda d: d.write.mode("overwrite").partitionBy(*by).parquet(path))
 
 
@@ -71,13 +89,15 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def load_model(path: str) -> PipelineModel:
-    """Load a fitted pipeline; a missing one is an error with a plain message."""
+    """Load a fitted pipeline; a missing one is an error with a plain message, other failures stay as they are."""
+    metadata = f"{path.rstrip('/')}/metadata"
     try:
-        return PipelineModel.load(path)
-    except Exception as err:
-        if "does not exist" in str(err) or "No such file" in str(err):
+        SparkSession.active().read.text(metadata)
+    except AnalysisException as err:
+        if err.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"no trained model under {path}; train one first") from err
         raise
+    return PipelineModel.load(path)
 
 
 def save_scores(scores: DataFrame, path: str) -> int:

@@ -241,3 +241,31 @@ def test_scores_are_checked_by_key(spark, tmp_path):
     S.save_scores(good.where("NOT (row_id = 2 AND model = 'B')"), str(tmp_path / "t"))
     with pytest.raises(ValueError, match="one to one"):
         S.load_scores(spark, str(tmp_path / "t"), ids)
+
+
+def test_partitioned_write_runs_its_plan_once_and_spreads_a_hot_group(spark, tmp_path):
+    from cohortlens.sources.storage import stored_bytes, write_partitioned
+    seen = spark.sparkContext.accumulator(0)
+
+    def tick(k):
+        seen.add(1)
+        return k
+
+    counted = F.udf(tick, "long").asNondeterministic()
+    rows = spark.range(4000, numPartitions=4).select(
+        counted("id").alias("id"), F.when(F.col("id") < 3000, "hot").otherwise(F.concat(F.lit("g"), F.col("id").cast("string"))).alias("grp"),
+        (2023 + F.col("id") % 2).cast("int").alias("year"), F.when(F.col("id") > 3990, F.lit(1)).alias("constant"))
+    path = str(tmp_path / "t")
+    assert write_partitioned(rows, path, ["year"], ["grp"], partitions=8) == 4000
+    assert seen.value == 4000
+    back = spark.read.parquet(path)
+    assert back.count() == 4000 and back.select("id").distinct().count() == 4000
+    files = back.where("grp = 'hot'").groupBy(F.input_file_name()).count().collect()
+    assert len(files) >= 4 and max(f["count"] for f in files) <= 1500
+    # The number of ranges follows the stored bytes.
+    size = stored_bytes(back)
+    small = str(tmp_path / "small")
+    write_partitioned(back, small, ["year"], ["grp"], file_bytes=size // 4)
+    assert len(spark.read.parquet(small).inputFiles()) >= 4 and stored_bytes(spark.createDataFrame([(1,)], "a int")) == 0
+    empty = str(tmp_path / "empty")
+    assert write_partitioned(back.limit(0), empty, ["year"], ["grp"]) == 0
