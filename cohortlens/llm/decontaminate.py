@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import U64, mix, steps, utf8
+from cohortlens.session import stage
 
 #: Characters of a q-gram, and the edits allowed for each character of an item.
 Q, EDIT_SHARE = 10, 0.06
+#: Bytes of a segment of a longer item, and from one segment's beginning to the next one's.
+SEGMENT, SEGMENT_STEP = 200, 50
 #: Bytes of benchmark text whose index goes to every task at once; more items are looked up in further passes.
 BLOCK_BYTES = 8_000_000
 _FOLD = bytes.maketrans(bytes(range(128)), bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(128)))
@@ -62,12 +65,25 @@ def banded_distance(item: np.ndarray, text: np.ndarray, low: int, high: int, mos
     return int(row[best]), int(len(item) + d[best])
 
 
+def segments(item: bytes, length: int = SEGMENT, step: int = SEGMENT_STEP) -> list[bytes]:
+    """Overlapping parts of a longer item, the last one at its end: a quote of length + step bytes holds one whole."""
+    if len(item) <= length:
+        return []
+    return [item[i:i + length] for i in [*range(0, len(item) - length, step), len(item) - length]]
+
+
 @dataclass
 class Index:
-    """q-grams of items: sorted distinct hashes, where their postings start, and item number and place of each posting."""
+    """q-grams of patterns: sorted distinct hashes, where their postings start, and pattern number and place of each posting.
+
+    Patterns are the whole items and, after them, the segments of long ones; ``owner`` is the item's number. Items of
+    fewer than q bytes have no q-gram: they are kept by length, with the sorted hashes of that length.
+    """
 
     ids: list
-    items: list[bytes]
+    wholes: int
+    owner: list[int]
+    patterns: list[bytes]
     edits: np.ndarray
     need: np.ndarray
     keys: np.ndarray
@@ -75,25 +91,50 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     mask: np.ndarray
+    short: dict[int, tuple[np.ndarray, dict[bytes, list]]]
     q: int
 
     @classmethod
     def build(cls, rows: list[tuple], share: float, q: int) -> Index:
         kept = [(i, t) for i, t in rows if len(t) >= q]
-        hashed = [grams(t, q) for _, t in kept]
+        parts = [(k, x) for k, (_, t) in enumerate(kept) for x in segments(t)]
+        patterns, owner = [t for _, t in kept] + [x for _, x in parts], [*range(len(kept)), *(k for k, _ in parts)]
+        hashed = [grams(t, q) for t in patterns]
         keys = np.concatenate(hashed) if hashed else np.empty(0, U64)
-        item = np.repeat(np.arange(len(kept)), [len(h) for h in hashed]).astype(np.int64)
+        item = np.repeat(np.arange(len(patterns)), [len(h) for h in hashed]).astype(np.int64)
         place = np.concatenate([np.arange(len(h)) for h in hashed]) if hashed else np.empty(0, np.int64)
         by = np.argsort(keys, kind="stable")
         distinct, first = np.unique(keys[by], return_index=True)
         mask = np.zeros(1 << _SLOTS, bool)
         mask[(distinct >> U64(64 - _SLOTS)).astype(np.int64)] = True
-        edits = np.array([budget(len(t), share, q) for _, t in kept], np.int64)
-        need = np.array([len(t) for _, t in kept], np.int64) + 1 - q - edits * q
-        return cls([i for i, _ in kept], [t for _, t in kept], edits, need, distinct, np.r_[first, len(by)], item[by], place[by], mask, q)
+        edits = np.array([budget(len(t), share, q) for t in patterns], np.int64)
+        need = np.array([len(t) for t in patterns], np.int64) + 1 - q - edits * q
+        by_length: dict[int, dict[bytes, list]] = {}
+        for i, t in rows:
+            if 0 < len(t) < q:
+                by_length.setdefault(len(t), {}).setdefault(t, []).append(i)
+        short = {n: (np.unique(np.concatenate([grams(t, n) for t in found])), found) for n, found in by_length.items()}
+        return cls([i for i, _ in kept], len(kept), owner, patterns, edits, need, distinct, np.r_[first, len(by)], item[by], place[by], mask, short, q)
+
+    def find_short(self, data: bytes) -> list[tuple]:
+        """(item id, start, end, 0) of the short items that stand in the normalised text as whole words, the first place of each."""
+        x = np.frombuffer(b" " + data + b" ", np.uint8) == 32
+        out: dict[tuple, tuple] = {}
+        for n, (keys, items) in sorted(self.short.items()):
+            at = np.flatnonzero(x[:-n - 1] & x[n + 1:])
+            for k in at[np.isin(grams(data, n)[at], keys)].tolist() if len(at) else []:
+                for i in items.get(data[k:k + n], []):
+                    out.setdefault((i, n, data[k:k + n]), (i, k, k + n, 0))
+        return [out[k] for k in sorted(out)]
 
     def find(self, data: bytes) -> list[tuple]:
-        """(item id, start, end, edits) of items that occur in the normalised text, the best place of each."""
+        """(item id, start, end, edits) of items that occur in the normalised text, the best place of each.
+
+        An item found whole is told by that place; else by the place of its segment with the fewest edits.
+        """
+        return self.find_short(data) + self.find_long(data) if self.short else self.find_long(data)
+
+    def find_long(self, data: bytes) -> list[tuple]:
         g = grams(data, self.q)
         if not len(g) or not len(self.keys):
             return []
@@ -117,20 +158,22 @@ class Index:
         which = cells // width
         good = count >= self.need[which]
         text = np.frombuffer(data, np.uint8)
-        best: dict[int, tuple] = {}
+        best: dict[int, tuple] = {}  # of an item: (is a segment, edits, start, end)
         for k, b in zip(which[good].tolist(), (cells[good] % width + shift).tolist()):
-            if k in best and best[k][3] == 0:
+            own, part = self.owner[k], k >= self.wholes
+            floor = best.get(own, (True, len(data) + 1, 0, 0))
+            if (part, 0) >= floor[:2]:
                 continue
-            e, pattern = int(self.edits[k]), np.frombuffer(self.items[k], np.uint8)
+            e, pattern = int(self.edits[k]), np.frombuffer(self.patterns[k], np.uint8)
             low = b * (e + 1) - e
-            exact = data.find(self.items[k], max(0, low), max(0, low + 4 * e + 2) + len(pattern))
+            exact = data.find(self.patterns[k], max(0, low), max(0, low + 4 * e + 2) + len(pattern))
             if exact >= 0:  # nothing to align
-                best[k] = (self.ids[k], exact, exact + len(pattern), 0)
+                best[own] = (part, 0, exact, exact + len(pattern))
                 continue
             edits, end = banded_distance(pattern, text, low, low + 2 * (e + 1) - 1 + 2 * e, e)
-            if edits <= e and (k not in best or edits < best[k][3]):
-                best[k] = (self.ids[k], max(0, end - len(pattern)), end, edits)
-        return [best[k] for k in sorted(best)]
+            if edits <= e and (part, edits) < floor[:2]:
+                best[own] = (part, edits, max(0, end - len(pattern)), end)
+        return [(self.ids[k], start, end, edits) for k, (_, edits, start, end) in sorted(best.items())]
 
 
 FOUND = "found array<struct<item_id:long,start:long,end:long,edits:long>>"
@@ -146,16 +189,21 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SH
     Shared q-grams are counted in overlapping bands of diagonals, bands with at least length + 1 - q -
     edits * q of them are aligned within the band, and ``start`` and ``end`` (normalised bytes) tell the place.
 
+    An item of more than SEGMENT bytes also counts as found if one of its segments is, each with a budget of its
+    own, so a quote of SEGMENT + SEGMENT_STEP bytes is found wherever it is cut; ``start``, ``end`` and ``edits`` are then
+    the segment's. An item of fewer than ``q`` bytes counts as found where it stands unchanged as whole words.
+
     Narrow: texts are never shuffled, so no document or source can be hot. The items go to the tasks in
-    blocks of bounded bytes, one pass over the texts for each block. Items with fewer than ``q``
-    normalised bytes, null texts or null ids are not looked for; null and empty documents hold nothing;
-    all rows stay, repeated ones too. A column of docs named ``found`` is replaced.
+    blocks of bounded bytes; with several blocks the rows are staged after each, so one index is held at a time.
+    Items without normalised bytes, null texts or null ids are not looked for; null and empty documents hold
+    nothing; all rows stay, repeated ones too. A column of docs named ``found`` is replaced.
     """
     spark = docs.sparkSession
     docs = docs.drop("found")
     names = docs.columns
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = F.octet_length("text")
+    total = items.agg(F.sum(F.when(size > SEGMENT, size * (1 + SEGMENT // SEGMENT_STEP)).otherwise(size))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     out = docs.withColumn("found", F.array().cast(FOUND.split(" ", 1)[1]))
     schema = out.schema
@@ -170,9 +218,12 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SH
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(new, _FOUND)], [*names, "found"])
 
         out = out.mapInArrow(look, schema)
+        if blocks > 1:
+            out = stage(out, "benchmark-block")
+            index.destroy()
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, q: int = Q) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with their columns."""
+    """The rows of ``docs`` that hold no benchmark item, whole, by a segment or as short words, with their columns."""
     return find_benchmark(docs, benchmark, share, q).filter(F.size("found") == 0).select(*docs.columns)

@@ -1,7 +1,9 @@
-"""Trees of the quality classifier, and urls of the filter, against plain versions."""
+"""Trees of the quality classifier, urls of the filter and items found in texts, against plain versions."""
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 
@@ -91,3 +93,59 @@ def test_hosts_paths_and_rules_of_many_urls(spark):
     for k, host, path, rule, verdict in got:
         assert (host, path, rule) == want[k][:3]
         assert verdict == want[k][3] if rule else verdict in ("allow", "block")
+
+
+def _least_edits(item: bytes, text: bytes) -> int:
+    """Fewest edits between the whole item and any stretch of the text, by the full table."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item):
+        new = [i + 1]
+        for j, x in enumerate(text):
+            new.append(min(row[j] + (c != x), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_items_found_are_those_of_full_tables():
+    from cohortlens.llm.decontaminate import EDIT_SHARE, Index, Q, budget, segments
+    r = random.Random(5)
+
+    def letters(n):
+        return bytes(r.choice(b"abcdefgh ") for _ in range(n)).replace(b"  ", b"x ").strip() or b"a"
+
+    def edit(x, n):
+        for _ in range(n):
+            k = r.randrange(len(x))
+            x = r.choice([x[:k] + x[k + 1:], x[:k] + b"z" + x[k:], x[:k] + b"y" + x[k + 1:]])
+        return x
+
+    items = [(k, letters(n)) for k, n in enumerate([10, 14, 25, 40, 60, 90, 120, 200, 201, 240, 330])]
+    index = Index.build(items, EDIT_SHARE, Q)
+    hits = misses = 0
+    for trial in range(40):
+        k, item = r.choice(items)
+        cut = item[r.randrange(0, 60):] if len(item) > 200 and trial % 2 else item
+        text = letters(r.randrange(1, 80)) + edit(cut, r.randrange(0, max(1, 2 * budget(len(item), EDIT_SHARE, Q)) + 1)) + letters(r.randrange(1, 80))
+        got = {f[0]: f for f in index.find(text)}
+        for i, t in items:
+            whole = _least_edits(t, text)
+            near = [e for e in (_least_edits(x, text) for x in segments(t)) if e <= budget(200, EDIT_SHARE, Q)]
+            want = whole if whole <= budget(len(t), EDIT_SHARE, Q) else min(near, default=None)
+            assert (got[i][3] if i in got else None) == want, (trial, i, len(t))
+        hits, misses = hits + (k in got), misses + (k not in got)
+    assert hits >= 10 and misses >= 5
+
+
+def test_short_items_are_whole_words_and_long_quotes_are_found_wherever_cut():
+    from cohortlens.llm.decontaminate import EDIT_SHARE, Index, Q, SEGMENT, SEGMENT_STEP, normal
+    r = random.Random(6)
+    long = normal(" ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(120)))
+    index = Index.build([(1, long), (2, b"ab c"), (3, b"x"), (4, b""), (5, b"ab c")], EDIT_SHARE, Q)
+    for text, want in [(b"ab c", [2, 5]), (b"dab c", []), (b"ab cd x", [3]), (b"q ab c r x", [2, 5, 3]), (b"", []), (b"xx x", [3])]:
+        assert sorted(f[0] for f in index.find(text)) == sorted(want), text
+        assert all(text[f[1]:f[2]] in (b"ab c", b"x") for f in index.find(text))
+    n = SEGMENT + SEGMENT_STEP
+    for k in range(0, len(long) - n, 37):
+        found = index.find(b"before " + long[k:k + n] + b" after")
+        assert [f[0] for f in found] == [1] and found[0][3] == 0
+    assert not index.find(long[:SEGMENT // 2])
