@@ -348,7 +348,16 @@ def _(s: Star):
     return X.feature_target_correlation(_groups(s), ["wealth", "weight", "size", "mean_year"], "rate", p_values=False)
 
 
-@query("x1_correlation_p_values")
+# Two-sided p of r over n pairs, v = n - 2 degrees of freedom, as 1 less the finite series in cos^2 = 1 - r^2, one for even and one for odd v.
+_ODD = "exp(0.5 * ln(pi()) - ln(2) + lgamma(k + 1) - lgamma(k + 1.5)) * power(1 - r * r, k + 0.5)"
+_EVEN = "exp(lgamma(k + 0.5) - 0.5 * ln(pi()) - lgamma(k + 1)) * power(1 - r * r, k)"
+_P_VALUE = f"""1 - CASE WHEN (n - 2) % 2 = 0 THEN abs(r) * list_sum(list_transform(range((n - 2) // 2), lambda k: {_EVEN}))
+    ELSE 2 / pi() * (asin(abs(r)) + abs(r) * list_sum(list_transform(range((n - 3) // 2), lambda k: {_ODD}))) END"""
+
+
+@query("x1_correlation_p_values", sql(f"SELECT feature, {R('r')} AS r, n, {R(_P_VALUE)} AS p_value FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, corr({c}, rate) AS r, count({c}) AS n FROM g" for c in ["wealth", "weight", "size", "mean_year"]) + ") WHERE n >= 100",
+    "evaluated", g=GROUPS))
 def _(s: Star):
     return X.feature_target_correlation(_groups(s), ["wealth", "weight", "size", "mean_year"], "rate")
 
