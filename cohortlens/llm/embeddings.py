@@ -198,14 +198,25 @@ class Graph:
         return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
     def audit(self, floor: float, rows: int = AUDIT_ROWS, wanted: float = WANTED_RECALL) -> None:
-        """Widen the beam until a stated sample of vectors finds its neighbours as plain comparison does."""
+        """Widen the beam until a stated sample of queries finds its neighbours as plain comparison does.
+
+        Queries are vectors of the shard and, as others come from other shards, one turned copy of each, with a
+        cosine between floor and 1 to it: so there are true pairs to look at in every shard, however few links it has.
+        """
         sample = np.unique(np.linspace(0, len(self.x) - 1, min(rows, len(self.x))).astype(int))
-        a, b = np.nonzero(self.x[sample] @ self.x.T >= floor)
+        noise = np.random.default_rng(len(self.x)).standard_normal(self.x[sample].shape)
+        noise -= np.einsum("kd,kd->k", noise, self.x[sample])[:, None] * self.x[sample]
+        length = np.linalg.norm(noise, axis=1, keepdims=True)
+        cosine = np.where(length > 1e-6, np.linspace(floor, 1, len(sample) + 2)[1:-1, None], 1.0)
+        turned = cosine * self.x[sample] + np.sqrt(1 - cosine ** 2) * noise / np.maximum(length, 1e-6)
+        queries = np.concatenate([self.x[sample], turned]).astype(np.float32)
+        own = np.r_[sample, np.full(len(sample), -1)]
+        a, b = np.nonzero(queries @ self.x.T >= floor)
         real = set(zip(a.tolist(), b.tolist()))
+        # A vector finds itself; only others count.
+        others = [p for p in real if own[p[0]] != p[1]]
         while self.beam < len(self.x):
-            found = set(zip(*(z.tolist() for z in self.within(self.x[sample], floor))))
-            # A vector finds itself; only others count.
-            others = [p for p in real if sample[p[0]] != p[1]]
+            found = set(zip(*(z.tolist() for z in self.within(queries, floor))))
             if sum(p in found for p in others) >= wanted * len(others) and sum(p in found for p in real) >= wanted * len(real):
                 return
             self.beam *= 2
