@@ -35,6 +35,9 @@ EDGE_ROWS = 200_000
 #: Binned values that one block, and the partition of a fit without exchange, hold at most.
 BLOCK_BYTES = 16_000_000
 ONE_TASK_BYTES = 64_000_000
+#: Joint cells of columns that are counted together at most, and bins of such columns.
+CELLS = 4096
+FEW_BINS = 64
 #: Leaves whose children one job looks at, and trees after which margins are written down again.
 LEAVES_A_JOB = 32
 TREES_A_STAGE = 16
@@ -161,14 +164,21 @@ def grow(root_sums: tuple, root_best: Split | None, ask: Callable[[Growing, list
     return tree, split
 
 
-def finished(tree: Growing, split: set[int], edges: Sequence[np.ndarray], s: Settings) -> dict[str, np.ndarray]:
-    """Arrays of the nodes reached over splits made for good, numbered from the root."""
+def numbered(tree: Growing, split: set[int]) -> dict[int, int]:
+    """New numbers of the nodes reached over splits made for good, from the root, in order."""
     order, new = [0], {0: 0}
     for k in order:
         if k in split:
             for child in (tree.left[k], tree.right[k]):
                 new[child] = len(order)
                 order.append(child)
+    return new
+
+
+def finished(tree: Growing, split: set[int], edges: Sequence[np.ndarray], s: Settings) -> dict[str, np.ndarray]:
+    """Arrays of the nodes reached over splits made for good, numbered from the root."""
+    new = numbered(tree, split)
+    order = list(new)
     out = {"column": [], "bin": [], "threshold": [], "left": [], "right": [], "value": [], "rows": [], "gain": []}
     for k in order:
         g, h, n = tree.sums[k]
@@ -278,46 +288,110 @@ class Curve:
         return int(np.argmin(self.losses))
 
 
+class Bundles:
+    """Columns with few bins counted together: a row's cell tells its bins in all columns of a bundle.
+
+    Sums of a column are sums of cells, and whole numbers, so they equal those counted column by column.
+    """
+
+    def __init__(self, binned: np.ndarray, edges: Sequence[np.ndarray]):
+        self.sizes = [len(e) + 1 for e in edges]
+        self.columns: list[list[int]] = []
+        most = min(max(len(binned) // 64, _BINS), CELLS)
+        for j in sorted(range(len(edges)), key=lambda j: -self.sizes[j]):
+            fits = next((b for b in self.columns if self.sizes[b[0]] <= FEW_BINS and math.prod(self.sizes[i] for i in b) * self.sizes[j] <= most), None)
+            if fits is None:
+                self.columns.append([j])
+            else:
+                fits.append(j)
+        self.cells = [math.prod(self.sizes[j] for j in b) for b in self.columns]
+        self.codes = []
+        for b in self.columns:
+            code = np.zeros(len(binned), np.uint16)
+            for j in b:
+                code = code * np.uint16(self.sizes[j]) + binned[:, j]
+            self.codes.append(code)
+
+    def drawn(self, columns: np.ndarray) -> list[tuple]:
+        """For each bundle with drawn columns: codes, cells, where its bins go in sums (drawn column, bin), and which cells make each."""
+        where, out = {int(c): k for k, c in enumerate(columns)}, []
+        for code, n, b in zip(self.codes, self.cells, self.columns):
+            bins, step = [], n
+            for j in b:
+                step //= self.sizes[j]
+                if j in where:
+                    of = np.arange(n) // step % self.sizes[j]
+                    bins.append((where[j] * _BINS + np.arange(self.sizes[j]), (of[:, None] == np.arange(self.sizes[j])).astype(float)))
+            if bins:
+                at = np.concatenate([x for x, _ in bins])
+                out.append((code, n, at, np.concatenate([x for _, x in bins], 1) if len(b) > 1 else None))
+        return out
+
+
 def boost_here(block: Block, edges: Sequence[np.ndarray], base: float, s: Settings) -> tuple[list[dict], list[float]]:
     """All rounds on rows that lie in one place. Larger halves are what their parent has beyond the smaller ones."""
     margin, free = np.full(len(block.y), base), ~block.held
-    curve, trees = Curve(s.patience if block.held.any() else 0), []
-    told = (lambda: losses(margin[block.held], block.y[block.held]) / _UNIT / block.held.sum()) if block.held.any() else (lambda: None)
+    bundles, by_column = Bundles(block.binned, edges), np.ascontiguousarray(block.binned.T)
+    held = int(block.held.sum())
+    curve, trees = Curve(s.patience if held else 0), []
+
+    def told() -> float | None:
+        return losses(margin[block.held], block.y[block.held]) / _UNIT / held if held else None
+
     go = curve.add(told())
     while go and len(trees) < s.rounds:
         turn = len(trees)
-        columns = columns_of(turn, block.binned.shape[1], s)
-        binned = block.binned[:, columns] if len(columns) < block.binned.shape[1] else block.binned
-        wide = binned.astype(np.int64) + np.arange(len(columns)) * _BINS
-        w = weighed(margin, block.y, free & in_bag(block.hashes, turn, s))
-        where = {int(c): j for j, c in enumerate(columns)}
-        size = len(columns) * _BINS
-
-        def sums_of(rows: np.ndarray) -> np.ndarray:
-            cell = wide[rows].ravel()
-            return np.stack([np.bincount(cell, np.repeat(w[rows, j], len(columns)), size).reshape(len(columns), _BINS) for j in range(3)], -1)
-
-        rows = {0: np.arange(len(block.y))}
-        held_sums = {0: sums_of(rows[0])}
+        columns = columns_of(turn, len(edges), s)
+        drawn = bundles.drawn(columns)
+        used = free & in_bag(block.hashes, turn, s)
+        rows = {0: np.flatnonzero(used)}
+        p = 1 / (1 + np.exp(-margin))
+        g, h = np.rint((p - block.y) * _UNIT), np.rint(p * (1 - p) * _UNIT)
+        bins = np.concatenate([at for _, _, at, _ in drawn])
+
+        def counted(nodes: list[int]) -> np.ndarray:
+            """Sums (node, drawn column, bin, 3) of the rows of some nodes."""
+            cells = [np.empty((len(nodes), 3, n)) for _, n, _, _ in drawn]
+            for k, node in enumerate(nodes):
+                r = rows[node]
+                gr, hr = g[r], h[r]
+                for x, (code, n, _, _) in zip(cells, drawn):
+                    c = code[r].astype(np.intp)
+                    x[k] = np.bincount(c, gr, n), np.bincount(c, hr, n), np.bincount(c, minlength=n)
+            here = np.concatenate([x if made_of is None else x @ made_of for x, (_, _, _, made_of) in zip(cells, drawn)], 2)
+            out = np.zeros((len(nodes), 3, len(columns) * _BINS))
+            out[:, :, bins] = here
+            return np.ascontiguousarray(out.reshape(len(nodes), 3, len(columns), _BINS).transpose(0, 2, 3, 1))
+
+        held_sums = {0: counted([0])[0]}
 
         def ask(tree: Growing, made: list[int], open_: list[int]) -> list[Split | None]:
-            parents = [k for k in range(len(tree.left)) if tree.left[k] in set(made)]
-            wanted = set(open_)
+            made_now, wanted, small = set(made), set(open_), []
+            parents = [k for k in range(len(tree.left)) if tree.left[k] in made_now]
             for k in parents:
-                right = binned[rows[k], where[tree.column[k]]] > tree.bin[k]
+                right = by_column[tree.column[k]][rows[k]] > tree.bin[k]
                 a, b = tree.left[k], tree.right[k]
                 rows[a], rows[b] = rows[k][~right], rows[k][right]
-                before = held_sums.pop(k)
                 if a in wanted or b in wanted:
-                    small, large = (a, b) if len(rows[a]) <= len(rows[b]) else (b, a)
-                    held_sums[small] = sums_of(rows[small])
-                    held_sums[large] = before - held_sums[small]
-            return choose(np.stack([held_sums[k] for k in open_]), columns, s) if open_ else []
-
-        tree, split = grow(tuple(w.sum(0)), choose(held_sums[0][None], columns, s)[0], ask, s)
+                    small.append((a, b) if tree.sums[a][2] <= tree.sums[b][2] else (b, a))
+                else:
+                    held_sums.pop(k)
+            if not open_:
+                return []
+            parent = {tree.left[k]: k for k in parents} | {tree.right[k]: k for k in parents}
+            for (few, many), x in zip(small, counted([a for a, _ in small])):
+                held_sums[few] = x
+                held_sums[many] = held_sums.pop(parent[few]) - x
+            return choose(np.stack([held_sums[k] for k in open_]), columns, s)
+
+        tree, split = grow(tuple(held_sums[0][0].sum(0)), choose(held_sums[0][None], columns, s)[0], ask, s)
         flat = finished(tree, split, edges, s)
         trees.append(flat)
-        margin = margin + flat["value"][place(flat, block.binned)]
+        rest = np.flatnonzero(~used)
+        margin[rest] += flat["value"][place(flat, block.binned[rest])]
+        for k, new in numbered(tree, split).items():
+            if k not in split:
+                margin[rows[k]] += flat["value"][new]
         go = curve.add(told())
     if curve.patience and curve.losses:
         trees = trees[:curve.kept]

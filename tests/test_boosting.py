@@ -81,6 +81,22 @@ def test_same_trees_on_any_layout(spark, monkeypatch, s):
     assert np.allclose(one.value, many.value, atol=1e-12) and np.allclose(one.margin(x), many.margin(x), atol=1e-12)
 
 
+def test_columns_with_few_bins_are_counted_together():
+    """Sums by joint cells equal those counted column by column."""
+    r = np.random.default_rng(1)
+    sizes = [200, 2, 7, 1, 30, 2, 2]
+    binned = np.stack([r.integers(0, n, 40_000) for n in sizes], 1).astype(np.uint8)
+    bundles = B.Bundles(binned, [np.arange(n - 1.0) for n in sizes])
+    assert len(bundles.codes) < len(sizes) and sorted(j for b in bundles.columns for j in b) == list(range(len(sizes)))
+    w = r.integers(-1000, 1000, (40_000, 3)).astype(float)
+    columns, expected = np.array([0, 2, 5, 6]), B.histogram(binned.astype(np.int64), w)
+    out = np.zeros((3, len(columns) * 256))
+    for code, n, at, made_of in bundles.drawn(columns):
+        cells = np.stack([np.bincount(code, w[:, k], n) for k in range(3)])
+        out[:, at] = cells if made_of is None else cells @ made_of
+    assert (out.reshape(3, 4, 256).transpose(1, 2, 0) == expected[columns]).all()
+
+
 def test_rounds_are_kept_at_the_minimum_of_the_curve(spark):
     df, x, y, held = data(spark, 900, seed=3)
     s = B.Settings(rounds=300, rate=0.3, leaves=31, least_rows=5, patience=12)
