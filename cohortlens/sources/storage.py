@@ -21,6 +21,8 @@ def counted_write(df: DataFrame, write) -> int:
 
 #: Bytes that one range of a partitioned write aims at, as stored.
 FILE_BYTES = 256 << 20
+#: Bytes that the rows of one range take in the task that sorts them; repeated values hardly show in the stored size.
+SORT_BYTES = 256 << 20
 
 
 def stored_bytes(df: DataFrame) -> int:
@@ -32,19 +34,27 @@ def stored_bytes(df: DataFrame) -> int:
     return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
 
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of all rows of a table as a sort holds them: fixed fields, pointers, and the texts and binaries themselves."""
+    sized = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    nested = [F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) for c, t in df.dtypes if t.startswith(("array<", "struct<", "map<"))]
+    fixed = F.lit(32 + 9 * len(df.columns)).cast("long")
+    return df.agg(F.coalesce(F.sum(sum([*sized, *nested], fixed)), F.lit(0))).first()[0]
+
+
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], cluster: Sequence[str] = (),
                       partitions: int | None = None, file_bytes: int = FILE_BYTES) -> int:
     """Write Parquet partitioned by ``by`` and sorted by ``cluster`` inside each file.
 
-    The plan runs once: its rows are staged, and the staged files tell how many ranges of about
-    ``file_bytes`` there are (``partitions`` sets the number instead). Rows are then range-distributed
-    on (by, cluster), so every file holds a narrow key range and min/max statistics prune row groups. A
-    hash of the other columns is the last part of a range's key: a group larger than a range is spread
+    The plan runs once: its rows are staged, and the staged table tells how many ranges of about
+    ``file_bytes`` as stored, or of ``SORT_BYTES`` as sorted, there are (``partitions`` sets the number
+    instead). Rows are then range-distributed on (by, cluster), so every file holds a narrow key range
+    and min/max statistics prune row groups. A hash of the other columns is the last part of a range's key: a group larger than a range is spread
     over several. Rows that are equal in every column stay together. Returns the rows written.
     """
     keys = [*by, *cluster]
     rows = stage(df, "layout")
-    ranges = partitions or max(1, -(-stored_bytes(rows) // file_bytes))
+    ranges = partitions or max(1, -(-stored_bytes(rows) // file_bytes), -(-row_bytes(rows) // SORT_BYTES))
     salt = [c for c, t in rows.dtypes if c not in keys and "map<" not in t and t != "variant"]
     spread = [*keys, F.xxhash64(*salt)] if salt else keys
     ordered = rows.repartitionByRange(ranges, *spread).sortWithinPartitions(*keys)

@@ -269,3 +269,13 @@ def test_partitioned_write_runs_its_plan_once_and_spreads_a_hot_group(spark, tmp
     assert len(spark.read.parquet(small).inputFiles()) >= 4 and stored_bytes(spark.createDataFrame([(1,)], "a int")) == 0
     empty = str(tmp_path / "empty")
     assert write_partitioned(back.limit(0), empty, ["year"], ["grp"]) == 0
+
+
+def test_rows_that_store_small_are_sorted_in_bounded_parts(spark, tmp_path, monkeypatch):
+    """Repeated texts take few stored bytes and many in the task that sorts them: these count too."""
+    df = spark.range(4000).select((F.col("id") % 2).alias("ano"), F.lit("x" * 200).alias("t"), F.array("id").alias("a"), F.lit(None).cast("string").alias("none"))
+    assert 4000 * 200 < S.row_bytes(df) < 4000 * 400 and S.row_bytes(df.limit(0)) == 0
+    monkeypatch.setattr(S, "SORT_BYTES", 100_000)
+    assert S.write_partitioned(df, str(tmp_path / "t"), ["ano"]) == 4000
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert back.count() == 4000 and back.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 1500
