@@ -108,8 +108,12 @@ def select_except(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 
 def literal_relation(spark: SparkSession, schema: str, rows: Sequence[tuple]) -> DataFrame:
-    """A small relation written in the program, such as an edition map."""
-    return spark.createDataFrame(list(rows), schema)
+    """A small relation written in the program, such as an edition map.
+
+    Marked as small: its size is not known to Spark, and a join that sorted the other side would gather
+    all rows of one key in one task.
+    """
+    return F.broadcast(spark.createDataFrame(list(rows), schema))
 
 
 def explode_literal(df: DataFrame, name: str, values: Sequence) -> DataFrame:

@@ -106,3 +106,12 @@ def test_p_value_of_pearson(r, n):
         area = (area + 1 + (1 + t * t / df) ** (-(df + 1) / 2)) * h / 3
         want = 1 - 2 * c * area
     assert two_sided_t(r, n) == pytest.approx(want, abs=1e-8)
+
+
+def test_a_literal_relation_does_not_sort_what_it_joins(spark, capsys):
+    from cohortlens.functions import literal_relation
+    joined = spark.range(100).select((F.col("id") % 3).cast("int").alias("year")).join(literal_relation(spark, "year int, ref int", [(0, 7), (2, 9)]), "year")
+    assert {(r["ref"], r["count"]) for r in joined.groupBy("ref").count().collect()} == {(7, 34), (9, 33)}
+    joined.explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
