@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from cohortlens.functions.expr import HASH_RANGE, hash32
 ROWS_PER_BUCKET = 500_000
 #: Ranges that a pass of the exact quantiles cuts a bracket into.
 RANGES = 1024
+#: Edges from which on buckets are looked up in batches: Bucketizer writes the name of every bucket into the plan.
+MANY_EDGES = 4096
 
 
 # --- top-k -------------------------------------------------------------------------------
@@ -104,9 +107,19 @@ def even_edges(low: float, high: float, buckets: int = 256) -> list[float]:
 
 
 def with_bucket(df: DataFrame, col: str, edges: Sequence[float], out: str = "_bucket") -> DataFrame:
-    """Index of the edge interval [e_i, e_i+1) that holds the value (binary search in the JVM)."""
-    if not edges:
+    """Index of the edge interval [e_i, e_i+1) that holds the value (binary search, in the JVM unless edges are many)."""
+    if not len(edges):
         return df.withColumn(out, F.lit(0.0))
+    if len(edges) > MANY_EDGES:
+        marks = np.asarray(edges, float)
+
+        @F.pandas_udf("double")
+        def place(v: pd.Series, missing: pd.Series) -> pd.Series:
+            if (v.isna() & ~missing).any():
+                raise ValueError("NaN is in no bucket")
+            return pd.Series(np.searchsorted(marks, v.to_numpy(), side="right").astype(float)).where(~missing.to_numpy())
+
+        return df.withColumn(out, place(F.col(col).cast("double"), F.col(col).isNull()))
     splits = [-math.inf, *edges, math.inf]
     typed = df.withColumn("_cut_value", F.col(col).cast("double"))
     return Bucketizer(splits=splits, inputCol="_cut_value", outputCol=out).transform(typed).drop("_cut_value")

@@ -84,3 +84,14 @@ def test_top_k_puts_missing_last_and_breaks_ties_by_key(spark):
     assert [r["k"] for r in W.bottom_k(df, "v", 4, "k", min_n=5).collect()] == ["a", "b", "c", "d"]
     assert [r["k"] for r in W.rank_by_abs(df, "v", "k").collect()] == ["e", "b", "c", "a", "d"]
     assert "TakeOrderedAndProject" in W.top_k(df, "v", 2, "k")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_edges_give_the_same_buckets_without_naming_them_in_the_plan(spark, monkeypatch):
+    df = spark.range(600).select("id", F.when(F.col("id") % 7 != 0, F.col("id") / 3 - 20).alias("v"))
+    df = df.union(spark.sql("SELECT 600L, double('inf') UNION ALL SELECT 601L, double('-inf')"))
+    edges = [float(x) for x in range(-30, 200, 2)]
+    few = W.with_bucket(df, "v", edges)
+    monkeypatch.setattr(W, "MANY_EDGES", 3)
+    many = W.with_bucket(df, "v", edges)
+    assert sorted(few.collect(), key=lambda r: r["id"]) == sorted(many.collect(), key=lambda r: r["id"])
+    assert many.schema["_bucket"].metadata == {} != few.schema["_bucket"].metadata
