@@ -11,17 +11,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import U64, WORD_HASHES, join_hash, ordered_bucket, pack_sorted, parts_for, planes, text_bytes, unpack_sorted, unplanes, utf8
+from cohortlens.llm.common import U64, WORD_HASHES, join_hash, ordered_bucket, parts_for, planes, steps, unplanes, utf8
 from cohortlens.session import stage
 
 #: Words of an n-gram at most.
 ORDER = 3
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
-SLICE_BYTES, BUCKET_BYTES = 4_000_000, 8_000_000
+SLICE_BYTES, BUCKET_BYTES = 8_000_000, 8_000_000
 _START, _END = U64(0x5DEECE66D1CE4E5B), U64(0xA3EC647659359ACD)
 
 
@@ -104,96 +106,212 @@ def backoff(classes: Classes, of_counts: np.ndarray, low: np.ndarray, high: np.n
 
 @dataclass
 class Totals:
-    """Training texts and tokens (ends included), the denominator of the smoothed words, and discounts by order."""
+    """Training texts, tokens and distinct tokens (ends included), the denominator of the smoothed words, and discounts by order."""
 
     texts: int
     tokens: int
+    types: int
     total: float
     discounts: dict[int, np.ndarray]
 
 
-class _Slice:
-    """Tokens of the texts of one slice: for each order the distinct n-grams and contexts, and which stand at each token."""
+def _zip(values: np.ndarray) -> bytes:
+    return pa.compress(memoryview(planes(values)), codec="zstd", asbytes=True) + len(values).to_bytes(8, "little")
+
+
+def _unzip(data: bytes, dtype=np.int64) -> np.ndarray:
+    n = int.from_bytes(data[-8:], "little")
+    return unplanes(pa.decompress(memoryview(data)[:-8], n * np.dtype(dtype).itemsize, codec="zstd", asbytes=True), dtype)
+
+
+def _zip_sorted(keys: np.ndarray) -> bytes:
+    return _zip(np.diff(keys, prepend=U64(0)))
+
+
+def _unzip_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unzip(data, U64), dtype=U64)
+
+
+def _zip_floats(values: np.ndarray) -> bytes:
+    """Few distinct values: each once, and which stands where."""
+    distinct, _, of = _distinct(np.ascontiguousarray(values).view(U64))
+    table = _zip_sorted(distinct)
+    return len(table).to_bytes(8, "little") + table + _zip(of)
+
+
+def _unzip_floats(data: bytes) -> np.ndarray:
+    end = 8 + int.from_bytes(data[:8], "little")
+    return _unzip_sorted(data[8:end]).view(float)[_unzip(data[end:], np.int32)]
+
+
+def _marked(at: np.ndarray, n: int) -> np.ndarray:
+    marks = np.zeros(n, bool)
+    marks[at] = True
+    return marks
+
+
+def _by_frequency(total: np.ndarray) -> np.ndarray:
+    """Words from the most frequent on: small numbers for most tokens."""
+    return np.argsort(-total, kind="stable")
+
+
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending distinct values, a place of each, and which of them stands at each place."""
+    by_value = np.argsort(ids)
+    ids = ids[by_value]
+    new = np.r_[True, ids[1:] != ids[:-1]][:len(ids)]
+    of = np.empty(len(ids), np.int32)
+    of[by_value] = np.cumsum(new) - 1
+    return ids[new], by_value[new], of
+
+
+def _by_bucket(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of ascending keys."""
+    bounds = np.searchsorted(ordered_bucket(keys, buckets).astype(np.int64), np.arange(buckets + 1))
+    return [(b, x, y) for b, (x, y) in enumerate(zip(bounds, bounds[1:])) if x < y]
+
 
-    def __init__(self, texts: list, learn: list, order: int, buckets: int):
+def _sliced(batches):
+    """Rows of some texts each: ids, folds, lengths, the distinct words' hashes, counts in training and in all, and the rank by frequency of each token's word."""
+    first, made, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+
+    def packed() -> pa.RecordBatch:
+        texts, learn, ids = (pa.chunked_array([x.column(c) for x in held]).to_pylist() for c in ("text", "learn", "doc_id"))
         h = [WORD_HASHES.of(utf8(t).lower().split()) for t in texts]
-        self.order, self.buckets = order, buckets
-        self.lengths = np.array([len(x) + 1 for x in h], np.int64)
-        ends = np.cumsum(self.lengths) - 1
-        self.first = ends + 1 - self.lengths
-        word = np.full(int(self.lengths.sum()), _END)
+        lengths = np.array([len(x) + 1 for x in h], np.int64)
+        word = np.full(int(lengths.sum()), _END)
         is_word = np.ones(len(word), bool)
-        is_word[ends] = False
+        is_word[np.cumsum(lengths) - 1] = False
         word[is_word] = np.concatenate(h)
-        teaches = np.repeat(np.array(learn, bool), self.lengths)
-        self.grams, self.gram_at, self.gram_of, self.gram_n, self.context = {}, {}, {}, {}, {}
-        ids, start = word, _START
+        words, _, of = _distinct(word)
+        n, total = (np.bincount(x, minlength=len(words)) for x in (of[np.repeat(np.array(learn, bool), lengths)], of))
+        rank = np.empty(len(words), np.int32)
+        rank[_by_frequency(total)] = np.arange(len(words))
+        return _rows([(first + made, ids, learn, sum(learn), size, _zip(lengths), _zip_sorted(words), _zip(n), _zip(total), _zip(rank[of]))], _SLICES).to_batches()[0]
+
+    for batch in steps(batches):
+        more = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        if held and size + more > SLICE_BYTES:
+            yield packed()
+            made, held, size = made + 1, [], 0
+        held.append(batch)
+        size += more
+    if held:
+        yield packed()
+
+
+class _Slice:
+    """N-grams of the texts of one slice by order: distinct keys, which stands at each token, counts in training, and for each
+    n-gram its context (an n-gram one shorter, or the starts, which come last) and what is left without its first word.
+
+    An n-gram that only one slice holds is counted there. So is each longer one around it, which is not asked for.
+    """
+
+    def __init__(self, row: pa.Table, answers: pa.Table, order: int, answered: int, buckets: int):
+        r = row.to_pylist()[0]
+        self.ids, self.learn, self.order, self.buckets = r["ids"], r["learn"], order, buckets
+        self.lengths = _unzip(r["lengths"])
+        self.first = np.cumsum(self.lengths) - self.lengths
+        words = _unzip_sorted(r["words"])
+        at = _by_frequency(_unzip(r["total"])).astype(np.int32)[_unzip(r["tokens"], np.int32)]
+        teaches = np.repeat(np.array(r["learn"], bool), self.lengths)
+        self.told: dict[tuple[str, int], list] = {}
+        for kind, k, *data in zip(*(answers.column(c).to_pylist() for c in ("kind", "k", "bucket", "a", "b"))):
+            self.told.setdefault((kind, k), []).append(data)
+        self.keys, self.of, self.n, self.context, self.shorter, self.asked, self.count, self.own, self.alone, self.held, self.starts = ({} for _ in range(11))
+        ids = word = words[at]
+        start = _START
         for k in range(1, order + 1):
-            if k > 1:
-                self.context[k] = np.r_[start, ids[:-1]]
-                self.context[k][self.first] = start
-                ids = join_hash(self.context[k], word)
+            if k == 1:
+                self.keys[k], self.of[k], known = words, at, np.zeros(len(words), bool)
+            else:
+                before, m = np.r_[start, ids[:-1]], len(self.keys[k - 1])
+                before[self.first] = start
+                ids, self.starts[k] = join_hash(before, word), start
                 start = join_hash(np.array([start]), np.array([_START]))[0]
-            self.grams[k], self.gram_at[k], of = np.unique(ids, return_index=True, return_inverse=True)
-            self.gram_of[k] = of.astype(np.int32)
-            self.gram_n[k] = np.bincount(self.gram_of[k][teaches], minlength=len(self.grams[k]))
-
-    def by_bucket(self, keys: np.ndarray):
-        """(bucket, from, to) of ascending keys."""
-        bounds = np.searchsorted(ordered_bucket(keys, self.buckets).astype(np.int64), np.arange(self.buckets + 1))
-        return [(b, x, y) for b, (x, y) in enumerate(zip(bounds, bounds[1:])) if x < y]
-
-    def learn(self, answers: pa.Table, totals: Totals) -> None:
-        """Take the answered counts; find each order's contexts, their occurrences and sums over the n-grams owned here."""
-        counts = _gather(self, answers, "count", self.grams)
-        self.count = {k: (counts[k]["a"] >> 1)[self.gram_of[k]] for k in self.grams}
-        self.base = (self.count[1] + 0.5) / totals.total
-        self.contexts, self.context_at, self.context_of, self.seen, self.wanted, self.kept, self.mass = ({} for _ in range(7))
-        below = self.base
-        for k in range(2, self.order + 1):
-            seen = np.r_[0, self.count[k - 1][:-1]]
-            seen[self.first] = totals.texts
-            self.contexts[k], self.context_at[k], of = np.unique(self.context[k], return_index=True, return_inverse=True)
-            self.context_of[k], self.seen[k], m = of, seen[self.context_at[k]], len(self.contexts[k])
-            self.wanted[k] = np.bincount(of[self.count[k] == 0], minlength=m) > 0
-            # Each n-gram once in the whole corpus: where it is owned, at its first token here.
-            at = self.gram_at[k][counts[k]["a"] & 1 == 1]
-            c = self.count[k]
-            share = totals.discounts[k][np.minimum(c, DISCOUNTED + 1)] * c
-            self.kept[k] = np.bincount(of[at], share[at], m)
-            self.mass[k] = np.bincount(of[at], below[at], m)
-            below = share / np.maximum(seen, 1)
-
-    def score(self, answers: pa.Table, totals: Totals) -> np.ndarray:
-        """Probability of each token: order by order, each backing off to the one below."""
-        sums = _gather(self, answers, "context", {k: x[self.seen[k] > 0] for k, x in self.contexts.items()})
-        p, factor = self.base, np.ones(len(self.base))
-        for k in range(2, self.order + 1):
-            kept, mass = np.zeros(len(self.contexts[k])), np.zeros(len(self.contexts[k]))
-            kept[self.seen[k] > 0], mass[self.seen[k] > 0] = sums[k]["a"].view(float), sums[k]["b"].view(float)
-            # All n-grams of a context have the same shorter context, so its factor stands before the sum.
-            model = weigh(totals.discounts[k], self.seen[k], kept, mass * factor[self.context_at[k]])
-            p = model.probability(Level(self.seen[k], p), self.context_of[k], np.arange(len(p)), self.count[k])
-            factor = model.factor[self.context_of[k]]
-        return p
-
-
-def _gather(s: _Slice, answers: pa.Table, kind: str, keys: dict[int, np.ndarray]) -> dict[int, dict[str, np.ndarray]]:
-    """Answers to all keys of a slice, put back in the order of the keys."""
-    out = {k: {c: np.zeros(len(x), np.int64) for c in "ab"} for k, x in keys.items()}
-    where = {(k, b): (x, y) for k, ids in keys.items() for b, x, y in s.by_bucket(ids)}
-    for of, k, b, *data in zip(*(answers.column(c).to_pylist() for c in ("kind", "k", "bucket", "a", "b"))):
-        if of == kind:
-            x, y = where[k, b]
-            for c, d in zip("ab", data):
+                self.keys[k], place, self.of[k] = _distinct(ids)
+                context = np.r_[np.int32(m), self.of[k - 1][:-1]]
+                context[self.first] = m
+                self.context[k], self.shorter[k] = context[place], self.of[k - 1][place]
+                known = self.alone[k - 1][self.shorter[k]] | np.r_[self.alone[k - 1], False][self.context[k]]
+            self.n[k] = np.bincount(self.of[k][teaches], minlength=len(self.keys[k]))
+            self.asked[k] = np.flatnonzero(~known)
+            if k <= answered:
+                told, _ = self._answers("count", k, self.keys[k][self.asked[k]], np.int64, _unzip)
+                self.count[k], self.own[k], self.alone[k] = self.n[k].copy(), self.n[k] > 0, known
+                self.held[k] = np.zeros(len(known), bool)
+                for of, x in ((self.own, told & 1 == 1), (self.alone, told & 2 == 2), (self.held, told & 4 == 4), (self.count, told >> 3)):
+                    of[k][self.asked[k]] = x
+
+    def _answers(self, kind: str, k: int, keys: np.ndarray, dtype, unzip) -> tuple[np.ndarray, np.ndarray]:
+        """Answers to ascending keys, in their order."""
+        out, where = (np.zeros(len(keys), dtype), np.zeros(len(keys), dtype)), {b: (x, y) for b, x, y in _by_bucket(keys, self.buckets)}
+        for b, *data in self.told.get((kind, k), ()):
+            x, y = where[b]
+            for values, d in zip(out, data):
                 if d is not None:
-                    out[k][c][x:y] = unplanes(d, np.int64)
-    return out
+                    values[x:y] = unzip(d)
+        return out
+
+    def questions(self, of: int, k: int) -> list[tuple]:
+        """Order k's n-grams that other slices may hold; counts of the counts of the rest go to any bucket."""
+        keys, n = self.keys[k][self.asked[k]], _taught_and_held(self.n[k], np.bincount(self.of[k], minlength=len(self.keys[k])))[self.asked[k]]
+        rest = self.n[k].copy()
+        rest[self.asked[k]] = -1
+        return [("count", k, of % self.buckets, of, None, None, _of_counts(rest[rest >= 0]).tobytes(), None), *_count_questions(k, of, keys, n, self.buckets)]
+
+    def learn_contexts(self, totals: Totals, order: int, sums_from: int = 2) -> None:
+        """Contexts of orders 2 to ``order``, their occurrences, sums over the n-grams owned here, and which of them to ask for.
+
+        A context is open for certain when one of its n-grams here leaves something to unseen words and so does one of its shorter
+        context; at order 2, when it has not occurred often enough to be followed by nearly all words. Open contexts have factor 1,
+        so their sums matter only where an n-gram was not seen in training, which takes a text held out that holds the context.
+        """
+        self.seen, self.kept, self.mass, self.ask, self.open, self.shorter_context = ({} for _ in range(6))
+        self.base = below = (self.count[1] + 0.5) / totals.total
+        for k in range(2, order + 1):
+            c, context, m = self.count[k], self.context[k], len(self.keys[k - 1]) + 1
+            alone = np.r_[self.alone[k - 1], False]
+            seen = self.seen[k] = np.r_[self.count[k - 1], totals.texts]
+            share, of = totals.discounts[k][np.minimum(c, DISCOUNTED + 1)] * c, seen[context]
+            self.open[k] = _marked(context[c - share > 1e-7 * of], m)
+            if k > 2:
+                # All n-grams of a context have the same shorter context.
+                self.shorter_context[k] = np.zeros(m, np.int32)
+                self.shorter_context[k][context] = self.context[k - 1][self.shorter[k]]
+            self.open[k] &= self.open[k - 1][self.shorter_context[k]] if k > 2 else 1.5 * (totals.types - seen) + 0.5 > 1e-7 * totals.total
+            if k >= sums_from:
+                self.kept[k] = np.bincount(context, share * self.own[k], m)
+                self.mass[k] = np.bincount(context, below[self.shorter[k]] * self.own[k], m)
+            below = share / np.maximum(of, 1)
+            ask = np.flatnonzero(_marked(context, m) & (seen > 0) & ~alone & (np.r_[self.held[k - 1], True] | ~self.open[k]))
+            self.ask[k] = ask[np.argsort(self._contexts(k)[ask], kind="stable")]
+
+    def _contexts(self, k: int) -> np.ndarray:
+        return np.r_[self.keys[k - 1], self.starts[k]]
+
+    def context_questions(self, of: int, k: int) -> list[tuple]:
+        wanted = _marked(self.context[k][self.count[k] == 0], len(self.seen[k]))
+        keys, n, kept, mass = (x[self.ask[k]] for x in (self._contexts(k), wanted.astype(np.int64) << 1 | self.open[k], self.kept[k], self.mass[k]))
+        return [("context", k, b, of, _zip_sorted(keys[x:y]), _zip(n[x:y]), _zip_floats(kept[x:y]), _zip_floats(mass[x:y])) for b, x, y in _by_bucket(keys, self.buckets)]
+
+    def score(self, totals: Totals) -> np.ndarray:
+        """Probability of each token: order by order, each n-gram backing off to the one below."""
+        p, factor = self.base, None
+        for k in range(2, self.order + 1):
+            kept, mass = (np.where(np.r_[self.alone[k - 1], False], x, 0.0) for x in (self.kept[k], self.mass[k]))
+            kept[self.ask[k]], mass[self.ask[k]] = self._answers("context", k, self._contexts(k)[self.ask[k]], float, _unzip_floats)
+            # The shorter context's factor stands before the sum.
+            model = weigh(totals.discounts[k], self.seen[k], kept, mass if factor is None else mass * factor[self.shorter_context[k]])
+            p = model.probability(Level(self.seen[k], p), self.context[k], self.shorter[k], self.count[k])
+            factor = model.factor
+        return p[self.of[self.order]]
 
 
-_ASKED = "k int, bucket int, slice int, keys binary, n binary, a binary, b binary"
-_TOLD = "kind string, k int, bucket int, slice int, a binary, b binary"
-_KINDS = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
+_SLICES = "slice long, ids array<long>, learn array<boolean>, taught long, size long, lengths binary, words binary, n binary, total binary, tokens binary"
+_ASKED = "kind string, k int, bucket int, slice long, keys binary, n binary, a binary, b binary"
+_TOLD = "kind string, k int, bucket int, slice long, a binary, b binary"
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.Table:
@@ -201,57 +319,74 @@ def _rows(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table([pa.array(c, _KINDS[t]) for c, (_, t) in zip(zip(*rows) if rows else [[]] * len(names), names)], [n for n, _ in names])
 
 
+def _of_counts(count: np.ndarray) -> np.ndarray:
+    """How many n-grams have each count 0 .. DISCOUNTED + 1."""
+    return np.bincount(np.minimum(count, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[:DISCOUNTED + 2].astype(np.int64)
+
+
+def _taught_and_held(n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    return n << 1 | (total > n)
+
+
+def _count_questions(k: int, of: int, keys: np.ndarray, n: np.ndarray, buckets: int) -> list[tuple]:
+    return [("count", k, b, of, _zip_sorted(keys[x:y]), _zip(n[x:y]), None, None) for b, x, y in _by_bucket(keys, buckets)]
+
+
 def _meet(table: pa.Table):
     """Questions of all slices to one bucket, by slice: slices, distinct keys, and where each slice's keys are among them."""
     table = table.sort_by("slice")
-    keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
-    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    keys = [_unzip_sorted(x) for x in table.column("keys").to_pylist()]
+    distinct, _, inverse = _distinct(np.concatenate([np.empty(0, U64), *keys]))
     return table, distinct, inverse, np.cumsum([len(x) for x in keys])[:-1]
 
 
-def _joined(table: pa.Table, column: str, dtype=np.int64) -> np.ndarray:
-    return np.concatenate([unplanes(x, np.int64) for x in table.column(column).to_pylist()]).view(dtype)
+def _joined(table: pa.Table, column: str, unzip=_unzip) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *(unzip(x) for x in table.column(column).to_pylist())])
 
 
-def _answer_counts(key, table):
-    """Counts of n-grams; the first slice that saw an n-gram in training owns it, which the lowest bit says."""
-    k, bucket = key[0].as_py(), key[1].as_py()
-    table, distinct, inverse, cuts = _meet(table)
+def _answer_counts(k: int, bucket: int, table: pa.Table) -> list[tuple]:
+    """Counts of n-grams. Below them, a bit says that a text held out holds the n-gram, one that only one slice asks for it, and
+    the lowest that this slice, the first that saw it in training, owns it."""
+    of_counts = sum((np.frombuffer(x, np.int64) for x in table.column("a").to_pylist() if x is not None), np.zeros(DISCOUNTED + 2, np.int64))
+    table, distinct, inverse, cuts = _meet(table.filter(pc.is_valid(table.column("keys"))))
     n = _joined(table, "n")
+    held = np.bincount(inverse[n & 1 == 1], minlength=len(distinct)) > 0
+    n = n >> 1
     count = np.zeros(len(distinct), np.int64)
     np.add.at(count, inverse, n)
     owner = np.full(len(distinct), -1, np.int64)
     taught = np.flatnonzero(n > 0)[::-1]
     owner[inverse[taught]] = taught
-    told = count[inverse] << 1 | (owner[inverse] == np.arange(len(n)))
-    rows = [("count", k, bucket, s, planes(x), None) for s, x in zip(table.column("slice").to_pylist(), np.split(told, cuts))]
-    of_counts = np.bincount(np.minimum(count, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[:DISCOUNTED + 2]
-    rows.append(("total", k, bucket, None, of_counts.astype(np.int64).tobytes(), np.array([count.sum(), (count > 0).sum()], np.int64).tobytes()))
-    return _rows(rows, _TOLD)
+    alone = np.bincount(inverse, minlength=len(distinct)) == 1
+    told = (count << 3 | held << 2 | alone << 1)[inverse] | (owner[inverse] == np.arange(len(n)))
+    rows = [("count", k, bucket, s, _zip(x), None) for s, x in zip(table.column("slice").to_pylist(), np.split(told, cuts))]
+    return [*rows, ("total", k, bucket, None, (of_counts + _of_counts(count)).tobytes(), np.array([count.sum(), (count > 0).sum()], np.int64).tobytes())]
 
 
-def _answer_contexts(key, table):
-    """Sums of contexts: told where a slice backs off from them or where they leave nothing, else zeros, which pack to nothing."""
-    k, bucket = key[0].as_py(), key[1].as_py()
+def _answer_contexts(k: int, bucket: int, table: pa.Table) -> list[tuple]:
+    """Sums of contexts: told where a slice backs off from them or where none knows them to be open, else zeros, which pack to nothing."""
     table, distinct, inverse, cuts = _meet(table)
     n = _joined(table, "n")
-    seen = np.zeros(len(distinct), np.int64)
-    seen[inverse] = n >> 1
-    kept, mass = (np.bincount(inverse, _joined(table, c, float), len(distinct)) for c in "ab")
-    full = (kept > (1 - 1e-8) * seen) | (mass > 1 - 1e-8)
-    tell = (n & 1 == 1) | full[inverse]
-    kept, mass = (np.split(np.where(tell, x[inverse], 0.0).view(np.int64), cuts) for x in (kept, mass))
-    return _rows([("context", k, bucket, s, planes(x), planes(y)) for s, x, y in zip(table.column("slice").to_pylist(), kept, mass)], _TOLD)
+    kept, mass = (np.bincount(inverse, _joined(table, c, _unzip_floats), len(distinct)) for c in "ab")
+    shut = np.bincount(inverse[n & 1 == 1], minlength=len(distinct)) == 0
+    tell = (n & 2 == 2) | shut[inverse]
+    kept, mass = (np.split(np.where(tell, x[inverse], 0.0), cuts) for x in (kept, mass))
+    return [("context", k, bucket, s, _zip_floats(x), _zip_floats(y)) for s, x, y in zip(table.column("slice").to_pylist(), kept, mass)]
+
+
+def _answer(key, table):
+    kind, k, bucket = (x.as_py() for x in key)
+    return _rows({"count": _answer_counts, "context": _answer_contexts}[kind](k, bucket, table), _TOLD)
 
 
-def _totals(counts: DataFrame, texts: int, order: int) -> Totals:
-    """From one row of some numbers for each bucket."""
-    of, sums = {k: np.zeros(DISCOUNTED + 2, np.int64) for k in range(1, order + 1)}, np.zeros(2, np.int64)
-    for r in counts.filter("kind = 'total'").select("k", "a", "b").toLocalIterator():
-        of[r.k] += np.frombuffer(r.a, np.int64)
-        if r.k == 1:
-            sums += np.frombuffer(r.b, np.int64)
-    return Totals(texts, int(sums[0]), float(sums[0]) + 0.5 * (int(sums[1]) + 1), {k: good_turing(n) for k, n in of.items()})
+def _add_totals(before: Totals, told: DataFrame, k: int) -> Totals:
+    """With order k, from one row of some numbers for each bucket."""
+    of, sums = np.zeros(DISCOUNTED + 2, np.int64), np.zeros(2, np.int64)
+    for r in told.filter("kind = 'total'").select("a", "b").toLocalIterator():
+        of += np.frombuffer(r.a, np.int64)
+        sums += np.frombuffer(r.b, np.int64)
+    tokens, types = (int(x) for x in sums) if k == 1 else (before.tokens, before.types)
+    return Totals(before.texts, tokens, types, tokens + 0.5 * (types + 1), before.discounts | {k: good_turing(of)})
 
 
 def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER) -> DataFrame:
@@ -262,59 +397,63 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = ORDER) -> DataFr
     log10 probability of the text, ``score`` that of the model of n-grams up to ``order``, whose probabilities of
     all words of the training texts, the end and an unseen word add up to one after any context.
 
-    Texts are dealt into slices of bounded size. Each slice asks once for each distinct n-gram of each order, the
-    question carrying its own training count, then once for each context, the question carrying its sums over
-    the n-grams that the slice owns; so counting and looking up are one exchange of packed rows each. Keys are
-    dealt by hashes of whole n-grams and combined within slices, so no word or context is a hot key.
+    Texts become slices of bounded size, staged once as words numbered within the slice. Order by order, each slice
+    asks once for each distinct n-gram that other slices may hold, the question carrying its own training count, and
+    once for each context of the order before that other slices hold and whose sums can matter, the question carrying
+    its sums over the n-grams that the slice owns. So counting and looking up are one exchange of packed rows each, whose files go when its answers
+    are staged. Keys are dealt by hashes of whole n-grams and combined within slices, so no word or context is a hot key.
 
     Null and empty texts are one end; null and repeated ids are kept row by row; a null held_out counts as
     false; other columns are ignored. Without training rows both scores are those of an unseen token each.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out")).withColumn("learn", ~F.col("held_out"))
-    size = text_bytes(rows)
-    slices, buckets = parts_for(spark, size, SLICE_BYTES), parts_for(spark, size, BUCKET_BYTES)
-    sliced = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).cast("int"))
-
-    def sliced_texts(table: pa.Table) -> _Slice:
-        return _Slice(table.column("text").to_pylist(), table.column("learn").to_pylist(), order, buckets)
-
-    def ask_counts(key, table):
-        s = sliced_texts(table)
-        return _rows([(k, b, key[0].as_py(), pack_sorted(s.grams[k][x:y]), planes(s.gram_n[k][x:y]), None, None)
-                      for k in s.grams for b, x, y in s.by_bucket(s.grams[k])], _ASKED)
-
-    counts = stage(sliced.groupBy("slice").applyInArrow(ask_counts, _ASKED).groupBy("k", "bucket").applyInArrow(_answer_counts, _TOLD), "lm-counts")
-    totals = spark.sparkContext.broadcast(_totals(counts, rows.filter("learn").count(), order))
-    counts = counts.filter("kind = 'count'")
-
-    def ask_contexts(key, texts, answers):
-        out = []
-        if texts.num_rows:
-            s = sliced_texts(texts)
-            s.learn(answers, totals.value)
-            for k in s.contexts:
-                some = s.seen[k] > 0
-                keys, n, kept, mass = (x[some] for x in (s.contexts[k], s.seen[k] << 1 | s.wanted[k], s.kept[k], s.mass[k]))
-                out += [(k, b, key[0].as_py(), pack_sorted(keys[x:y]), planes(n[x:y]), planes(kept[x:y]), planes(mass[x:y])) for b, x, y in s.by_bucket(keys)]
-        return _rows(out, _ASKED)
-
-    asked = sliced.groupBy("slice").cogroup(counts.groupBy("slice")).applyInArrow(ask_contexts, _ASKED)
-    contexts = stage(asked.groupBy("k", "bucket").applyInArrow(_answer_contexts, _TOLD), "lm-contexts")
-
-    def score(key, texts, answers):
-        t = totals.value
-        if not texts.num_rows:
-            return _scores([], [], np.empty(0, np.int64), np.empty(0, np.int64), t.tokens, np.empty(0), np.empty(0))
-        s = sliced_texts(texts)
-        s.learn(answers, t)
-        return _scores(texts.column("doc_id").to_pylist(), texts.column("held_out").to_pylist(), s.lengths, np.add.reduceat((s.count[1] > 0).astype(np.int64), s.first),
-                       t.tokens, np.add.reduceat(np.log10(s.base), s.first), np.add.reduceat(np.log10(s.score(answers, t)), s.first))
-
-    return sliced.groupBy("slice").cogroup(counts.union(contexts).groupBy("slice")).applyInArrow(
-        score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _scores(ids, held, n, known, tokens, base, score) -> pa.Table:
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()),
-                     "train_tokens": pa.array(np.full(len(n), tokens, np.int64)), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~F.coalesce(held_out, F.lit(False))).alias("learn"))
+    slices = stage(rows.mapInArrow(_sliced, _SLICES), "lm-slices")
+    size, texts = slices.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("taught"), F.lit(0))).first()
+    buckets = parts_for(spark, size, BUCKET_BYTES)
+
+    def ask_words(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                rows = _count_questions(1, r["slice"], _unzip_sorted(r["words"]), _taught_and_held(_unzip(r["n"]), _unzip(r["total"])), buckets)
+                yield from _rows(rows, _ASKED).to_batches()
+
+    def answered(asked: DataFrame) -> DataFrame:
+        return stage(asked.groupBy("kind", "k", "bucket").applyInArrow(_answer, _TOLD), "lm-answers", drop_shuffles=True)
+
+    def with_answers(answers: DataFrame, work, schema: str) -> DataFrame:
+        """work(slice, its row, its answers) for every slice."""
+        def one(key, row, told):
+            return work(key[0].as_py(), row, told) if row.num_rows else _rows([], schema)
+
+        return slices.drop("n").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(one, schema)
+
+    def ask(k: int, totals):
+        """Questions for counts of order k and for contexts of the order before."""
+        def work(of, row, told):
+            s = _Slice(row, told, min(k, order), k - 1, buckets)
+            s.learn_contexts(totals.value, k - 1, k - 1)
+            return _rows([*(s.questions(of, k) if k <= order else ()), *(s.context_questions(of, k - 1) if k > 2 else ())], _ASKED)
+
+        return work
+
+    answers = answered(slices.select("slice", "words", "n", "total").mapInArrow(ask_words, _ASKED))
+    known = _add_totals(Totals(texts, 0, 0, 0.0, {}), answers, 1)
+    totals = spark.sparkContext.broadcast(known)
+    for k in range(2, order + 2 if order > 1 else 2):
+        told = answered(with_answers(answers.filter("kind = 'count'"), ask(k, totals), _ASKED))
+        if k <= order:
+            known = _add_totals(known, told, k)
+            totals = spark.sparkContext.broadcast(known)
+        answers = answers.union(told)
+
+    def score(of, row, told):
+        t, s = totals.value, _Slice(row, told, order, order, buckets)
+        s.learn_contexts(t, order)
+        known, base, p = (np.add.reduceat(x, s.first) for x in ((s.count[1] > 0).astype(np.int64)[s.of[1]], np.log10(s.base)[s.of[1]], np.log10(s.score(t))))
+        return _rows([(i, not learn, *x) for i, learn, *x in zip(s.ids, s.learn, s.lengths.tolist(), known.tolist(), [t.tokens] * len(known), base.tolist(), p.tolist())], _SCORES)
+
+    return with_answers(answers.filter("kind <> 'total'"), score, _SCORES)
+
+
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

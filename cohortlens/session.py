@@ -24,6 +24,7 @@ def local_session(cores: int | str = 8, app: str = "cohortlens") -> SparkSession
 
 
 _LOCAL_DIRS: dict[str, str] = {}
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,12 +50,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     The written table survives lost executors, cuts the lineage, and carries true file
-    sizes, so Spark decides on broadcasting from a measured size.
+    sizes, so Spark decides on broadcasting from a measured size. ``drop_shuffles`` has Spark
+    delete the shuffle files of the write when it has ended, not when the driver collects garbage.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stage/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/stage/{name}-{uuid.uuid4().hex[:12]}"
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    if drop_shuffles:
+        spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if drop_shuffles:
+            spark.conf.unset(_DROP_SHUFFLES) if before is None else spark.conf.set(_DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,8 +5,11 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import tempfile
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -16,6 +19,7 @@ import corpus_pipeline
 from cohortlens.llm import chat, decontaminate, embeddings, katz, minhash, pack, quality, records, substring, urls
 from cohortlens.llm.common import components, crc_fold, joined_components, pack_sorted, planes, unpack_sorted, unplanes
 from cohortlens.llm.queries import tokenizer_path
+from cohortlens.session import shared_dir, stage
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, found string, places string"
 WORDS = "the of and stone river light morning quiet paper garden window letter copper silver walking under between seven".split()
@@ -329,6 +333,50 @@ def test_katz_looks_at_two_words_of_context_unless_told_otherwise(spark):
     assert got[100] > got[101] + 1
 
 
+@pytest.mark.parametrize("parts", [1, 40])
+def test_katz_is_the_same_however_texts_are_sliced(spark, parts):
+    # One slice holds everything, or n-grams and contexts meet from up to 40 slices; some contexts leave nothing to unseen words.
+    r = random.Random(parts)
+    rows = [(k, " ".join(r.choice(WORDS[:9]) if r.random() < 0.9 else f"rare{r.randrange(90)}" for _ in range(r.randrange(50)))) for k in range(200)]
+    rows += [(k, "open the door") for k in range(300, 330)] + [(400, "open the window"), (401, "the door rare7 rare8"), (402, "never door"), (403, None)]
+    model = PlainKatz([t or "" for i, t in rows if crc_of(i) != 1 and i < 400], 3)
+    held = (crc_fold("doc_id", 5) == 1) | (F.col("doc_id") >= 400)
+    got = {x.doc_id: x for x in katz.score_texts(table(spark, rows).repartition(parts), held).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        assert math.isclose(got[i].score, model.score(t or ""), rel_tol=1e-9)
+
+
+def shuffle_files():
+    return Path(tempfile.gettempdir()).glob("blockmgr-*/*/shuffle_*.data")
+
+
+def test_katz_keeps_little_on_disk_between_its_steps(spark):
+    # Texts of many words, so that most n-grams are rare: keys of all n-grams of all slices took several times the texts.
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(3 + k % 6)) for k in range(30_000)]
+    rows = [(k, " ".join(words[int(30_000 * r.random() ** 3)] for _ in range(600))) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    began = time.time()
+    scored = katz.score_texts(docs, crc_fold("doc_id", 5) == 1)
+    made = [*Path(shared_dir(spark)).glob("stage/lm-*/*.parquet"), *shuffle_files()]
+    kept = sum(p.stat().st_size for p in made if p.stat().st_mtime >= began - 1)
+    assert 0 < kept < 2 * sum(len(t) for _, t in rows)
+    assert scored.count() == len(rows)
+
+
+def test_staging_may_drop_its_shuffle_files(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    df, before = spark.range(10_000).repartition(7, F.col("id") % 1000), spark.conf.get(setting, None)
+    there = set(shuffle_files())
+    staged = stage(df, "dropped", drop_shuffles=True)
+    assert not set(shuffle_files()) - there and spark.conf.get(setting, None) == before
+    assert staged.count() == 10_000
+    there = set(shuffle_files())
+    stage(df, "kept")
+    assert set(shuffle_files()) - there
+
+
 def test_url_rules_and_mined_verdicts(spark):
     rows = [(k, f"http://{h}.example.{d}/{l}/{k}") for k, (h, d, l) in enumerate([("a", "com", "fr"), ("B", "COM", "de"), ("www.c", "org", "es"), ("c", "net", "de")] * 30)]
     rows += [(500, None), (501, "no scheme"), (502, "http://example.org/es/1"), (503, "x://example.org/en/12?q=1#f"), (504, "http://org/x"), (505, "http://notorg/"), (506, "http://EXAMPLE.ORG"), (506, "://"), (None, "http://a.com/fr/")]
