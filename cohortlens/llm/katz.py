@@ -1,7 +1,7 @@
 """Katz backoff language model of any order: Good-Turing discounted n-grams over smoothed words, exactly normalised.
 
 Every word has its own n-grams, keyed by 64-bit hashes of all their words; nothing is cut by frequency. What grows
-with the corpus (counts of each order, sums and backoff weights of each context) stays in bucketed tables; the driver
+with the corpus (slices of texts, counts of each order, sums over each context) stays in staged tables; the driver
 and every task get some numbers for each order.
 """
 
