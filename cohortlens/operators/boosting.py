@@ -35,13 +35,16 @@ EDGE_ROWS = 200_000
 #: Binned values that one block, and the partition of a fit without exchange, hold at most.
 BLOCK_BYTES = 16_000_000
 ONE_TASK_BYTES = 64_000_000
-#: Joint cells of columns that are counted together at most, and bins of such columns.
-CELLS = 4096
-FEW_BINS = 64
+#: Joint cells of columns that are counted together at most.
+CELLS = 1024
+#: Rows of small nodes that are counted in one go, and of one node.
+TOGETHER = 16_384
+PACKED = 1 << 16
 #: Leaves whose children one job looks at, and trees after which margins are written down again.
 LEAVES_A_JOB = 32
 TREES_A_STAGE = 16
 _UNIT = float(1 << 20)
+_COUNT = float(1 << 35)
 _BINS = 256
 
 
@@ -81,33 +84,40 @@ class Split:
     right: tuple[float, float, float]
 
 
+def gains(below: Sequence[np.ndarray], total: Sequence[np.ndarray], s: Settings) -> np.ndarray:
+    """Gain of splits whose lower sides have (gradient, hessian, rows) ``below``, in whole units; -inf where none is allowed."""
+    (g, h, n), (g2, h2, n2) = below, [t - b for t, b in zip(total, below)]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = leaf_score(g / _UNIT, h / _UNIT, s) + leaf_score(g2 / _UNIT, h2 / _UNIT, s) - leaf_score(total[0] / _UNIT, total[1] / _UNIT, s)
+    least = max(s.least_rows, 1)
+    allowed = (n >= least) & (n2 >= least) & (h >= s.least_hessian * _UNIT) & (h2 >= s.least_hessian * _UNIT) & (gain > s.least_gain)
+    return np.where(allowed, gain, -np.inf)
+
+
 def best_splits(sums: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Best gain and bin of every (leaf, column) from sums (leaf, column, bin, 3) in whole units; -inf where none is allowed."""
     below = sums[..., :-1, :].cumsum(2)
     total = sums.sum(2)[:, :, None, :]
-    above = total - below
-    g, h, n = (below[..., k] for k in range(3))
-    g2, h2, n2 = (above[..., k] for k in range(3))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = leaf_score(g / _UNIT, h / _UNIT, s) + leaf_score(g2 / _UNIT, h2 / _UNIT, s) - leaf_score(total[..., 0] / _UNIT, total[..., 1] / _UNIT, s)
-    least = max(s.least_rows, 1)
-    allowed = (n >= least) & (n2 >= least) & (h >= s.least_hessian * _UNIT) & (h2 >= s.least_hessian * _UNIT) & (gain > s.least_gain)
-    gain = np.where(allowed, gain, -np.inf)
+    gain = gains([below[..., k] for k in range(3)], [total[..., k] for k in range(3)], s)
     at = gain.argmax(2)
     return np.take_along_axis(gain, at[..., None], 2)[..., 0], at
 
 
-def choose(sums: np.ndarray, columns: np.ndarray, s: Settings) -> list[Split | None]:
-    """The best split of every leaf; ties go to the first column and bin."""
-    gain, at = best_splits(sums, s)
+def choose(sums: np.ndarray, start: np.ndarray, columns: np.ndarray, s: Settings) -> list[Split | None]:
+    """The best split of every leaf from sums (leaf, 3, bin), where the bins of the k-th column begin at ``start[k]``;
+    ties go to the first column and bin."""
+    below = sums.cumsum(2)
+    total = below[:, :, start[1] - 1 if len(start) > 1 else -1]
+    if len(start) > 1:  # sums are whole numbers, so those of the columns before can be taken off again
+        below[:, :, start[1]:] -= np.repeat(below[:, :, start[1:] - 1], np.diff(np.r_[start[1:], below.shape[2]]), 2)
+    gain = gains(below.transpose(1, 0, 2), total.T[:, :, None], s)
     out: list[Split | None] = []
-    for k, j in enumerate(gain.argmax(1)):
-        if not np.isfinite(gain[k, j]):
+    for k, at in enumerate(gain.argmax(1)):
+        if not np.isfinite(gain[k, at]):
             out.append(None)
             continue
-        left = sums[k, j, :at[k, j] + 1].sum(0)
-        right = sums[k, j].sum(0) - left
-        out.append(Split(float(gain[k, j]), int(columns[j]), int(at[k, j]), tuple(left), tuple(right)))
+        j = int(np.searchsorted(start, at, "right")) - 1
+        out.append(Split(float(gain[k, at]), int(columns[j]), int(at - start[j]), tuple(below[k, :, at]), tuple(total[k] - below[k, :, at])))
     return out
 
 
@@ -291,77 +301,123 @@ class Curve:
 class Bundles:
     """Columns with few bins counted together: a row's cell tells its bins in all columns of a bundle.
 
+    Only cells that some row lies in are numbered, so 0/1 columns of one source need no more cells than it has levels.
     Sums of a column are sums of cells, and whole numbers, so they equal those counted column by column.
     """
 
     def __init__(self, binned: np.ndarray, edges: Sequence[np.ndarray]):
         self.sizes = [len(e) + 1 for e in edges]
         self.columns: list[list[int]] = []
+        self.codes: list[np.ndarray] = []
+        self.bins: list[np.ndarray] = []  # of each cell, in each column of the bundle
         most = min(max(len(binned) // 64, _BINS), CELLS)
-        for j in sorted(range(len(edges)), key=lambda j: -self.sizes[j]):
-            fits = next((b for b in self.columns if self.sizes[b[0]] <= FEW_BINS and math.prod(self.sizes[i] for i in b) * self.sizes[j] <= most), None)
-            if fits is None:
-                self.columns.append([j])
+        for j in sorted(range(len(edges)), key=lambda j: self.sizes[j]):
+            mine, size = np.ascontiguousarray(binned[:, j]), self.sizes[j]
+            for b, code in enumerate(self.codes):
+                if len(self.bins[b]) * size > 1 << 16:
+                    continue
+                joint = code.astype(np.intp) * size + mine
+                seen = np.flatnonzero(np.bincount(joint))
+                if len(seen) <= most:
+                    number = np.zeros(len(self.bins[b]) * size, np.uint16)
+                    number[seen] = np.arange(len(seen))
+                    self.columns[b].append(j)
+                    self.codes[b], self.bins[b] = number.take(joint), np.column_stack([self.bins[b][seen // size], seen % size])
+                    break
             else:
-                fits.append(j)
-        self.cells = [math.prod(self.sizes[j] for j in b) for b in self.columns]
-        self.codes = []
-        for b in self.columns:
-            code = np.zeros(len(binned), np.uint16)
-            for j in b:
-                code = code * np.uint16(self.sizes[j]) + binned[:, j]
-            self.codes.append(code)
+                self.columns.append([j])
+                self.codes.append(mine.astype(np.uint16))
+                self.bins.append(np.arange(size)[:, None])
 
     def drawn(self, columns: np.ndarray) -> list[tuple]:
         """For each bundle with drawn columns: codes, cells, where its bins go in sums (drawn column, bin), and which cells make each."""
         where, out = {int(c): k for k, c in enumerate(columns)}, []
-        for code, n, b in zip(self.codes, self.cells, self.columns):
-            bins, step = [], n
-            for j in b:
-                step //= self.sizes[j]
-                if j in where:
-                    of = np.arange(n) // step % self.sizes[j]
-                    bins.append((where[j] * _BINS + np.arange(self.sizes[j]), (of[:, None] == np.arange(self.sizes[j])).astype(float)))
+        for code, cells, b in zip(self.codes, self.bins, self.columns):
+            bins = [(where[j] * _BINS + np.arange(self.sizes[j]), (of[:, None] == np.arange(self.sizes[j])).astype(float))
+                    for j, of in zip(b, cells.T) if j in where]
             if bins:
                 at = np.concatenate([x for x, _ in bins])
-                out.append((code, n, at, np.concatenate([x for _, x in bins], 1) if len(b) > 1 else None))
+                out.append((code, len(cells), at, np.concatenate([x for _, x in bins], 1) if len(b) > 1 else None))
         return out
 
 
+def batches(parts: Sequence[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Row lists of consecutive nodes that are counted in one go, as (first, last + 1, rows): small ones together, large ones in pieces."""
+    first, held = 0, 0
+    for k, r in enumerate(parts):
+        if k > first and held + len(r) > TOGETHER:
+            yield first, k, parts[first] if k == first + 1 else np.concatenate(parts[first:k])
+            first, held = k, 0
+        held += len(r)
+        if held > PACKED:  # only a node by itself
+            for at in range(0, held, PACKED):
+                yield k, k + 1, r[at:at + PACKED]
+            first, held = k + 1, 0
+    if first < len(parts):
+        yield first, len(parts), np.concatenate(parts[first:])
+
+
+def dealt(tree: Mapping[str, np.ndarray], by_column: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(leaf, the rows that reach it)."""
+    todo = [(0, rows)]
+    while todo:
+        k, r = todo.pop()
+        if tree["column"][k] < 0:
+            yield k, r
+        elif len(r):
+            right = by_column[tree["column"][k]].take(r) > tree["bin"][k]
+            todo += [(tree["left"][k], r.compress(~right)), (tree["right"][k], r.compress(right))]
+
+
 def boost_here(block: Block, edges: Sequence[np.ndarray], base: float, s: Settings) -> tuple[list[dict], list[float]]:
-    """All rounds on rows that lie in one place. Larger halves are what their parent has beyond the smaller ones."""
-    margin, free = np.full(len(block.y), base), ~block.held
-    bundles, by_column = Bundles(block.binned, edges), np.ascontiguousarray(block.binned.T)
+    """All rounds on rows that lie in one place. Larger halves are what their parent has beyond the smaller ones.
+
+    A hessian and the 1 that counts its row are summed as one number: of at most PACKED rows, the sum of hessians stays below _COUNT.
+    """
     held = int(block.held.sum())
+    free = len(block.held) - held
+    order = np.concatenate([np.flatnonzero(~block.held), np.flatnonzero(block.held)])
+    by_column, y, hashes = np.ascontiguousarray(block.binned[order].T), block.y[order].astype(float), block.hashes[order[:free]]
+    bundles = Bundles(by_column[:, :free].T, edges)
+    margin = np.full(len(order), base)
     curve, trees = Curve(s.patience if held else 0), []
 
     def told() -> float | None:
-        return losses(margin[block.held], block.y[block.held]) / _UNIT / held if held else None
+        return losses(margin[free:], y[free:]) / _UNIT / held if held else None
 
     go = curve.add(told())
     while go and len(trees) < s.rounds:
         turn = len(trees)
         columns = columns_of(turn, len(edges), s)
         drawn = bundles.drawn(columns)
-        used = free & in_bag(block.hashes, turn, s)
+        used = in_bag(hashes, turn, s)
         rows = {0: np.flatnonzero(used)}
-        p = 1 / (1 + np.exp(-margin))
-        g, h = np.rint((p - block.y) * _UNIT), np.rint(p * (1 - p) * _UNIT)
+        p = 1 / (1 + np.exp(-margin[:free]))
+        g, h = np.rint((p - y[:free]) * _UNIT), np.rint(p * (1 - p) * _UNIT)
+        h += _COUNT
         bins = np.concatenate([at for _, _, at, _ in drawn])
+        by_bin = np.argsort(bins)
+        start = np.searchsorted(bins[by_bin], np.arange(len(columns)) * _BINS)
+        cells = np.cumsum([0, *(n for _, n, _, _ in drawn)])
 
         def counted(nodes: list[int]) -> np.ndarray:
-            """Sums (node, drawn column, bin, 3) of the rows of some nodes."""
-            cells = [np.empty((len(nodes), 3, n)) for _, n, _, _ in drawn]
-            for k, node in enumerate(nodes):
-                r = rows[node]
-                gr, hr = g[r], h[r]
-                for x, (code, n, _, _) in zip(cells, drawn):
-                    c = code[r].astype(np.intp)
-                    x[k] = np.bincount(c, gr, n), np.bincount(c, hr, n), np.bincount(c, minlength=n)
-            here = np.concatenate([x if made_of is None else x @ made_of for x, (_, _, _, made_of) in zip(cells, drawn)], 2)
-            out = np.zeros((len(nodes), 3, len(columns) * _BINS))
-            out[:, :, bins] = here
-            return np.ascontiguousarray(out.reshape(len(nodes), 3, len(columns), _BINS).transpose(0, 2, 3, 1))
+            """Sums (node, 3, bin of the drawn columns) of the rows of some nodes."""
+            out = np.zeros((len(nodes), 3, cells[-1]))
+            for first, last, r in batches([rows[k] for k in nodes]):
+                k = last - first
+                gr, hr = g.take(r), h.take(r)
+                slot = np.repeat(np.arange(k), [len(rows[n]) for n in nodes[first:last]]) if k > 1 else None
+                here = np.empty((k, 2, cells[-1]))
+                for (code, n, _, _), at in zip(drawn, cells):
+                    c = code.take(r) if k == 1 else slot * n + code.take(r)
+                    here[:, 0, at:at + n] = np.bincount(c, gr, k * n).reshape(k, n)
+                    here[:, 1, at:at + n] = np.bincount(c, hr, k * n).reshape(k, n)
+                many = np.floor(here[:, 1] / _COUNT)
+                out[first:last, 0] += here[:, 0]
+                out[first:last, 1] += here[:, 1] - many * _COUNT
+                out[first:last, 2] += many
+            parts = [out[:, :, at:at + n] if made_of is None else out[:, :, at:at + n] @ made_of for (_, n, _, made_of), at in zip(drawn, cells)]
+            return np.concatenate(parts, 2)[:, :, by_bin]
 
         held_sums = {0: counted([0])[0]}
 
@@ -369,9 +425,10 @@ def boost_here(block: Block, edges: Sequence[np.ndarray], base: float, s: Settin
             made_now, wanted, small = set(made), set(open_), []
             parents = [k for k in range(len(tree.left)) if tree.left[k] in made_now]
             for k in parents:
-                right = by_column[tree.column[k]][rows[k]] > tree.bin[k]
+                r = rows.pop(k)
+                right = by_column[tree.column[k]].take(r) > tree.bin[k]
                 a, b = tree.left[k], tree.right[k]
-                rows[a], rows[b] = rows[k][~right], rows[k][right]
+                rows[a], rows[b] = r.compress(~right), r.compress(right)
                 if a in wanted or b in wanted:
                     small.append((a, b) if tree.sums[a][2] <= tree.sums[b][2] else (b, a))
                 else:
@@ -382,16 +439,17 @@ def boost_here(block: Block, edges: Sequence[np.ndarray], base: float, s: Settin
             for (few, many), x in zip(small, counted([a for a, _ in small])):
                 held_sums[few] = x
                 held_sums[many] = held_sums.pop(parent[few]) - x
-            return choose(np.stack([held_sums[k] for k in open_]), columns, s)
+            return choose(np.stack([held_sums[k] for k in open_]), start, columns, s)
 
-        tree, split = grow(tuple(held_sums[0][0].sum(0)), choose(held_sums[0][None], columns, s)[0], ask, s)
+        tree, split = grow(tuple(held_sums[0][:, :start[1] if len(start) > 1 else None].sum(1)), choose(held_sums[0][None], start, columns, s)[0], ask, s)
         flat = finished(tree, split, edges, s)
         trees.append(flat)
-        rest = np.flatnonzero(~used)
-        margin[rest] += flat["value"][place(flat, block.binned[rest])]
         for k, new in numbered(tree, split).items():
             if k not in split:
-                margin[rows[k]] += flat["value"][new]
+                for r in (rows[k],) if k in rows else (rows[tree.left[k]], rows[tree.right[k]]):  # looked at, but not split for good
+                    margin[r] += flat["value"][new]
+        for k, r in dealt(flat, by_column, np.concatenate([np.flatnonzero(~used), np.arange(free, len(order))])):
+            margin[r] += flat["value"][k]
         go = curve.add(told())
     if curve.patience and curve.losses:
         trees = trees[:curve.kept]
@@ -533,24 +591,32 @@ class Forest:
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         """Log odds of rows (row, column)."""
-        out = np.full(len(x), self.base)
+        out, by_column = np.full(len(x), self.base), np.ascontiguousarray(x.T)
         for k in range(len(self)):
-            out += self._walk(self.tree(k), x)
+            out += self._walk(self.tree(k), by_column)
         return out
 
     @staticmethod
-    def _walk(t: Mapping[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-        """Value of the leaf that each row reaches."""
-        at, rows = np.zeros(len(x), np.int32), np.arange(len(x))
-        while (t["column"][at] >= 0).any():
-            at = np.where(x[rows, t["column"][at]] <= t["threshold"][at], t["left"][at], t["right"][at])
-        return t["value"][at]
+    def _walk(t: Mapping[str, np.ndarray], by_column: np.ndarray) -> np.ndarray:
+        """Value of the leaf that each row (column, row) reaches. Rows are parted node by node, as few of them are far down."""
+        out = np.empty(by_column.shape[1])
+        todo = [(0, np.arange(len(out)))]
+        while todo:
+            k, r = todo.pop()
+            c = t["column"][k]
+            if c < 0:
+                out[r] = t["value"][k]
+            elif len(r):
+                left = by_column[c].take(r) <= t["threshold"][k]
+                todo += [(t["left"][k], r.compress(left)), (t["right"][k], r.compress(~left))]
+        return out
 
     def swapped_margins(self, x: np.ndarray, other: np.ndarray, groups: Sequence[Sequence[int]]) -> np.ndarray:
         """Log odds (row, group) of rows that take the columns of a group from ``other``; a tree that uses none of them
         is not walked again."""
         own = np.full(len(x), self.base)
         moved = np.zeros((len(x), len(groups)))
+        x, other = np.ascontiguousarray(x.T), np.ascontiguousarray(other.T)
         for k in range(len(self)):
             t = self.tree(k)
             used = set(t["column"][t["column"] >= 0].tolist())
@@ -560,7 +626,7 @@ class Forest:
                 here = [c for c in columns if c in used]
                 if here:
                     mixed = x.copy()
-                    mixed[:, here] = other[:, here]
+                    mixed[here] = other[here]
                     moved[:, g] += self._walk(t, mixed) - before
         return own[:, None] + moved
 

@@ -259,15 +259,16 @@ def crossfit_table(df: DataFrame, columns: dict[str, str], target: str, fold, fo
     def without(prefix: str, k: int):
         return sum((F.col(f"{prefix}{j}") for j in each if j != k), F.lit(0))
 
-    def per_fold(encoding):
-        return F.explode(F.array(*[F.struct(F.lit(k).cast("int").alias("fold"), encoding(k).alias("encoding"))
+    def per_fold(*prefixes):
+        """One row per fold with what lies outside of it; formulas on these rows are written, and compiled, once."""
+        return F.explode(F.array(*[F.struct(F.lit(k).cast("int").alias("fold"), *[without(p, k).alias(p) for p in prefixes])
                                    for k in [FULL, *each]])).alias("e")
 
-    encoded = levels.join(F.broadcast(totals), "column").select("column", "level", per_fold(
-        lambda k: encode_expression(without("n", k), without("p", k), without("tn", k), without("tp", k))))
-    overall = totals.select("column", F.lit(None).cast("string").alias("level"), per_fold(
-        lambda k: safe_div(without("tp", k), without("tn", k))))
-    return encoded.unionByName(overall).select("column", "level", "e.fold", "e.encoding")
+    encoded = levels.join(F.broadcast(totals), "column").select("column", "level", per_fold("n", "p", "tn", "tp")).select(
+        "column", "level", "e.fold", encode_expression(*[F.col(f"e.{p}") for p in ("n", "p", "tn", "tp")]).alias("encoding"))
+    overall = totals.select("column", F.lit(None).cast("string").alias("level"), per_fold("tn", "tp")).select(
+        "column", "level", "e.fold", safe_div("e.tp", "e.tn").alias("encoding"))
+    return encoded.unionByName(overall)
 
 
 class CrossFitTargetEncoder(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWritable):

@@ -6,7 +6,7 @@ import json
 import math
 import time
 import uuid
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -284,6 +284,8 @@ SEARCH_SPACE = {
 }
 MOST_ROUNDS = 1200
 SEARCH_PATIENCE = 30
+#: Fits and folds of a search that are worked on at the same time.
+SEARCH_FITS = 8
 
 
 class DensityRatioSampler:
@@ -298,6 +300,11 @@ class DensityRatioSampler:
         self.space, self.rng, self.warm, self.share, self.tries = space, np.random.default_rng(seed), warm, share, tries
         self.seen: list[tuple[float, dict]] = []
 
+    @property
+    def blind(self) -> int:
+        """Draws, at least one, that look at no trial yet to be told."""
+        return max(1, self.warm - len(self.seen))
+
     def tell(self, params: Mapping, value: float) -> None:
         self.seen.append((value, dict(params)))
 
@@ -351,13 +358,17 @@ class Search:
 
 
 def _folds(train: DataFrame, features: Sequence[str], group: str, folds: int, row_key: str, seed: int, exact_medians: bool,
-           kinds: dict | None) -> Iterator[DataFrame]:
-    """Vectors of all rows for each fold: preprocessing is learnt on the other folds, whose rows are not held."""
+           kinds: dict | None) -> list[DataFrame]:
+    """Vectors of all rows for each fold: preprocessing is learnt on the other folds, whose rows are not held. Folds are prepared at the same time."""
     rows = stage(grouped_stratified_folds(train, group, "y", folds, seed, "_fold").select(
         *dict.fromkeys([row_key, "y", "_fold", *features])), "tuning-folds")
-    for k in range(folds):
+
+    def make(k: int) -> DataFrame:
         ready = prepare_vectors(rows.where(F.col("_fold") != k), rows.where(F.col("_fold") == k), features, False, row_key, (), seed, kinds, exact_medians)
-        yield stage(ready.train.withColumn("_held", F.lit(False)).unionByName(ready.other.withColumn("_held", F.lit(True))), f"fold-{k}")
+        return stage(ready.train.withColumn("_held", F.lit(False)).unionByName(ready.other.withColumn("_held", F.lit(True))), f"fold-{k}")
+
+    with ThreadPoolExecutor(SEARCH_FITS) as pool:
+        return list(pool.map(make, range(folds)))
 
 
 def tune(train: DataFrame, features: Sequence[str], group: str, trials: int = 10, folds: int = 3,
@@ -365,40 +376,48 @@ def tune(train: DataFrame, features: Sequence[str], group: str, trials: int = 10
          kinds: dict | None = None, most_rounds: int = MOST_ROUNDS) -> Search:
     """Search for booster settings under group-whole folds; the test rows take no part.
 
-    Folds are prepared and binned once and shared by all trials. A fit runs until its held fold gains nothing, so the number of
-    rounds is read from its curve. A trial whose first fold has a larger loss than the median of the first folds so far
-    ends there (``folds_run`` 1); the others run all folds, at the same time. ``history`` has a row for each trial, best first,
-    cut trials last.
+    Folds are prepared and binned once, at the same time, and shared by all trials. A fit runs until its held fold gains nothing,
+    so the number of rounds is read from its curve. A trial whose first fold has a larger loss than the median of the first folds
+    so far counts by that fold alone (``folds_run`` 1). All fits of a trial, and of trials drawn without knowledge of each other,
+    run at the same time: a fit is one task, so waiting for a first fold would leave the other cores idle. ``history`` has a row
+    for each trial, best first, cut trials last.
     """
     from cohortlens.operators.roles import classify_columns
 
     kinds = kinds or classify_columns(train, features)
-    ready = [(fold, bin_rows(fold, key=row_key, held="_held")) for fold in _folds(train, features, group, folds, row_key, seed, exact_medians, kinds)]
+    prepared = _folds(train, features, group, folds, row_key, seed, exact_medians, kinds)
     sampler = DensityRatioSampler(space, seed)
 
-    def fit(k: int, params: Mapping):
+    def fit(job):
+        k, params = job
         return boost(ready[k][1], Settings(rounds=most_rounds, patience=SEARCH_PATIENCE, seed=seed, **params))
 
-    def judge(fits) -> list[float]:
-        """ROC AUC of each fold's held rows, all in one panel."""
-        parts = [score(PipelineModel([HistBoosterModel.of(*f)]), ready[k][0].where("_held"), ["y"], str(k)) for k, f in enumerate(fits)]
-        found = {r["model"]: r["roc_auc"] for r in roc_auc(reduce(DataFrame.unionByName, parts)).collect()}
-        return [found[str(k)] for k in range(len(fits))]
+    def judge(fits: Mapping[tuple[int, int], tuple]) -> dict[tuple[int, int], float]:
+        """ROC AUC of the held rows of each (trial, fold), all in one panel; scores are written once, as the panel reads them several times."""
+        parts = [score(PipelineModel([HistBoosterModel.of(*f)]), ready[k][0].where("_held"), ["y"], f"{t} {k}") for (t, k), f in fits.items()]
+        found = {r["model"]: r["roc_auc"] for r in roc_auc(stage(reduce(DataFrame.unionByName, parts), "tuning-scores")).collect()}
+        return {(t, k): found[f"{t} {k}"] for t, k in fits}
 
     rows, first_folds = [], []
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        for trial in range(1, trials + 1):
-            params = sampler.ask()
-            fits = [fit(0, params)]
-            loss = min(fits[0][1])
-            cut = len(first_folds) >= 3 and loss > float(np.median(first_folds))
-            first_folds.append(loss)
-            if not cut:
-                fits += pool.map(lambda k: fit(k, params), range(1, folds))
-            aucs = judge(fits)
-            rounds = max(1, round(float(np.mean([len(f) for f, _ in fits]))))
-            sampler.tell(params, float(np.mean(aucs)))
-            rows.append((trial, float(np.mean(aucs)), float(np.std(aucs)), len(fits), rounds, {k: str(v) for k, v in params.items()}, params))
+    with ThreadPoolExecutor(SEARCH_FITS) as pool:
+        ready = list(zip(prepared, pool.map(lambda fold: bin_rows(fold, key=row_key, held="_held"), prepared)))
+        while len(rows) < trials:
+            drawn = {len(rows) + 1 + j: sampler.ask() for j in range(min(sampler.blind, trials - len(rows)))}
+            jobs = [(t, k) for k in range(folds) for t in drawn]
+            fits = dict(zip(jobs, pool.map(fit, [(k, drawn[t]) for t, k in jobs])))
+            kept = {}
+            for t in drawn:
+                loss = min(fits[t, 0][1])
+                cut = len(first_folds) >= 3 and loss > float(np.median(first_folds))
+                first_folds.append(loss)
+                kept |= {(t, k): fits[t, k] for k in range(1 if cut else folds)}
+            found = judge(kept)
+            for t, params in drawn.items():
+                mine = [at for at in kept if at[0] == t]
+                aucs = [found[at] for at in mine]
+                rounds = max(1, round(float(np.mean([len(kept[at][0]) for at in mine]))))
+                sampler.tell(params, float(np.mean(aucs)))
+                rows.append((t, float(np.mean(aucs)), float(np.std(aucs)), len(aucs), rounds, {k: str(v) for k, v in params.items()}, params))
     whole = [r for r in rows if r[3] == folds]
     best = max(whole, key=lambda r: (r[1], -r[0]))
     history = train.sparkSession.createDataFrame(
