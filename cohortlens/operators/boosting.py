@@ -37,12 +37,15 @@ BLOCK_BYTES = 16_000_000
 ONE_TASK_BYTES = 64_000_000
 #: Joint cells of columns that are counted together at most.
 CELLS = 1024
-#: Rows of small nodes that are counted in one go, and of one node.
+#: Rows of small nodes that are counted in one go, and of one node; the first is the smaller number.
 TOGETHER = 16_384
 PACKED = 1 << 16
 #: Leaves whose children one job looks at, and trees after which margins are written down again.
 LEAVES_A_JOB = 32
 TREES_A_STAGE = 16
+#: Places of a table of contributions at most, and rows that are looked up in one go.
+STATES = 2048
+LOOKED_UP = 4096
 _UNIT = float(1 << 20)
 _COUNT = float(1 << 35)
 _BINS = 256
@@ -640,32 +643,38 @@ class Forest:
         return total
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
-        """Shapley value of every column for every row, exact for the trees' own conditional means; see ``leaf_paths``.
+        """Shapley value of every column for every row, exact for the trees' own conditional means; see ``leaf_groups``.
 
         A leaf's part for column i is its value times (o_i - z_i) times the integral over t of the product of
         z_j (1 - t) + o_j t over the other columns of its path, o_j telling whether the row meets all conditions on
         column j and z_j the share of training rows that do. The product is a polynomial in t, which Gauss-Legendre
-        quadrature integrates exactly. Rows that meet the same conditions of a leaf share the work.
+        quadrature integrates exactly. What the leaves of a group add up to depends on a few intervals of each column, so it
+        is tabulated once and looked up for each row: many rows at a time are cheaper.
         """
-        out = np.zeros((len(x), self.columns))
+        out = np.zeros((self.columns, len(x)))
+        cuts = [np.unique(self.threshold[self.column == c]) for c in range(self.columns)]
+        binned = np.stack([np.searchsorted(e, x[:, c]) for c, e in enumerate(cuts)], 1).astype(np.uint16) if self.columns else np.zeros((len(x), 0), np.uint16)
+        bundles = Bundles(binned, cuts)
+        codes = [code.astype(np.intp) for code in bundles.codes]
         for k in range(len(self)):
-            for columns, low, high, share, value in leaf_paths(self.tree(k)):
-                m = len(columns)
-                if not m or value == 0.0:
-                    continue
-                met = ((x[:, columns] > low) & (x[:, columns] <= high)) @ (1 << np.arange(m, dtype=np.int64))
-                if 1 << m <= len(x):
-                    patterns, which = np.arange(1 << m), met
+            found = []
+            for leaves in leaf_groups(self.tree(k), cuts):
+                if len(leaves) == 1 and 1 << len(leaves[0].columns) > STATES:
+                    _rare(leaves[0], binned, out)
                 else:
-                    patterns, which = np.unique(met, return_inverse=True)
-                o = (patterns[:, None] >> np.arange(m) & 1).astype(float)
-                nodes, weights = _gauss((m + 1) // 2)
-                t = (nodes + 1) / 2
-                factor = share[None, :, None] * (1 - t) + o[:, :, None] * t
-                rest = factor.prod(1, keepdims=True) / factor
-                part = value * (o - share) * (rest * (weights / 2)).sum(2)
-                out[:, columns] += part[which]
-        return out
+                    columns, states, table = tabulated(leaves)
+                    luts = [(code, sum(states[c][cells[:, i]] for i, c in enumerate(b) if c in states)) for code, cells, b in zip(codes, bundles.bins, bundles.columns)
+                            if any(c in states for c in b)]
+                    found.append((columns, table, luts))
+            for first in range(0, len(x), LOOKED_UP):
+                part = slice(first, first + LOOKED_UP)
+                for columns, table, luts in found:
+                    at = luts[0][1].take(luts[0][0][part])
+                    for code, lut in luts[1:]:
+                        at += lut.take(code[part])
+                    for c, values in zip(columns, table):
+                        out[c, part] += values.take(at, mode="clip")
+        return out.T
 
     def packed(self) -> dict:
         return {"base": self.base, "columns": self.columns,
@@ -676,21 +685,129 @@ class Forest:
         return cls(d["base"], d["columns"], *(np.frombuffer(base64.b64decode(d[n][1]), d[n][0]) for n in cls.ARRAYS))
 
 
-def leaf_paths(tree: Mapping[str, np.ndarray]) -> Iterator[tuple]:
-    """For each leaf: the distinct columns on its path, the interval (low, high] each must lie in, the share of training
-    rows that each condition set lets through, and the leaf's value."""
-    todo = [(0, {})]
+@dataclass
+class Leaf:
+    """The distinct columns on a leaf's path, the first and last bin each must lie in, the share of training rows that each
+    condition set lets through, and the leaf's value."""
+
+    columns: list[int]
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+    value: float
+
+    def parts(self, met: np.ndarray) -> np.ndarray:
+        """Contributions (pattern, column) of rows by patterns that have a bit for each column whose conditions are met."""
+        m = len(self.columns)
+        o = (met[:, None] >> np.arange(m) & 1).astype(float)
+        nodes, weights = _gauss((m + 1) // 2)
+        t = (nodes + 1) / 2
+        factor = self.share[None, :, None] * (1 - t) + o[:, :, None] * t
+        rest = factor.prod(1, keepdims=True) / factor
+        return self.value * (o - self.share) * (rest * (weights / 2)).sum(2)
+
+
+def leaf_groups(tree: Mapping[str, np.ndarray], cuts: Sequence[np.ndarray]) -> Iterator[list[Leaf]]:
+    """Leaves other than those that add nothing, as groups: whole branches in which the intervals of all columns, as far as the
+    branch and the path to it tell them apart, have at most STATES combinations, and single leaves elsewhere.
+
+    ``cuts`` are the thresholds of each column in order; a value's bin is the number of thresholds below it.
+    """
+    inner: dict[int, dict[int, set[int]]] = {}  # the cuts of each column below a node
+
+    def look(k: int) -> dict[int, set[int]]:
+        c = int(tree["column"][k])
+        here: dict[int, set[int]] = {}
+        if c >= 0:
+            for child in (look(int(tree["left"][k])), look(int(tree["right"][k]))):
+                for j, marks in child.items():
+                    here.setdefault(j, set()).update(marks)
+            here.setdefault(c, set()).add(int(np.searchsorted(cuts[c], tree["threshold"][k])))
+        inner[k] = here
+        return here
+
+    def children(k: int, path: dict) -> list[tuple[int, dict]]:
+        c = int(tree["column"][k])
+        cut = int(np.searchsorted(cuts[c], tree["threshold"][k]))
+        low, high, share = path.get(c, (0, len(cuts[c]), 1.0))
+        return [(child, {**path, c: (a, b, share * tree["rows"][child] / tree["rows"][k])})
+                for child, a, b in ((int(tree["left"][k]), low, min(high, cut)), (int(tree["right"][k]), max(low, cut + 1), high))]
+
+    def leaves(k: int, path: dict) -> Iterator[Leaf]:
+        todo = [(k, path)]
+        while todo:
+            k, path = todo.pop()
+            if tree["column"][k] >= 0:
+                todo += children(k, path)
+            elif path and tree["value"][k] != 0.0:
+                low, high, share = (np.array(v) for v in zip(*path.values()))
+                yield Leaf(list(path), low, high, share, float(tree["value"][k]))
+
+    look(0)
+    todo: list[tuple[int, dict]] = [(0, {})]
     while todo:
         k, path = todo.pop()
-        c = int(tree["column"][k])
-        if c < 0:
-            names = list(path)
-            yield (np.array(names, int), np.array([path[n][0] for n in names]), np.array([path[n][1] for n in names]),
-                   np.array([path[n][2] for n in names]), float(tree["value"][k]))
-            continue
-        low, high, share = path.get(c, (-math.inf, math.inf, 1.0))
-        for child, a, b in ((int(tree["left"][k]), low, min(high, tree["threshold"][k])), (int(tree["right"][k]), max(low, tree["threshold"][k]), high)):
-            todo.append((child, {**path, c: (a, b, share * tree["rows"][child] / tree["rows"][k])}))
+        states = 1
+        for c in path.keys() | inner[k].keys():
+            low, high, _ = path.get(c, (0, len(cuts[c]), 1.0))
+            states *= 1 + len(inner[k].get(c, ())) + (low > 0) + (high < len(cuts[c]))
+        if states > STATES and tree["column"][k] >= 0:
+            todo += children(k, path)
+        elif group := list(leaves(k, path)):
+            yield group
+
+
+def tabulated(group: Sequence[Leaf]) -> tuple[list[int], dict[int, np.ndarray], np.ndarray]:
+    """Columns of a group; for each column, what a bin adds to the place in the table; and the table (column, place) of contributions."""
+    bounds: dict[int, set[int]] = {}
+    for leaf in group:
+        for c, low, high in zip(leaf.columns, leaf.low, leaf.high):
+            bounds.setdefault(c, set()).update((int(low), int(high) + 1))
+    columns = list(bounds)
+    only = group[0] if len(group) == 1 else None
+    marks = {c: np.array(sorted(b - {0}), int) for c, b in bounds.items()}
+    bins = {c: np.concatenate([[0], m]) for c, m in marks.items()}  # the first bin of each interval
+    sizes = [2] * len(columns) if only else [len(bins[c]) for c in columns]
+    table = np.zeros((len(columns), *sizes))
+    for leaf in group:
+        met = np.zeros([1] * len(columns), int)
+        for i, (c, low, high) in enumerate(zip(leaf.columns, leaf.low, leaf.high)):
+            axis = columns.index(c)
+            inside = np.arange(2) if only else ((bins[c] >= low) & (bins[c] <= high)).astype(int)
+            met = met + (inside << i).reshape([-1 if a == axis else 1 for a in range(len(columns))])
+        parts = leaf.parts(np.arange(1 << len(leaf.columns)))
+        for i, c in enumerate(leaf.columns):
+            table[columns.index(c)] += parts[:, i][met]
+    steps = np.cumprod([1, *sizes[::-1]])[-2::-1]
+    states = {}
+    for c, step in zip(columns, steps):
+        of = np.arange(bins[c][-1] + 1)
+        if only:
+            i = only.columns.index(c)
+            states[c] = ((of >= only.low[i]) & (of <= only.high[i])) * step
+        else:
+            states[c] = np.searchsorted(marks[c], of, side="right") * step
+    return columns, {c: _Last(v) for c, v in states.items()}, table.reshape(len(columns), -1)
+
+
+class _Last:
+    """Values by bin; bins behind the last one are like it."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+
+    def __getitem__(self, bins: np.ndarray) -> np.ndarray:
+        return self.values.take(bins, mode="clip")
+
+
+def _rare(leaf: Leaf, binned: np.ndarray, out: np.ndarray) -> None:
+    """Add the parts of a leaf with very many patterns: only those that occur are worked out."""
+    x = binned[:, leaf.columns]
+    met = ((x >= leaf.low) & (x <= leaf.high)) @ (1 << np.arange(len(leaf.columns), dtype=np.int64))
+    patterns, which = np.unique(met, return_inverse=True)
+    parts = leaf.parts(patterns)
+    for i, c in enumerate(leaf.columns):
+        out[c] += parts[:, i][which]
 
 
 # --- the estimator ----------------------------------------------------------------------------

@@ -95,6 +95,7 @@ def test_sums_are_exact_at_the_largest_hessians(monkeypatch):
     one, _ = B.boost_here(block, edges, 0.0, s)
     root = B.histogram(x.astype(np.int64), B.weighed(np.zeros(n), y, np.ones(n, bool)))
     assert root[0].sum(0).tolist() == [0.0, n * 2.0**18, n] and one[0]["rows"][0] == n
+    monkeypatch.setattr(B, "TOGETHER", 300)
     monkeypatch.setattr(B, "PACKED", 1000)
     many, _ = B.boost_here(block, edges, 0.0, s)
     assert all((a[k] == b[k]).all() for a, b in zip(one, many) for k in a)
